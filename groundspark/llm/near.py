@@ -7,6 +7,7 @@ has at least 50 words, or 90 if more than half of its words are Chinese characte
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,46 +30,59 @@ def words(form: str) -> list[str]:
     return _WORD.findall(form.lower())
 
 
+class _Known(dict):
+    """48-bit hashes of words; the lowest bit tells whether the word is a Chinese character."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = (xxhash.xxh64_intdigest(word) >> 16) & ~1 | bool(_IS_HAN.match(word))
+        return h
+
+
 class Bags:
     """Turns texts into hashed words and bags. The n-th repeat of a word is an element of its own, so a bag is a set."""
 
     def __init__(self, model: Canonical):
-        self.model, self.known = model, {}
-
-    def hashed(self, text: str) -> tuple[np.ndarray, bool]:
-        """Hashes of the words in order, and whether the text counts as Chinese."""
-        w = words(self.model(text))
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        try:
-            h = [known[x] for x in w]
-        except KeyError:
-            for x in w:
-                if x not in known:
-                    known[x] = xxhash.xxh64_intdigest(x)
-            h = [known[x] for x in w]
-        han = sum(map(len, _IS_HAN.findall(text))) if not text.isascii() else 0
-        return np.array(h, dtype=np.uint64), han * 2 > len(w)
+        self.model, self.known = model, _Known()
+
+    def hashed(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts in order, the number of words of each, and whether it counts as Chinese."""
+        flat: list[int] = []
+        sizes = []
+        get, model = self.known.__getitem__, self.model
+        for t in texts:
+            w = words(model(t))
+            sizes.append(len(w))
+            flat += map(get, w)
+        h, n = np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+        han = np.bincount(np.repeat(np.arange(len(n)), n), weights=(h & np.uint64(1)).astype(float), minlength=len(n))
+        return h, n, han * 2 > n
 
     @staticmethod
-    def elements(h: np.ndarray) -> np.ndarray:
-        """The sorted bag as 32-bit hashes. Two words meet in one hash with a chance of about 1 to 4 billion a pair."""
-        s = np.sort(h)
-        start = np.r_[True, s[1:] != s[:-1]]
-        nth = np.arange(len(s)) - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
-        e = (s + nth.astype(np.uint64) * _GOLD) * np.uint64(0xD6E8FEB86659FD93)
-        return np.sort((e >> np.uint64(32)).astype(np.uint32))
+    def elements(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The sorted bags of many texts as 32-bit hashes, one after the other. Two words meet in one hash with a chance of about
+        1 to 4 billion a pair."""
+        row = np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(48)
+        s = np.sort(row | h)
+        start = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, dtype=bool)
+        place = np.arange(len(s))
+        nth = (place - np.maximum.accumulate(np.where(start, place, 0))).astype(np.uint64)
+        e = ((s & np.uint64((1 << 48) - 1)) * _GOLD + nth * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+        e ^= e >> np.uint64(29)
+        e = (e * _GOLD) >> np.uint64(32)
+        return np.sort(row >> np.uint64(16) | e).astype(np.uint32)
 
 
-def long_enough(n: int, han: bool) -> bool:
-    return n >= (LEAST_HAN if han else LEAST)
+def long_enough(n, han):
+    return n >= np.where(han, LEAST_HAN, LEAST)
 
 
-def fingerprint(e: np.ndarray) -> bytes:
-    """Parity bits of a bag: each element flips one bit, so the Hamming distance of two fingerprints is at most the size of
-    the symmetric difference of the bags."""
-    return np.packbits((np.bincount(e & np.uint32(BITS - 1), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+def fingerprints(e: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Parity bits of bags, a row of bytes each: every element flips one bit, so the Hamming distance of two fingerprints is at
+    most the size of the symmetric difference of the bags."""
+    at = np.repeat(np.arange(len(n), dtype=np.int64) * BITS, n) + (e & np.uint32(BITS - 1))
+    return np.packbits((np.bincount(at, minlength=len(n) * BITS) & 1).astype(np.uint8).reshape(len(n), BITS), axis=1)
 
 
 def bag_id(e: np.ndarray) -> bytes:
@@ -76,10 +90,11 @@ def bag_id(e: np.ndarray) -> bytes:
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
-    return len(np.intersect1d(a, b, assume_unique=False)) if len(np.unique(a)) == len(a) and len(np.unique(b)) == len(b) else _shared_repeats(a, b)
-
-
-def _shared_repeats(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted bags share; equal hashes within a bag count as often as both have them."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    same = both[1:] == both[:-1]
+    if not (a[1:] == a[:-1]).any() and not (b[1:] == b[:-1]).any():
+        return int(same.sum())
     ua, ca = np.unique(a, return_counts=True)
     ub, cb = np.unique(b, return_counts=True)
     _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .canon import Canonical, fit
-from .near import BITS, SHARE, Bags, bag_id, expanded, fingerprint, long_enough, verified
+from .near import BITS, SHARE, Bags, bag_id, expanded, fingerprints, long_enough, verified
 
 #: Fingerprints from which vantage points are chosen (a bound, whatever the corpus), classes wanted in a leaf, classes that a
 #: task holds at once.
-SAMPLE, LEAF, BLOCK = 3000, 4000, 8000
+SAMPLE, LEAF, BLOCK = 3000, 30000, 30000
 WORDS = BITS // 64
 
 
@@ -35,14 +35,19 @@ def bagged(df: DataFrame, model: Canonical) -> DataFrame:
     def part(batches):
         bags = Bags(Canonical(counts.value))
         for b in batches:
-            rows = []
-            for tbl, o, text in zip(b.tbl, b.ord, b.text, strict=True):
-                h, han = bags.hashed(text)
-                if long_enough(len(h), han):
-                    e = bags.elements(h)
-                    rows.append((tbl, o, bag_id(e), len(e), han, fingerprint(e), e.tobytes()))
-            if rows:
-                yield pd.DataFrame(rows, columns=["tbl", "ord", "cid", "n", "han", "fp", "els"])
+            for i in range(0, len(b), 2000):
+                some = b.iloc[i : i + 2000]
+                h, n, han = bags.hashed(some["text"])
+                keep = long_enough(n, han)
+                h, n, han = h[np.repeat(keep, n)], n[keep], han[keep]
+                if not len(n):
+                    continue
+                e = bags.elements(h, n)
+                ends = np.cumsum(n).tolist()
+                els = [e[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+                yield pd.DataFrame(
+                    {"tbl": some["tbl"].to_numpy()[keep], "ord": some["ord"].to_numpy()[keep], "cid": [bag_id(x) for x in els], "n": n.astype(np.int32), "han": han, "fp": [x.tobytes() for x in fingerprints(e, n)], "els": [x.tobytes() for x in els]}
+                )
 
     # A text with too few characters cannot have enough words.
     return df.filter("length(text) >= 50").select("tbl", "ord", "text").mapInPandas(part, "tbl string, ord long, cid binary, n int, han boolean, fp binary, els binary")
@@ -139,29 +144,40 @@ def shards(reps: DataFrame) -> DataFrame:
     return reps.select("tbl", "han", "n", "cid", "fp").mapInPandas(part, "shard int, block int, kind int, tbl string, n int, cid binary, fp binary")
 
 
+def within(h: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Columns of h (words x fingerprints) whose distance to q is at most ``most``. Half of the words already rule out almost all."""
+    half = WORDS // 2
+    d = np.bitwise_count(h[:half] ^ q[:half, None]).sum(axis=0, dtype=np.uint16)
+    some = np.nonzero(d <= most)[0]
+    if len(some):
+        rest = np.bitwise_count(h[half:, some] ^ q[half:, None]).sum(axis=0, dtype=np.uint16)
+        some = some[d[some] + rest <= most[some]]
+    return some
+
+
 def _search(batches):
     """Rows sorted by shard, block, kind: the homes of a block are held, the queries stream past them."""
-    at, homes, h_n, h_fp, h_id, tbl = None, [], None, None, None, None
+    at, homes, h_n, h_fp, h_id, h_most = None, [], None, None, None, None
     for b in batches:
         out = []
         keys = list(zip(b["shard"].tolist(), b["block"].tolist(), strict=True))
-        for key, kind, t, n, cid, raw in zip(keys, b["kind"].tolist(), b["tbl"], b["n"].tolist(), b["cid"], b["fp"], strict=True):
+        for key, kind, tbl, n, cid, raw in zip(keys, b["kind"].tolist(), b["tbl"], b["n"].tolist(), b["cid"], b["fp"], strict=True):
             if key != at:
-                at, homes, h_fp, tbl = key, [], None, t
+                at, homes, h_fp = key, [], None
             if kind == 0:
                 homes.append((n, cid, raw))
                 continue
             if h_fp is None:
                 homes.sort(key=lambda x: x[:2])
                 h_n = np.array([x[0] for x in homes], dtype=np.int64)
+                h_most = np.floor((2 * SHARE - 1) * h_n - 1e-9).astype(np.int64)
                 h_id = [x[1] for x in homes]
-                h_fp = np.frombuffer(b"".join(x[2] for x in homes), dtype=np.uint64).reshape(-1, WORDS)
+                h_fp = np.ascontiguousarray(np.frombuffer(b"".join(x[2] for x in homes), dtype=np.uint64).reshape(-1, WORDS).T)
             # Each pair is searched once, from the shorter text (then the smaller id).
             lo, hi = int(np.searchsorted(h_n, n)), int(np.searchsorted(h_n, int(n / SHARE + 1e-9), side="right"))
             if lo >= hi:
                 continue
-            d = distances(h_fp[lo:hi], np.frombuffer(raw, dtype=np.uint64))
-            for k in np.nonzero(d <= n - (2 * SHARE - 1) * h_n[lo:hi] + 1e-9)[0].tolist():
+            for k in within(h_fp[:, lo:hi], np.frombuffer(raw, dtype=np.uint64), n - h_most[lo:hi]).tolist():
                 other = h_id[lo + k]
                 if h_n[lo + k] > n or other > cid:
                     out.append((tbl, cid, other))
@@ -177,9 +193,10 @@ def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stage(rows, "bags")
     members = rows.select("tbl", "ord", "cid")
     heads = members.groupBy("tbl", "cid").agg(F.min("ord").alias("ord"))
-    reps = stage(rows.join(heads, ["tbl", "cid", "ord"], "left_semi"), "classes")
+    one = rows.join(heads, ["tbl", "cid", "ord"], "left_semi")
+    reps = stage(one.select("tbl", "cid", "n", "han", "fp"), "classes")
     pairs = shards(reps).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind").mapInPandas(_search, "tbl string, cid_a binary, cid_b binary")
-    links = stage(verified(stage(pairs, "candidates"), reps), "links")
+    links = stage(verified(stage(pairs, "candidates"), one), "links")
     return members, links
 
 

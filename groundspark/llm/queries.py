@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import near_dups
+from . import near_dups, split_overlap
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +19,21 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.found(table(spark, d, "ct_samples"))
+
+
+@query
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.report(table(spark, d, "ct_samples"))
+
+
+@query
+def p2_fractions(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.fractions(table(spark, d, "ct_samples"))
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dups.found(table(spark, d, "raw_records"), table(spark, d, "knowledge_nodes"))

@@ -21,12 +21,14 @@ from .near import SHARE, Bags, bag_id, long_enough, verified
 #: Mean and least words of a chunk (twice as many for Chinese, whose words are single characters), pairs that one digest may
 #: give before it is refined, and the fraction of shared words from which a pair takes the exact test.
 MEAN, LEAST, HOT, FRACTION = 8, 3, 1000, 0.08
+#: Two independent cuttings of each record: a pair whose edits fall into most chunks of the one keeps chunks of the other.
+SALTS = (0, 0x5851F42D4C957F2D)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def chunks(h: np.ndarray, han: bool) -> list[tuple[int, int]]:
+def chunks(h: np.ndarray, han: bool, salt: int = 0) -> list[tuple[int, int]]:
     """(digest, words) of the content-defined chunks of a sequence of hashed words."""
-    rolled = (h * _A + np.r_[np.uint64(0), h[:-1]] * _B) * np.uint64(0xD6E8FEB86659FD93)
+    rolled = ((h ^ np.uint64(salt)) * _A + np.r_[np.uint64(0), h[:-1]] * _B) * np.uint64(0xD6E8FEB86659FD93)
     ends = (np.nonzero((rolled >> np.uint64(40)) % np.uint64(MEAN * (2 if han else 1)) == 0)[0] + 1).tolist()
     out, start = [], 0
     for end in [*ends, len(h)]:
@@ -46,7 +48,7 @@ def study(case_id: Column) -> Column:
 
 
 def prepared(ct: DataFrame) -> DataFrame:
-    """ord, split, source, train, key, cid, n, els, chunks: one row per row; cid and the following are null without a long enough report."""
+    """ord, split, source, train, key, cid, n, els, cuts: one row per row; cid and the following are null without a long enough report."""
     ct = ct.select(F.col("ord").cast("long").alias("ord"), "case_id", "report_text", "split", "source")
     counts = ct.sparkSession.sparkContext.broadcast(fit(ct, "report_text"))
 
@@ -54,19 +56,23 @@ def prepared(ct: DataFrame) -> DataFrame:
         model = Canonical(counts.value)
         bags = Bags(model)
         for b in batches:
-            rows = []
-            for o, case, text, split, source in zip(b.ord, b.case_id, b.report_text, b.split, b.source, strict=True):
-                row = [o, split, source, model(case), None, None, None, None]
-                if text is not None:
-                    h, han = bags.hashed(text)
-                    if long_enough(len(h), han):
-                        e = bags.elements(h)
-                        row[4:] = bag_id(e), len(e), e.tobytes(), [{"d": d, "w": w} for d, w in chunks(h, han)]
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=["ord", "split", "source", "case_form", "cid", "n", "els", "chunks"]).astype({"n": "Int32"})
-
-    out = ct.mapInPandas(part, "ord long, split string, source string, case_form string, cid binary, n int, els binary, chunks array<struct<d:long,w:int>>")
-    return stage(out.select("ord", "split", "source", (F.col("split") == "train").alias("train"), study(F.col("case_form")).alias("key"), "cid", "n", "els", "chunks"), "reports")
+            for i in range(0, len(b), 2000):
+                some = b.iloc[i : i + 2000].reset_index(drop=True)
+                h, n, han = bags.hashed(some["report_text"].fillna(""))
+                keep = long_enough(n, han)
+                e, ends = bags.elements(h, n), np.cumsum(n)
+                rows = []
+                for k, (end, size) in enumerate(zip(ends.tolist(), n.tolist(), strict=True)):
+                    if keep[k]:
+                        own, bag = h[end - size : end], e[end - size : end]
+                        rows.append((bag_id(bag), size, bag.tobytes(), [[{"d": d, "w": w} for d, w in chunks(own, han[k], s)] for s in SALTS]))
+                    else:
+                        rows.append((None, None, None, None))
+                forms = pd.DataFrame({"ord": some["ord"], "split": some["split"], "source": some["source"], "case_form": [model(c) for c in some["case_id"]]})
+                yield pd.concat([forms, pd.DataFrame(rows, columns=["cid", "n", "els", "cuts"]).astype({"n": "Int32"})], axis=1)
+
+    out = ct.mapInPandas(part, "ord long, split string, source string, case_form string, cid binary, n int, els binary, cuts array<array<struct<d:long,w:int>>>")
+    return stage(out.select("ord", "split", "source", (F.col("split") == "train").alias("train"), study(F.col("case_form")).alias("key"), "cid", "n", "els", "cuts"), "reports")
 
 
 def _windows(k: int) -> Column:
@@ -78,8 +84,8 @@ def _windows(k: int) -> Column:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """classes: c (id), n, t (has training rows), h (has held-out rows), chunks. Pairs a (held-out), b (training) of different classes."""
-    base = classes.select("c", "n", "t", "h", "chunks")
+    """classes: c (id), n, t (has training rows), h (has held-out rows), cuts. Pairs a (held-out), b (training) of different classes."""
+    base = classes.select("c", "n", "t", "h", F.explode("cuts").alias("chunks"))
     hot, pairs = None, []
     for k in (1, 2, 3):
         if k == 1:
@@ -109,7 +115,7 @@ def overlaps(rows: DataFrame) -> DataFrame:
 
     texts = rows.filter("cid is not null")
     heads = texts.groupBy("cid").agg(F.min("ord").alias("c"), F.max("train").alias("t"), F.max(~F.col("train")).alias("h"))
-    classes = stage(texts.select("cid", "n", "els", "chunks", F.col("ord").alias("c")).join(heads, ["cid", "c"]), "classes")
+    classes = stage(texts.select("cid", "n", "els", "cuts", F.col("ord").alias("c")).join(heads, ["cid", "c"]), "classes")
     pairs = candidates(classes)
     bags = classes.select(F.lit("ct").alias("tbl"), F.col("c").alias("cid"), "els")
     # One exact test per unordered pair.
@@ -144,7 +150,7 @@ def report(ct: DataFrame) -> DataFrame:
 def fractions(ct: DataFrame) -> DataFrame:
     """Per held-out row with a long enough report: the share of its words in chunks that some training report holds too."""
     rows = prepared(ct).filter("cid is not null")
-    each = rows.select("ord", "split", "source", "train", "n", F.explode("chunks").alias("x")).select("ord", "split", "source", "train", "n", "x.d", "x.w")
+    each = rows.select("ord", "split", "source", "train", "n", F.explode(F.col("cuts")[0]).alias("x")).select("ord", "split", "source", "train", "n", "x.d", "x.w")
     seen = each.filter("train").select("d").distinct().withColumn("seen", F.lit(True))
     return (
         each.filter("not train").join(seen, "d", "left").groupBy("ord", "split", "source", "n")
