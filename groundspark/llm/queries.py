@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import near_dups, split_overlap
+from . import encode, near_dups, packing, sampling, split_overlap, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,3 +42,43 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dups.groups(table(spark, d, "raw_records"), table(spark, d, "knowledge_nodes"))
+
+
+@query
+def p3_totals(spark: SparkSession, d: str) -> DataFrame:
+    return token_budget.totals(table(spark, d, "raw_records"), table(spark, d, "knowledge_nodes"), table(spark, d, "sources"))
+
+
+@query
+def p3_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return token_budget.budget(table(spark, d, "raw_records"), table(spark, d, "knowledge_nodes")).drop("sources")
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.unmet(table(spark, d, "sample_targets"), table(spark, d, "rois"), table(spark, d, "ct_samples"))
+
+
+@query
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.allocated(table(spark, d, "sample_targets"), sampling.regions(table(spark, d, "rois"), table(spark, d, "ct_samples")))
+
+
+@query
+def p6_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sampled(table(spark, d, "sample_targets"), table(spark, d, "rois"), table(spark, d, "ct_samples"))
+
+
+@query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encoded(table(spark, d, "documents"))
+
+
+@query
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+
+
+@query
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.packed(table(spark, d, "documents"), table(spark, d, "pack_capacities")), table(spark, d, "pack_capacities"))
