@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import encode, near_dups, packing, sampling, split_overlap, token_budget
+from . import encode, near_dups, packing, qa_defects, sampling, split_overlap, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +19,11 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return qa_defects.found(table(spark, d, "qa_items"))
+
+
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.found(table(spark, d, "ct_samples"))
