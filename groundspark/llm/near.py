@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
 from .canon import Canonical
 
 SHARE, LEAST, LEAST_HAN = 0.8, 50, 90
@@ -118,7 +119,7 @@ def near(a: Column, b: Column) -> Column:
 def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """Of candidate pairs (tbl, cid_a, cid_b) those that are near. bags: tbl, cid, els; one row per class."""
     used = pairs.select("tbl", F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct()
-    few = bags.join(used, ["tbl", "cid"], "left_semi").select("tbl", "cid", "els")
+    few = stage(bags.join(used, ["tbl", "cid"], "left_semi").select("tbl", "cid", "els"), "few")
     return (
         pairs.join(few.select("tbl", F.col("cid").alias("cid_a"), F.col("els").alias("els_a")), ["tbl", "cid_a"])
         .join(few.select("tbl", F.col("cid").alias("cid_b"), F.col("els").alias("els_b")), ["tbl", "cid_b"])

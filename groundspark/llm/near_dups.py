@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -25,18 +25,32 @@ from .near import BITS, SHARE, Bags, bag_id, expanded, fingerprints, long_enough
 #: Fingerprints from which vantage points are chosen (a bound, whatever the corpus), classes wanted in a leaf, classes that a
 #: task holds at once.
 SAMPLE, LEAF, BLOCK = 3000, 30000, 30000
+#: Bits of the bitmap that tells which rows take the exact test (a fixed size; bits set in vain only cost a comparison).
+FILTER_BITS = 1 << 23
 WORDS = BITS // 64
 
 
-def bagged(df: DataFrame, model: Canonical) -> DataFrame:
-    """tbl, ord, text -> tbl, ord, cid, n, han, fp, els for the rows long enough to be near another."""
-    counts = df.sparkSession.sparkContext.broadcast(model.counts)
+def _place() -> Column:
+    return F.pmod(F.xxhash64("tbl", "ord"), F.lit(FILTER_BITS))
+
+
+def bagged(df: DataFrame, model: Canonical, wanted: np.ndarray | None = None) -> DataFrame:
+    """tbl, ord, text -> tbl, ord, cid, n, han, fp, els for the rows long enough to be near another. els is the bag.
+
+    wanted: a bitmap of FILTER_BITS bits; only rows whose place is set are treated, and only they have els.
+    """
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast((model.counts, wanted))
 
     def part(batches):
-        bags = Bags(Canonical(counts.value))
-        for b in batches:
-            for i in range(0, len(b), 2000):
-                some = b.iloc[i : i + 2000]
+        counts, bitmap = shared.value
+        bags = Bags(Canonical(counts))
+        for whole in batches:
+            if bitmap is not None:
+                at = whole["place"].to_numpy()
+                whole = whole[(bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+            for i in range(0, len(whole), 2000):
+                some = whole.iloc[i : i + 2000]
                 h, n, han = bags.hashed(some["text"])
                 keep = long_enough(n, han)
                 h, n, han = h[np.repeat(keep, n)], n[keep], han[keep]
@@ -45,12 +59,15 @@ def bagged(df: DataFrame, model: Canonical) -> DataFrame:
                 e = bags.elements(h, n)
                 ends = np.cumsum(n).tolist()
                 els = [e[x:y] for x, y in zip([0, *ends], ends, strict=False)]
-                yield pd.DataFrame(
-                    {"tbl": some["tbl"].to_numpy()[keep], "ord": some["ord"].to_numpy()[keep], "cid": [bag_id(x) for x in els], "n": n.astype(np.int32), "han": han, "fp": [x.tobytes() for x in fingerprints(e, n)], "els": [x.tobytes() for x in els]}
-                )
+                out = {"tbl": some["tbl"].to_numpy()[keep], "ord": some["ord"].to_numpy()[keep]}
+                if bitmap is None:
+                    yield pd.DataFrame(out | {"cid": [bag_id(x) for x in els], "n": n.astype(np.int32), "han": han, "fp": [x.tobytes() for x in fingerprints(e, n)]})
+                else:
+                    yield pd.DataFrame(out | {"els": [x.tobytes() for x in els]})
 
     # A text with too few characters cannot have enough words.
-    return df.filter("length(text) >= 50").select("tbl", "ord", "text").mapInPandas(part, "tbl string, ord long, cid binary, n int, han boolean, fp binary, els binary")
+    rows = df.filter("length(text) >= 50").select("tbl", "ord", "text", *([] if wanted is None else [_place().cast("long").alias("place")]))
+    return rows.mapInPandas(part, "tbl string, ord long, cid binary, n int, han boolean, fp binary" if wanted is None else "tbl string, ord long, els binary")
 
 
 def band(n: int) -> int:
@@ -136,34 +153,49 @@ def shards(reps: DataFrame) -> DataFrame:
                     start, tree, blocks = got
                     home, found = leaves_of(tree, fp, radius(n))
                     if step == 0:
-                        out.append((start + home, int.from_bytes(cid[:4], "little") % blocks, 0, tbl, n, cid, raw))
+                        out.append((start + home, cid % blocks, 0, tbl, n, cid, raw))
                     out += [(start + leaf, k, 1, tbl, n, cid, raw) for leaf in found for k in range(blocks)]
             if out:
                 yield pd.DataFrame(out, columns=["shard", "block", "kind", "tbl", "n", "cid", "fp"])
 
-    return reps.select("tbl", "han", "n", "cid", "fp").mapInPandas(part, "shard int, block int, kind int, tbl string, n int, cid binary, fp binary")
-
-
-def within(h: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Columns of h (words x fingerprints) whose distance to q is at most ``most``. Half of the words already rule out almost all."""
-    half = WORDS // 2
-    d = np.bitwise_count(h[:half] ^ q[:half, None]).sum(axis=0, dtype=np.uint16)
-    some = np.nonzero(d <= most)[0]
+    return reps.select("tbl", "han", "n", "cid", "fp").mapInPandas(part, "shard int, block int, kind int, tbl string, n int, cid long, fp binary")
+
+
+def folded(fps: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints (words x fingerprints) folded by exclusive or: still parity bits, so the bound of the distance holds."""
+    return np.bitwise_xor.reduce(fps.reshape(WORDS // words, words, -1), axis=0)
+
+
+def within(h: np.ndarray, folds: dict[int, np.ndarray], lo: int, hi: int, q: np.ndarray, n: int, most: np.ndarray) -> np.ndarray:
+    """Columns lo to hi of h whose distance to q is at most ``most``. A folded fingerprint first rules out almost all:
+    256 bits tell short texts apart, 512 longer ones."""
+    r, words = radius(n), 4 if n <= 200 else 8 if n <= 450 else WORDS
+    if words not in folds:
+        folds[words] = np.ascontiguousarray(folded(h, words))
+    own = folded(q[:, None], words)
+    c = np.bitwise_count(folds[words][:, lo:hi] ^ own)
+    if words == 4:
+        d = c[0] + c[1]
+        d += c[2]
+        d += c[3]  # 256 would wrap to 0, which the second test catches
+    else:
+        d = c.sum(axis=0, dtype=np.uint16)
+    some = np.nonzero(d <= r)[0]
     if len(some):
-        rest = np.bitwise_count(h[half:, some] ^ q[half:, None]).sum(axis=0, dtype=np.uint16)
-        some = some[d[some] + rest <= most[some]]
-    return some
+        d = np.bitwise_count(h[:, lo + some] ^ q[:, None]).sum(axis=0, dtype=np.int64)
+        some = some[d <= n - most[lo + some]]
+    return some + lo
 
 
 def _search(batches):
     """Rows sorted by shard, block, kind: the homes of a block are held, the queries stream past them."""
-    at, homes, h_n, h_fp, h_id, h_most = None, [], None, None, None, None
+    at, homes, h_n, h_fp, h_id, h_most, folds = None, [], None, None, None, None, {}
     for b in batches:
         out = []
         keys = list(zip(b["shard"].tolist(), b["block"].tolist(), strict=True))
         for key, kind, tbl, n, cid, raw in zip(keys, b["kind"].tolist(), b["tbl"], b["n"].tolist(), b["cid"], b["fp"], strict=True):
             if key != at:
-                at, homes, h_fp = key, [], None
+                at, homes, h_fp, folds = key, [], None, {}
             if kind == 0:
                 homes.append((n, cid, raw))
                 continue
@@ -177,27 +209,38 @@ def _search(batches):
             lo, hi = int(np.searchsorted(h_n, n)), int(np.searchsorted(h_n, int(n / SHARE + 1e-9), side="right"))
             if lo >= hi:
                 continue
-            for k in within(h_fp[:, lo:hi], np.frombuffer(raw, dtype=np.uint64), n - h_most[lo:hi]).tolist():
-                other = h_id[lo + k]
-                if h_n[lo + k] > n or other > cid:
+            for k in within(h_fp, folds, lo, hi, np.frombuffer(raw, dtype=np.uint64), n, h_most).tolist():
+                other = h_id[k]
+                if h_n[k] > n or other > cid:
                     out.append((tbl, cid, other))
         if out:
             yield pd.DataFrame(out, columns=["tbl", "cid_a", "cid_b"])
 
 
-def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows: tbl, ord, cid, n, han, fp, els. Returns members (tbl, ord, cid) and links (tbl, cid_a, cid_b) between different classes.
+def bitmap(pairs: DataFrame) -> np.ndarray:
+    """The places of both sides of candidate pairs (tbl, cid_a, cid_b) in a bitmap of fixed size."""
+    place = pairs.select("tbl", F.explode(F.array("cid_a", "cid_b")).alias("ord")).select(_place().alias("p"))
+    parts = place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(bigint(1), cast(p & 63 as int))")).alias("b")).collect()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for w, b in parts:
+        out[w] = b
+    return out.view(np.uint8)
+
+
+def near_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df: tbl, ord, text. Returns members (tbl, ord, cid) and links (tbl, cid_a, cid_b) between different classes.
 
-    Rows without text or with too few words belong to no class. Equal texts share a class, whatever their number.
+    The id of a class is the smallest ord of its rows. Rows without text or with too few words belong to no class. Equal texts
+    share a class, whatever their number.
     """
-    rows = stage(rows, "bags")
-    members = rows.select("tbl", "ord", "cid")
-    heads = members.groupBy("tbl", "cid").agg(F.min("ord").alias("ord"))
-    one = rows.join(heads, ["tbl", "cid", "ord"], "left_semi")
-    reps = stage(one.select("tbl", "cid", "n", "han", "fp"), "classes")
-    pairs = shards(reps).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind").mapInPandas(_search, "tbl string, cid_a binary, cid_b binary")
-    links = stage(verified(stage(pairs, "candidates"), one), "links")
-    return members, links
+    model = Canonical(fit(df, "text"))
+    rows = stage(bagged(df, model), "bags")
+    heads = rows.groupBy("tbl", "cid").agg(F.min("ord").alias("head"))
+    members = rows.select("tbl", "ord", "cid").join(heads, ["tbl", "cid"]).select("tbl", "ord", F.col("head").alias("cid"))
+    reps = stage(rows.join(heads.select("tbl", "cid", F.col("head").alias("ord")), ["tbl", "cid", "ord"], "left_semi").select("tbl", F.col("ord").alias("cid"), "n", "han", "fp"), "classes")
+    pairs = stage(shards(reps).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind").mapInPandas(_search, "tbl string, cid_a long, cid_b long"), "candidates")
+    bags = bagged(df, model, bitmap(pairs)).withColumnRenamed("ord", "cid")
+    return stage(members, "members"), stage(verified(pairs, bags), "links")
 
 
 def texts(raw: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -208,14 +251,13 @@ def texts(raw: DataFrame, nodes: DataFrame) -> DataFrame:
 def found(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs of rows of one table with near texts: tbl, ord_a, ord_b."""
     df = texts(raw, nodes)
-    members, links = near_classes(bagged(df, Canonical(fit(df, "text"))))
-    return expanded(members, links)
+    return expanded(*near_classes(df))
 
 
 def groups(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row per row that has a class: tbl, ord, class_ord (smallest ord of its equal texts), n_copies, n_links (classes near to its own)."""
     df = texts(raw, nodes)
-    members, links = near_classes(bagged(df, Canonical(fit(df, "text"))))
+    members, links = near_classes(df)
     degree = links.select("tbl", F.explode(F.array("cid_a", "cid_b")).alias("cid")).groupBy("tbl", "cid").agg(F.count(F.lit(1)).alias("n_links"))
     heads = members.groupBy("tbl", "cid").agg(F.min("ord").alias("class_ord"), F.count(F.lit(1)).alias("n_copies"))
     return members.join(heads.join(degree, ["tbl", "cid"], "left"), ["tbl", "cid"]).select("tbl", "ord", "class_ord", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
