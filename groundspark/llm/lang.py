@@ -21,6 +21,7 @@ FUNCTION_WORDS = {
 _WORDS = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿]")
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_GERMAN, _SPANISH = re.compile("[äöüßÄÖÜ]"), re.compile("[ñáíóú¿¡Ñ]")
 _BRACKETS = re.compile(r"[(（\[【][^()（）\[\]【】]*[)）\]】]")
 
 
@@ -37,8 +38,9 @@ def scores(text: str) -> dict[str, float]:
     words = _WORDS.findall(text.lower())
     latin = [w for w in words if not _HAN.match(w)]
     out = {k: float(sum(w in s for w in latin)) for k, s in _SETS.items()}
-    out["de"] += sum(1.5 for c in text if c in "äöüßÄÖÜ")
-    out["es"] += sum(1.5 for c in text if c in "ñáíóú¿¡Ñ")
+    if not text.isascii():
+        out["de"] += 1.5 * len(_GERMAN.findall(text))
+        out["es"] += 1.5 * len(_SPANISH.findall(text))
     out["zh"] = han * 0.7
     return out
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import encode, near_dups, packing, qa_defects, sampling, split_overlap, token_budget
+from . import encode, lookalikes, near_dups, packing, qa_defects, reading, sampling, split_overlap, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,16 @@ def p2_fractions(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.fractions(table(spark, d, "ct_samples"))
 
 
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.found(lookalikes.texts(table(spark, d, "raw_records"), table(spark, d, "qa_items")))
+
+
+@query
+def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.canonical(lookalikes.texts(table(spark, d, "raw_records"), table(spark, d, "qa_items")))
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dups.found(table(spark, d, "raw_records"), table(spark, d, "knowledge_nodes"))
@@ -87,3 +97,8 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.packed(table(spark, d, "documents"), table(spark, d, "pack_capacities")), table(spark, d, "pack_capacities"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.graded(table(spark, d, "documents"), table(spark, d, "reading_labels"))
