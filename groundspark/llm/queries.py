@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import encode, lookalikes, near_dups, packing, qa_defects, reading, sampling, split_overlap, token_budget
+from . import encode, lookalikes, near_dups, packing, pii, qa_defects, reading, sampling, split_overlap, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +84,16 @@ def p6_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sampled(table(spark, d, "sample_targets"), table(spark, d, "rois"), table(spark, d, "ct_samples"))
 
 
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "raw_records"), table(spark, d, "qa_items"))
+
+
+@query
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.replaced(table(spark, d, "raw_records"), table(spark, d, "qa_items"))
+
+
 @query
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encoded(table(spark, d, "documents"))
