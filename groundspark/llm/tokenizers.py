@@ -18,10 +18,13 @@ FOLDER = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of the byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = regex.compile(SPLIT)
-# The same pieces by the standard library, which is faster, where all characters are ASCII or Chinese.
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z一-鿿]+| ?[0-9]+| ?[^\sA-Za-z一-鿿0-9]+|\s+(?!\S)|\s+")
-_NOT_PLAIN = re.compile("[^\t-\r -~一-鿿。，、？！；：（）“”‘’—…]")
-KNOWN = 300_000
+# The same pieces by the standard library, which is faster, for texts of characters of which it is known whether they are
+# letters or figures: Latin, Greek, Cyrillic, Chinese and full-width ones, marks and spaces.
+_L = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωЀ-ҁҊ-ԯ一-鿿Ａ-Ｚａ-ｚ"
+_D = "0-9０-９"
+_PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_D}]+| ?[^\s{_L}{_D}]+|\s+(?!\S)|\s+")
+_NOT_PLAIN = re.compile(rf"[^\x00-\x7f\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf×÷{_L}{_D}\u0300-\u036f\u2000-\u2064、。〈-】！-／：-＠]")
+KNOWN = 100_000
 
 
 def pieces(text: str) -> list[str]:
@@ -78,6 +81,7 @@ class ByteEncoder:
         self.bytes = {r: b for b, r in vocabulary.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=piece_model(vocabulary))
         self.known: dict[str, list[int]] = {}
+        self.sizes: dict[str, int] = {}
 
     def _learn(self, new: list[str]) -> None:
         if len(self.known) > KNOWN:
@@ -101,7 +105,17 @@ class ByteEncoder:
         return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
 
     def count(self, text: str | None) -> int:
-        return len(self.ids(text))
+        if not text:
+            return 0
+        found, sizes = pieces(text), self.sizes
+        try:
+            return sum([sizes[p] for p in found])
+        except KeyError:
+            if len(sizes) > KNOWN:
+                sizes.clear()
+            new = [p for p in dict.fromkeys(found) if p not in sizes]
+            sizes.update(zip(new, map(len, self.model.encode([mapped(p) for p in new], num_threads=1)), strict=True))
+            return sum([sizes[p] for p in found])
 
 
 class _Remembered:
@@ -157,7 +171,7 @@ class WordCounter(_Remembered):
     """A vocabulary of lower-case words with word ends, which drops white space: a chunk is a word of the tokenizer's own split."""
 
     chunk = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z一-鿿]+|[0-9]|[^\sa-z一-鿿0-9]+")
+    plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_D}]|[^\s{_L}{_D}]+")
 
     def __init__(self, name: str = "word_bpe_49k", folder: str = FOLDER):
         super().__init__()
