@@ -35,11 +35,15 @@ def deidentify(c: Column, config: DeidConfig | None = None) -> Column:
     """struct(text, found: array<struct<category, text>>): each stage works on what the one before it left."""
     k = config or DeidConfig()
     found = []
+
+    def tagged(category: str, texts: Column) -> Column:
+        return F.transform(texts, lambda x: F.struct(F.lit(category).alias("category"), x.alias("text")))
+
     for name, pattern, mask in k.values():
-        found.append(F.transform(all_of(c, pattern), lambda x, name=name: F.struct(F.lit(name).alias("category"), x.alias("text"))))
+        found.append(tagged(name, all_of(c, pattern)))
         c = F.regexp_replace(c, pattern, mask)
     if k.labeled_fields:
-        found.append(F.transform(all_of(c, LABELED, 3), lambda x: F.struct(F.lit("labeled").alias("category"), x.alias("text"))))
+        found.append(tagged("labeled", all_of(c, LABELED, 3)))
         c = F.regexp_replace(c, LABELED, "$1$2[REDACTED]")
     empty = F.array().cast("array<struct<category:string,text:string>>")
     return F.struct(c.alias("text"), (F.concat(*found) if found else empty).alias("found"))

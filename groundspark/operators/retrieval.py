@@ -47,9 +47,10 @@ def knn(queries: DataFrame, rows: DataFrame, k: int = 5, where: Column | None =
     nq, nr = queries.count(), rows.count()
     qb, rb = max(1, -(-nq // QUERY_BLOCK)), max(1, -(-nr // ROW_BLOCK))
     # Every query block is paired with every row block: the fewer blocks of the two sides are spread.
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))).select("qb", "rb", "query_id", "vector")
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))).select(F.col("qb").alias("qb"), F.col("rb").alias("rb"), F.col("query_id").alias("query_id"), F.col("vector").alias("query_vector"))
     r = rows.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(rb))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).select("qb", "rb", "id", "vector")
-    q, r = q.withColumn("qb", F.col("qb").cast("int")).withColumn("rb", F.col("rb").cast("int")), r.withColumn("qb", F.col("qb").cast("int")).withColumn("rb", F.col("rb").cast("int"))
+    both = lambda df: df.withColumn("qb", F.col("qb").cast("int")).withColumn("rb", F.col("rb").cast("int"))
+    q, r = both(q), both(r)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -57,7 +58,7 @@ def knn(queries: DataFrame, rows: DataFrame, k: int = 5, where: Column | None =
         unit = lambda s: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))(np.array(s.tolist(), dtype=np.float64))
         b = b.sort_values("id", kind="stable")
         ids, m, out = b["id"].to_numpy(), unit(b["vector"]), []
-        u = unit(a["vector"])
+        u = unit(a["query_vector"])
         for i in range(0, len(a), 256):
             s = np.round(u[i : i + 256] @ m.T, 12)
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
