@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .canon import Canonical, fit
 from .near import BITS, SHARE, Bags, bag_id, expanded, fingerprints, long_enough, verified
+from .sample import bounded
 
 #: Fingerprints from which vantage points are chosen (a bound, whatever the corpus), classes wanted in a leaf, classes that a
 #: task holds at once.
@@ -124,7 +125,7 @@ def leaves_of(tree, fp: np.ndarray, r: int) -> tuple[int, list[int]]:
 
 
 def _sampled(reps: DataFrame) -> list:
-    return reps.select("tbl", "han", "n", "fp").orderBy(F.xxhash64("cid")).limit(SAMPLE).collect()
+    return bounded(reps, SAMPLE, "tbl", "han", "n", "fp", keys=("tbl", "cid"))
 
 
 def shards(reps: DataFrame) -> DataFrame:
