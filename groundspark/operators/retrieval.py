@@ -54,7 +54,7 @@ def knn(queries: DataFrame, rows: DataFrame, k: int = 5, where: Column | None =
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"query_id": pd.Series(dtype=object), "id": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
         unit = lambda s: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))(np.array(s.tolist(), dtype=np.float64))
         b = b.sort_values("id", kind="stable")
         ids, m, out = b["id"].to_numpy(), unit(b["vector"]), []
@@ -246,6 +246,7 @@ def embed(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray],
         m = np.asarray(encoder(some.tolist()), dtype=np.float64) if len(some) else np.zeros((0, 1))
         if normalize and len(some):
             m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        return pd.Series(list(m), index=some.index).reindex(s.index)
+        rows = iter(m.tolist())
+        return pd.Series([None if t is None or t != t else next(rows) for t in s], index=s.index, dtype=object)
 
     return df.withColumn(out, vectors(F.col(text)))
