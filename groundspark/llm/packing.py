@@ -75,9 +75,11 @@ def sized(docs: DataFrame, tokenizers: list[str], folder: str = FOLDER) -> DataF
 
     def part(batches):
         counters = [(t, counter(t, folder)) for t in tokenizers]
-        for b in batches:
-            for name, c in counters:
-                yield pd.DataFrame({"doc_id": b["doc_id"], "tokenizer": name, "tokens": [c.count(t) for t in b["text"]]})
+        for whole in batches:
+            for i in range(0, len(whole), 1000):
+                b = whole.iloc[i : i + 1000]
+                for name, c in counters:
+                    yield pd.DataFrame({"doc_id": b["doc_id"], "tokenizer": name, "tokens": [c.count(t) for t in b["text"]]})
 
     return docs.select("doc_id", "text").mapInPandas(part, "doc_id long, tokenizer string, tokens long")
 

@@ -24,7 +24,8 @@ _L = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωЀ-ҁҊ-ԯ一-鿿Ａ-Ｚａ-ｚ"
 _D = "0-9０-９"
 _PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_D}]+| ?[^\s{_L}{_D}]+|\s+(?!\S)|\s+")
 _NOT_PLAIN = re.compile(rf"[^\x00-\x7f\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf×÷{_L}{_D}\u0300-\u036f\u2000-\u2064、。〈-】！-／：-＠]")
-KNOWN = 100_000
+#: Pieces that a counter remembers, and characters of the longest of them.
+KNOWN, LONG = 100_000, 64
 
 
 def pieces(text: str) -> list[str]:
@@ -114,8 +115,9 @@ class ByteEncoder:
             if len(sizes) > KNOWN:
                 sizes.clear()
             new = [p for p in dict.fromkeys(found) if p not in sizes]
-            sizes.update(zip(new, map(len, self.model.encode([mapped(p) for p in new], num_threads=1)), strict=True))
-            return sum([sizes[p] for p in found])
+            told = dict(zip(new, map(len, self.model.encode([mapped(p) for p in new], num_threads=1)), strict=True))
+            sizes.update((p, n) for p, n in told.items() if len(p) <= LONG)
+            return sum([told[p] if p in told else sizes[p] for p in found])
 
 
 class _Remembered:
@@ -139,13 +141,17 @@ class _Remembered:
         if not text:
             return 0
         found, known = self.split(self.prepared(text)), self.known
+        try:
+            return sum([known[p] for p in found])
+        except KeyError:
+            pass
+        if len(known) > KNOWN:
+            known.clear()
         new = [p for p in dict.fromkeys(found) if p not in known]
-        if new:
-            if len(known) > KNOWN:
-                known.clear()
-                new = list(dict.fromkeys(found))
-            known.update(zip(new, self.counts(new), strict=True))
-        return sum(map(known.__getitem__, found))
+        told = dict(zip(new, self.counts(new), strict=True))
+        # Long chunks, such as whole Chinese texts, hardly come again.
+        known.update((p, n) for p, n in told.items() if len(p) <= LONG)
+        return sum([told[p] if p in told else known[p] for p in found])
 
 
 class PieceCounter(_Remembered):
