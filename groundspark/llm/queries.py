@@ -112,3 +112,16 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.graded(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+SQL["p6_found"] = r"""
+with r as (
+    select sample_ord, roi_index, ord, case when area_fraction between 0 and 1 then case when area_fraction < 0.02 then 'small' when area_fraction <= 0.05 then 'medium' else 'large' end
+        when lower(regexp_replace(area_band, '\s+', '', 'g')) in ('small', 'medium', 'large') then lower(regexp_replace(area_band, '\s+', '', 'g')) end as band
+    from rois where sample_ord is not null and roi_index is not null),
+o as (select sample_ord, arg_min(band, ord) as band from r where band is not null group by sample_ord, roi_index),
+g as (select c.source, o.band, count(*) as n from o join ct_samples c on c.ord = o.sample_ord where c.source is not null group by 1, 2),
+p as (select t.plan_id, sum(g.n) as n from (select distinct plan_id, source from sample_targets) t join g using (source) group by 1)
+select t.plan_id, t.source, t.area_band from sample_targets t left join g on g.source = t.source and g.band = t.area_band left join p on p.plan_id = t.plan_id
+where coalesce(g.n, 0) < greatest(ceil(t.target_share::decimal(18, 9) * floor(t.sample_rate::decimal(18, 9) * coalesce(p.n, 0))), coalesce(t.min_rows, 0))
+"""
