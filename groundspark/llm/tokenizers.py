@@ -181,6 +181,8 @@ class WordCounter(_Remembered):
 
     def __init__(self, name: str = "word_bpe_49k", folder: str = FOLDER):
         super().__init__()
+        # Each task has one core: more threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(os.path.join(folder, f"{name}.json"))
