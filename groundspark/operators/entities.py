@@ -29,15 +29,20 @@ def dictionary_backend(pattern: str, label: str = "drug", cui: Column | None = N
     """An offline backend: every match of a pattern is an entity. start and end are those of its first occurrence."""
 
     def extract(text: Column) -> Column:
-        lang = detect_language(text)
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        return F.transform(
-            found,
-            lambda w: F.struct(
-                w.alias("text"), map_label(F.lit(label), F.lit("en")).alias("label"), (F.instr(text, w) - 1).cast("int").alias("start"),
-                (F.instr(text, w) - 1 + F.length(w)).cast("int").alias("end"), lang.alias("lang"), (cui if cui is not None else F.lit(None).cast("string")).alias("cui"), F.lit(1.0).alias("score"),
-            ),
-        )
+        row = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), detect_language(text).alias("lang"), text.alias("text")))
+
+        def entities(r: Column) -> Column:
+            at = lambda w: F.instr(r["text"], w) - 1
+            return F.transform(
+                r["found"],
+                lambda w: F.struct(
+                    w.alias("text"), map_label(F.lit(label), F.lit("en")).alias("label"), at(w).cast("int").alias("start"), (at(w) + F.length(w)).cast("int").alias("end"),
+                    r["lang"].alias("lang"), (cui if cui is not None else F.lit(None).cast("string")).alias("cui"), F.lit(1.0).alias("score"),
+                ),
+            )
+
+        # Matches and language are bound by a lambda, so they are worked out once for a row and not for every entity.
+        return F.transform(row, entities)[0]
 
     return extract
 
