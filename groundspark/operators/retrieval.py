@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 
 from ..functions.math import sigmoid
 from ..functions.text import tokenize
+from ..session import stage
 
 #: Queries and rows that one task compares at once.
 QUERY_BLOCK, ROW_BLOCK = 2000, 20000
+#: Documents that one task scores at once by their words.
+DOC_BLOCK = 4000
 
 
 @dataclass(frozen=True)
@@ -111,20 +114,19 @@ def ann(queries: DataFrame, cells: DataFrame, centres: np.ndarray, k: int = 5, p
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, drop_zero: bool = False) -> DataFrame:
     """Okapi BM25. queries: query_id, text; docs: id, text (ids order ties). Repeated query words add their score again.
 
-    Only words of the queries are kept of the documents. Documents that share no word score 0: the first of them fill up to k,
+    Of the documents only words of the queries are scored. Documents that share no word score 0: the first of them fill up to k,
     unless drop_zero.
     """
-    terms = docs.select("id", F.explode(tokenize(F.coalesce("text", F.lit("")))).alias("w"))
     asked = queries.select("query_id", F.explode(tokenize(F.coalesce("text", F.lit("")))).alias("w")).groupBy("query_id", "w").agg(F.count(F.lit(1)).alias("qn"))
-    length = docs.select("id", F.size(tokenize(F.coalesce("text", F.lit("")))).alias("dl"))
-    n, avg = length.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    tf = terms.groupBy("id", "w").agg(F.count(F.lit(1)).alias("tf"))
-    freq = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    split = docs.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("ws"))
+    split = stage(split.select("id", F.size("ws").alias("dl"), F.array_join("ws", " ").alias("ws")), "split")
+    n, avg = split.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    freq = stage(split.filter("dl > 0").select(F.explode(F.array_distinct(F.split("ws", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "words")
     mean = freq.agg(F.avg("raw")).first()[0] or 0.0
     idf = freq.select("w", F.when(F.col("raw") < 0, F.lit(epsilon * mean)).otherwise(F.col("raw")).alias("idf"))
-    words = asked.select("w").distinct().join(idf, "w")
-    hits = tf.join(words, "w").join(length, "id").withColumn("s", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avg or 1.0)))).select("id", "w", "s")
-    scored = asked.join(hits, "w").groupBy("query_id", "id").agg(F.sum(F.col("qn") * F.col("s")).alias("score"))
+    weighed = asked.join(idf, "w").select("query_id", "w", "qn", "idf")
+    saturate = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (avg or 1.0)))
+    scored = stage(_scored(weighed, split, k, saturate, max(1, -(-n // DOC_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))), "scored")
     if not drop_zero:
         # At most k documents are missing, and they are among the first 2 k by id that have no hit.
         fill = queries.select("query_id").crossJoin(F.broadcast(docs.select("id").orderBy("id").limit(2 * k))).join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
@@ -132,6 +134,49 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 50, k1: float = 1.5, b: f
     return ranked(scored.withColumn("score", F.round("score", 12)), [F.desc("score"), F.asc("id")], k)
 
 
+def _scored(asked: DataFrame, docs: DataFrame, k: int, saturate: Callable, rb: int, qb: int) -> DataFrame:
+    """query_id, id, score: sums over the words that a query (query_id, w, qn, idf) and a document (id, ws) share.
+
+    As in knn, blocks meet blocks, so no row a shared word is shuffled: of a block the k best documents of a query are kept, and
+    the first 2 k by id that have a hit, by which bm25 tells those without.
+    """
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    out = f"query_id {kind(asked, 'query_id')}, id {kind(docs, 'id')}, score double"
+    q = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"), F.col("query_id").alias("query_id"), F.col("w").alias("w"), F.col("qn").alias("qn"), F.col("idf").alias("idf"))
+    r = docs.select(F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(rb)).cast("int").alias("rb"), F.col("id").alias("id"), F.col("ws").alias("ws"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(a) and len(b):
+            a, b = a.sort_values(["query_id", "w"]), b.sort_values("id")
+            code, words = pd.factorize(a["w"])
+            idf = np.zeros(len(words))
+            idf[code] = a["idf"]
+            of, ids = {w: i for i, w in enumerate(words)}, b["id"].to_numpy()
+            doc, word, tf, dl = [], [], [], []
+            for i, t in enumerate(b["ws"]):
+                ws = t.split()
+                c, m = np.unique(np.array([of[w] for w in ws if w in of], dtype=np.int64), return_counts=True)
+                doc.append(np.full(len(c), i))
+                word.append(c)
+                tf.append(m)
+                dl.append(np.full(len(c), len(ws)))
+            doc, word, tf, dl = (np.concatenate(x) for x in (doc, word, tf, dl))
+            at = np.argsort(word, kind="stable")
+            doc, word, s = doc[at], word[at], (idf[word] * saturate(tf, dl))[at]
+            lo, hi = np.searchsorted(word, np.arange(len(words))), np.searchsorted(word, np.arange(len(words)), side="right")
+            for query, g in a.assign(code=code).groupby("query_id", sort=False):
+                c = g["code"].to_numpy()
+                at = np.concatenate([np.arange(x, y) for x, y in zip(lo[c], hi[c], strict=True)])
+                score = np.round(np.bincount(doc[at], s[at] * np.repeat(g["qn"].to_numpy(), hi[c] - lo[c]), len(ids)), 12)
+                hit = np.unique(doc[at])
+                keep = np.union1d(hit[np.argsort(-score[hit], kind="stable")[:k]], hit[: 2 * k]).astype(np.int64)
+                found.append(pd.DataFrame({"query_id": query, "id": ids[keep], "score": score[keep]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype=object), "id": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
+
+    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(best, out)
+
+
 def rrf(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, id, rank): sum of 1 / (k + rank); ties in the order of first sight."""
     every = None

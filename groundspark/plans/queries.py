@@ -414,11 +414,14 @@ def automerge(spark, d):
 
 @query()
 def hybrid_retrieve(spark, d):
-    v = _vectors(spark, d)
-    t = table(spark, d, "documents").select(F.row_number().over(_row("doc_id")).alias("n"), "text")
-    rows = v.withColumn("n", F.row_number().over(_row("id"))).join(t, "n", "left")
-    chunks = rows.select(F.col("id").cast("string").alias("id"), F.concat(F.lit("p"), F.floor(F.col("id") / 4).cast("string")).alias("parent_id"), F.lit(True).alias("is_leaf"), "text", "vector")
-    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.substring("text", 1, 80).alias("text"), "vector")
+    # The n-th document has the n-th vector; documents beyond the vectors are found by their words.
+    t = table(spark, d, "documents").select("doc_id", "text")
+    v = _vectors(spark, d).withColumn("n", F.row_number().over(_row("id")))
+    rows = t.select("doc_id", F.row_number().over(_row("doc_id")).alias("n")).join(v, "n", "full").join(t, "doc_id", "left")
+    name = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    parent = F.concat(F.lit("p"), F.floor(F.coalesce("id", F.col("n") - 1) / 4).cast("string"))
+    chunks = stage(rows.select(name.alias("id"), parent.alias("parent_id"), F.lit(True).alias("is_leaf"), "text", "vector", F.col("id").alias("vec_id")), "chunks")
+    asked = chunks.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "text", "vector")
     return retrieval.hybrid(asked, chunks)
 
 

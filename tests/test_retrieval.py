@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundspark.operators import chunking, report, retrieval
+from groundspark.plans.queries import QUERIES
 
 
 def hits(spark, rows):
@@ -107,3 +108,24 @@ def test_report(spark):
     assert len(dropped[1].findings) == 2
     with pytest.raises(RuntimeError):
         report.generated(spark.createDataFrame([], "query_id int, prompt string, evidence array<struct<source_id:string>>, n_rois int, abstain boolean, abstain_reason string"), None)
+
+
+def test_bm25_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.6, 30) if x < 40) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    q = docs.filter("id % 7 = 0").select(F.col("id").alias("query_id"), "text")
+    whole = sorted(retrieval.bm25(q, docs, 8).collect())
+    monkeypatch.setattr(retrieval, "DOC_BLOCK", 9)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    assert sorted(retrieval.bm25(q, docs, 8).collect()) == whole and len(whole) == 9 * 8
+
+
+def test_hybrid_query_sees_every_document_and_whole_texts(spark, tmp_path):
+    start = " ".join(f"filler{i}" for i in range(12))
+    texts = [f"{start} zebrafish"] + [f"only{i}" for i in range(11)] + ["zebrafish"]
+    spark.createDataFrame([(3 * i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(4)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [r.id for r in QUERIES["hybrid_retrieve"](spark, str(tmp_path)).orderBy("rank").collect()]
+    # The last document, alone under p3, has no vector and shares with the query only the word behind character 80.
+    assert len(start) > 80 and got[:2] == ["p0", "p3"] and set(got) == {"p0", "p1", "p2", "p3"}
