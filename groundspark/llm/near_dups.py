@@ -218,6 +218,11 @@ def _search(batches):
             yield pd.DataFrame(out, columns=["tbl", "cid_a", "cid_b"])
 
 
+def searched(reps: DataFrame) -> DataFrame:
+    """reps: tbl, han, n, cid, fp. Pairs (tbl, cid_a, cid_b) whose fingerprints are as close as those of near texts."""
+    return shards(reps).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind").mapInPandas(_search, "tbl string, cid_a long, cid_b long")
+
+
 def bitmap(pairs: DataFrame) -> np.ndarray:
     """The places of both sides of candidate pairs (tbl, cid_a, cid_b) in a bitmap of fixed size."""
     place = pairs.select("tbl", F.explode(F.array("cid_a", "cid_b")).alias("ord")).select(_place().alias("p"))
@@ -239,7 +244,7 @@ def near_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = rows.groupBy("tbl", "cid").agg(F.min("ord").alias("head"))
     members = rows.select("tbl", "ord", "cid").join(heads, ["tbl", "cid"]).select("tbl", "ord", F.col("head").alias("cid"))
     reps = stage(rows.join(heads.select("tbl", "cid", F.col("head").alias("ord")), ["tbl", "cid", "ord"], "left_semi").select("tbl", F.col("ord").alias("cid"), "n", "han", "fp"), "classes")
-    pairs = stage(shards(reps).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind").mapInPandas(_search, "tbl string, cid_a long, cid_b long"), "candidates")
+    pairs = stage(searched(reps), "candidates")
     bags = bagged(df, model, bitmap(pairs)).withColumnRenamed("ord", "cid")
     return stage(members, "members"), stage(verified(pairs, bags), "links")
 

@@ -2,8 +2,8 @@
 
 The words of a normalised report are cut where a rolling hash over two words hits a fixed residue, so an edit moves only the
 cuts beside it. Chunk digests are joined across the splits; the shared lengths are summed to overlap fractions, and pairs above
-a low fraction take the exact test for near texts. A digest that too many records share (a stock phrase) is not dropped: it is
-replaced by the windows of two, then of three chunks around it, which are joined instead.
+a low fraction take the exact test for near texts. A digest that too many records share (a stock phrase) is not joined: all near pairs of records
+that hold such a digest are searched by the fingerprints of problem 5 instead, whose radius is a true bound.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .canon import Canonical, fit
-from .near import SHARE, Bags, bag_id, long_enough, verified
+from .near import SHARE, Bags, bag_id, fingerprints, long_enough, verified
+from .near_dups import searched
 
 #: Mean and least words of a chunk (twice as many for Chinese, whose words are single characters), pairs that one digest may
-#: give before it is refined, and the fraction of shared words from which a pair takes the exact test.
+#: give before its records are searched by fingerprints, and the fraction of shared words from which a pair takes the exact test.
 MEAN, LEAST, HOT, FRACTION = 8, 3, 1000, 0.08
 #: Two independent cuttings of each record: a pair whose edits fall into most chunks of the one keeps chunks of the other.
 SALTS = (0, 0x5851F42D4C957F2D)
@@ -75,36 +76,37 @@ def prepared(ct: DataFrame) -> DataFrame:
     return stage(out.select("ord", "split", "source", (F.col("split") == "train").alias("train"), study(F.col("case_form")).alias("key"), "cid", "n", "els", "cuts"), "reports")
 
 
-def _windows(k: int) -> Column:
-    """Digest and words of all windows of k chunks."""
-    return F.expr(
-        f"transform(sequence(0, size(chunks) - {k}), i -> named_struct('d', xxhash64(transform(slice(chunks, i + 1, {k}), c -> c.d)), "
-        f"'w', aggregate(slice(chunks, i + 1, {k}), 0, (s, c) -> s + c.w), 'parts', transform(sequence(0, {k - 2}), j -> xxhash64(transform(slice(chunks, i + j + 1, {k - 1}), c -> c.d)))))"
-    )
+def _close(classes: DataFrame) -> DataFrame:
+    """Pairs a < b of classes (c, n, els) whose bags can be near by their fingerprints: all that are, whatever they share."""
+
+    def part(batches):
+        for b in batches:
+            n = b["n"].to_numpy(np.int64)
+            fp = fingerprints(np.frombuffer(b"".join(b["els"]), dtype=np.uint32), n)
+            yield pd.DataFrame({"tbl": "ct", "han": False, "n": n, "cid": b["c"], "fp": [x.tobytes() for x in fp]})
+
+    reps = stage(classes.select("c", "n", "els").mapInPandas(part, "tbl string, han boolean, n int, cid long, fp binary"), "hot")
+    return stage(searched(reps), "close").select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """classes: c (id), n, t (has training rows), h (has held-out rows), cuts. Pairs a (held-out), b (training) of different classes."""
-    base = classes.select("c", "n", "t", "h", F.explode("cuts").alias("chunks"))
-    hot, pairs = None, []
-    for k in (1, 2, 3):
-        if k == 1:
-            keys = base.select("c", "n", "t", "h", F.explode(F.expr("transform(chunks, x -> named_struct('d', xxhash64(array(x.d)), 'w', x.w))")).alias("x")).select("c", "n", "t", "h", "x.d", "x.w")
-        else:
-            wide = base.filter(F.size("chunks") >= k).select("c", "n", "t", "h", F.explode(_windows(k)).alias("x")).select("c", "n", "t", "h", "x.d", "x.w", "x.parts")
-            # Windows of which a part is hot.
-            keys = wide.select("*", F.explode("parts").alias("part")).join(hot.select(F.col("d").alias("part")), "part", "left_semi").drop("part", "parts")
-        keys = stage(keys.groupBy("c", "n", "t", "h", "d").agg(F.max("w").alias("w")), f"chunks{k}")
-        busy = keys.groupBy("d").agg(F.sum(F.col("t").cast("long")).alias("nt"), F.sum(F.col("h").cast("long")).alias("nh")).filter("nt > 0 and nh > 0 and nt + nh > 1")
-        hot = stage(busy.filter(F.col("nt") * F.col("nh") > HOT).select("d"), f"hot{k}")
-        use = keys.join(busy.select("d"), "d", "left_semi")
-        use = use.join(hot, "d", "left_anti") if k < 3 else use  # the last windows are joined whatever their number
-        a = use.filter("h").select(F.col("c").alias("a"), F.col("n").alias("na"), "d", "w")
-        b = use.filter("t").select(F.col("c").alias("b"), F.col("n").alias("nb"), "d")
-        pairs.append(a.join(b, "d").filter(f"a <> b and least(na, nb) >= {SHARE} * greatest(na, nb) - 1e-9").select("a", "b", "na", "nb", F.lit(k).alias("k"), "w"))
-    every = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
-    # Windows of k chunks overlap: a chunk counts up to k times, so their lengths count for a k-th.
-    return every.groupBy("a", "b", "na", "nb").agg(F.sum(F.col("w") / F.col("k")).alias("words")).filter(F.col("words") >= FRACTION * F.greatest("na", "nb")).select("a", "b")
+    """classes: c (id), n, t (has training rows), h (has held-out rows), els, cuts. Pairs a (held-out), b (training) of different classes."""
+    keys = classes.select("c", "n", "t", "h", F.explode("cuts").alias("chunks")).select("c", "n", "t", "h", F.explode("chunks").alias("x")).select("c", "n", "t", "h", "x.d", "x.w")
+    keys = stage(keys.groupBy("c", "n", "t", "h", "d").agg(F.max("w").alias("w")), "chunks")
+    busy = keys.groupBy("d").agg(F.sum(F.col("t").cast("long")).alias("nt"), F.sum(F.col("h").cast("long")).alias("nh")).filter("nt > 0 and nh > 0 and nt + nh > 1")
+    busy = stage(busy.select("d", (F.col("nt") * F.col("nh") > HOT).alias("hot")), "busy")
+    use = keys.join(busy.filter("not hot").select("d"), "d", "left_semi")
+    a = use.filter("h").select(F.col("c").alias("a"), F.col("n").alias("na"), "d", "w")
+    b = use.filter("t").select(F.col("c").alias("b"), F.col("n").alias("nb"), "d")
+    met = a.join(b, "d").filter(f"a <> b and least(na, nb) >= {SHARE} * greatest(na, nb) - 1e-9")
+    cold = met.groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("words")).filter(F.col("words") >= FRACTION * F.greatest("na", "nb")).select("a", "b")
+    # Two records that share a hot chunk both hold one.
+    holds = keys.join(busy.filter("hot").select("d"), "d", "left_semi").select("c").distinct()
+    close = _close(classes.join(holds, "c", "left_semi"))
+    sides = lambda x: classes.select(F.col("c").alias(x), F.col("t").alias(f"t{x}"), F.col("h").alias(f"h{x}"))
+    cross = close.join(sides("a"), "a").join(sides("b"), "b")
+    hot = cross.filter("ha and tb").select("a", "b").unionByName(cross.filter("ta and hb").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return cold.unionByName(hot).distinct()
 
 
 def overlaps(rows: DataFrame) -> DataFrame:
