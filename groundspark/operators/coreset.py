@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import BANDS, band, resolve_k
+from ..session import stage
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,11 @@ def three_tiers(x: np.ndarray, centre: np.ndarray, n: int) -> list[int]:
     return order[:n]
 
 
+def nearest(x: np.ndarray, c: np.ndarray, rows: int = 500) -> np.ndarray:
+    """The nearest of the centres, a few rows at a time."""
+    return np.concatenate([((x[i : i + rows, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(x), rows)])
+
+
 def kmeans(x: np.ndarray, k: int, seed: int, starts: int = 10, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Labels and centres of the best of several starts."""
     rng = np.random.default_rng(seed)
@@ -91,7 +97,7 @@ def kmeans(x: np.ndarray, k: int, seed: int, starts: int = 10, rounds: int = 50)
             c.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
         c = np.array(c)
         for _ in range(rounds):
-            at = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            at = nearest(x, c)
             new = np.array([x[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(k)])
             if np.allclose(new, c):
                 break
@@ -102,12 +108,58 @@ def kmeans(x: np.ndarray, k: int, seed: int, starts: int = 10, rounds: int = 50)
     return best[1], best[2]
 
 
-#: Rows of one stratum that a task clusters at once; larger strata are split into parts by a hash, each with its share of the quota.
-PART = 5000
+#: Rows of a stratum (at least, and for each cluster) from which its first centres are found; rounds over the whole stratum; parts of 1 in its sums.
+SAMPLE, EACH, ROUNDS, UNIT = 5000, 4, 50, 1 << 30
+
+
+def centres_of(rows: DataFrame, k: dict[str, int], seed: int) -> dict[str, np.ndarray]:
+    """Centres of k-means over each whole band: first of a sample (all of a small band), then of rounds of assignment and sums over all rows.
+
+    Sums are of integers, so they do not depend on how data are split.
+    """
+    size = F.create_map(*[F.lit(x) for b in k for x in (b, max(SAMPLE, EACH * k[b]))])
+    order = Window.partitionBy("band").orderBy(F.xxhash64("id"), "id")
+    some = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= size[F.col("band")]).select("id", "vector", "band")
+
+    def first(g: pd.DataFrame) -> pd.DataFrame:
+        b, x = g["band"].iloc[0], np.array(g.sort_values("id")["vector"].tolist(), dtype=np.float64)
+        _, c = kmeans(x, min(k[b], len(x)), seed)
+        return pd.DataFrame({"band": b, "cluster": range(len(c)), "centre": c.tolist()})
+
+    found: dict[str, list] = {}
+    for r in some.groupBy("band").applyInPandas(first, "band string, cluster int, centre array<double>").orderBy("band", "cluster").collect():
+        found.setdefault(r.band, []).append(r.centre)
+    c = {b: np.array(x) for b, x in found.items()}
+    for _ in range(ROUNDS):
+        new = {b: x.copy() for b, x in c.items()}
+        for r in _sums(rows, c).collect():
+            new[r.band][r.cluster] = np.array(r.total, dtype=np.float64) / UNIT / r.n
+        if all(np.allclose(new[b], c[b]) for b in c):
+            break
+        c = new
+    return c
+
+
+def _sums(rows: DataFrame, c: dict[str, np.ndarray]) -> DataFrame:
+    def part(batches):
+        for g in batches:
+            out = []
+            for b, x in g.groupby("band"):
+                v = np.array(x["vector"].tolist(), dtype=np.float64)
+                at, whole = nearest(v, c[b]), np.round(v * UNIT).astype(np.int64)
+                out += [(b, int(j), int((at == j).sum()), whole[at == j].sum(axis=0).tolist()) for j in np.unique(at)]
+            yield pd.DataFrame(out, columns=["band", "cluster", "n", "total"])
+
+    some = rows.select("band", "vector").mapInPandas(part, "band string, cluster int, n long, total array<long>")
+    total = some.select("band", "cluster", F.posexplode("total")).groupBy("band", "cluster", "pos").agg(F.sum("col").alias("s")).groupBy("band", "cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("x"))
+    return total.select("band", "cluster", F.transform("x", lambda e: e["s"]).alias("total")).join(some.groupBy("band", "cluster").agg(F.sum("n").alias("n")), ["band", "cluster"])
 
 
 def select(rows: DataFrame, config: CoresetConfig | None = None) -> DataFrame:
-    """id, band, cluster, rank: the coreset. rows: id, vector, area_fraction. A budget of all rows returns all, without clusters."""
+    """id, band, cluster, rank: the coreset. rows: id, vector, area_fraction. A budget of all rows returns all, without clusters.
+
+    A band is clustered as a whole; a task orders one cluster.
+    """
     k = config or CoresetConfig()
     rows = rows.select("id", "vector", F.coalesce(band(F.col("area_fraction")), F.lit("small")).alias("band"))
     sizes = {b: 0 for b in BANDS} | {r.band: r.n for r in rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -116,28 +168,36 @@ def select(rows: DataFrame, config: CoresetConfig | None = None) -> DataFrame:
     if budget >= n:
         return rows.select("id", "band", F.lit(0).alias("cluster"), F.lit(0).alias("rank"))
     quota = allocate_strata(sizes, budget, k.small_band_boost)
-    parts = {b: max(1, -(-s // PART)) for b, s in sizes.items()}
-    spread = F.create_map(*[F.lit(x) for b in sizes for x in (b, parts[b])])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), spread[F.col("band")]).cast("int"))
+    used = [b for b in sizes if quota[b]]
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = stage(rows.filter(F.col("band").isin(used)), "rows")
+    centre = centres_of(rows, {b: resolve_k(sizes[b], k.clusters) for b in used}, k.random_state) if used else {}
+
+    def assign(batches):
+        for g in batches:
+            label = np.zeros(len(g), dtype=np.int64)
+            for b in g["band"].unique():
+                own = (g["band"] == b).to_numpy()
+                label[own] = nearest(np.array(g["vector"][own].tolist(), dtype=np.float64), centre[b])
+            yield g.assign(cluster=label)
+
+    def denoised(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) > 2:
+            g = g.sort_values("id")
+            d = np.linalg.norm(np.array(g["vector"].tolist(), dtype=np.float64) - centre[g["band"].iloc[0]][g["cluster"].iloc[0]], axis=1)
+            g = g[d <= d.mean() + k.denoise_z * d.std()]
+        return g
+
+    form = f"id {kind}, vector array<double>, band string, cluster int"
+    kept = rows.select("id", F.col("vector").cast("array<double>").alias("vector"), "band").mapInPandas(assign, form)
+    kept = stage(kept.groupBy("band", "cluster").applyInPandas(denoised, form), "kept")
+    count = {(r.band, r.cluster): r.n for r in kept.groupBy("band", "cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = {(b, c): q for b in used for c, q in enumerate(sqrt_quota([count.get((b, c), 0) for c in range(len(centre[b]))], quota[b]))}
 
     def each(g: pd.DataFrame) -> pd.DataFrame:
-        b, part = g["band"].iloc[0], int(g["part"].iloc[0])
-        want = quota[b] // parts[b] + (part < quota[b] % parts[b])
-        g = g.sort_values("id").reset_index(drop=True)
-        out = []
-        if want:
-            x = np.array(g["vector"].tolist(), dtype=np.float64)
-            label, centre = kmeans(x, resolve_k(len(x), k.clusters), k.random_state)
-            groups = []
-            for c in range(len(centre)):
-                i = np.nonzero(label == c)[0]
-                if len(i) > 2:
-                    d = np.linalg.norm(x[i] - centre[c], axis=1)
-                    i = i[d <= d.mean() + k.denoise_z * d.std()]
-                groups.append(i)
-            for c, q in enumerate(sqrt_quota([len(i) for i in groups], want)):
-                if q:
-                    out += [(g["id"][groups[c][j]], b, c, r) for r, j in enumerate(three_tiers(x[groups[c]], centre[c], q))]
-        return pd.DataFrame(out, columns=["id", "band", "cluster", "rank"])
-
-    return rows.groupBy("band", "part").applyInPandas(each, f"id {rows.schema['id'].dataType.simpleString()}, band string, cluster int, rank int")
+        b, c = g["band"].iloc[0], int(g["cluster"].iloc[0])
+        g, q = g.sort_values("id").reset_index(drop=True), want[b, c]
+        top = three_tiers(np.array(g["vector"].tolist(), dtype=np.float64), centre[b][c], q) if q else []
+        return pd.DataFrame([(g["id"][j], b, c, r) for r, j in enumerate(top)], columns=["id", "band", "cluster", "rank"])
+
+    return kept.groupBy("band", "cluster").applyInPandas(each, f"id {kind}, band string, cluster int, rank int")

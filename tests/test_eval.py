@@ -104,6 +104,16 @@ def test_coreset(spark):
     assert coreset.sqrt_quota([1, 100], 20) == [1, 19]
 
 
+def test_coreset_clusters_a_large_band_as_a_whole(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(c, 0.1, (1300, 2)) for c in (0, 5, 10, 15)])
+    rows = spark.createDataFrame([(i, v.tolist(), 0.01) for i, v in enumerate(x)], "id long, vector array<double>, area_fraction double")
+    a = coreset.select(rows, coreset.CoresetConfig(budget=8, clusters=4)).collect()
+    # Each of the four clouds is one cluster, of which one row is the nearest to its centre.
+    assert len(a) == 8 and sorted((v.id // 1300, v.rank) for v in a) == [(c, k) for c in range(4) for k in range(2)]
+    assert len({(v.id // 1300, v.cluster) for v in a}) == 4
+
+
 def test_vision(spark):
     m = np.zeros((20, 20))
     m[8:12, 8:12] = 0.9
