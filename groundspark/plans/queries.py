@@ -84,6 +84,15 @@ def deid_fields(spark, d):
     return docs(spark, d).select("ord", deidentify(c).alias("x")).select(F.col("ord").alias("doc_id"), F.col("x.text").alias("text"), F.array_join(F.transform("x.found", lambda e: e["category"]), ",").alias("kinds"))
 
 
+@query()
+def deid_texts(spark, d):
+    """deid_fields over the whole text of every document, and whether a value of any kind is left."""
+    n = F.col("ord").cast("string")
+    c = F.concat(F.coalesce("text", F.lit("")), F.lit("\ntel 138"), F.lpad(n, 8, "0"), F.lit(", id 11"), F.lpad(n, 16, "0"), F.lit(", mail x"), n, F.lit("@b-c.org; Name: X"), n, F.lit(" ok"))
+    x = docs(spark, d).select("ord", deidentify(c).alias("x")).select("ord", "x.*")
+    return x.select(F.col("ord").alias("doc_id"), F.sha1("text").alias("h"), F.length("text").alias("n"), F.array_join(F.transform("found", lambda e: e["category"]), ",").alias("kinds"), has_phi(F.col("text")).alias("left"))
+
+
 @query("select count(*) as n, count(*) filter (regexp_matches(t, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+')) as n_phi from (select coalesce(text, '') || case when doc_id % 3 = 0 then ' a' || doc_id || '@b.org' else '' end as t from documents)")
 def phi_stats(spark, d):
     t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("ord") % 3 == 0, F.concat(F.lit(" a"), F.col("ord").cast("string"), F.lit("@b.org"))).otherwise(""))

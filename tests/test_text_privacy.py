@@ -1,9 +1,12 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from groundspark.functions import math as fm
 from groundspark.functions import text as ft
 from groundspark.functions.privacy import Deidentified, PHIError, assert_no_phi, deidentify, has_phi
+from groundspark.plans.queries import QUERIES
 
 
 def one(spark, value, f):
@@ -63,3 +66,14 @@ def test_math(spark):
     assert row.iou == pytest.approx(1 / 3) and row.v == pytest.approx([0.6, 0.8]) and row.z == [0.0] and row.j == 1.0 and row.s == 0.0
     assert row.a0 == pytest.approx(1.0) and row.a1 == pytest.approx(0.25) and row.b == "medium"
     assert fm.resolve_k(0) == 1 and fm.resolve_k(16) == 4
+
+
+def test_whole_documents_are_deidentified(spark, tmp_path):
+    long = "filler words " * 400 + "mail q.r@ward.org or 13912345678, "
+    df = spark.createDataFrame([(7, long, "s", "c", "en"), (8, None, "s", "c", "en")], "doc_id long, text string, source string, collection string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["deid_texts"](spark, str(tmp_path)).collect()}
+    tail = "\ntel [PHONE], id [ID], mail [EMAIL]; Name: [REDACTED] ok"
+    want = {7: "filler words " * 400 + "mail [EMAIL] or [PHONE], " + tail, 8: tail}
+    assert {k: r.h for k, r in got.items()} == {k: hashlib.sha1(v.encode()).hexdigest() for k, v in want.items()}
+    assert got[7].kinds == "id_card,phone,phone,email,email,labeled" and got[8].kinds == "id_card,phone,email,labeled" and not any(r.left for r in got.values())
