@@ -157,6 +157,9 @@ _PLACES = re.compile(
     r"@|[(\[] ?[aA][tT] ?[)\]]|\d[\d() ./+\-]{4,}\d|\b[A-Z]{1,2} ?\d{2,}|\d+号|\b\d+[A-Za-z]? (?=[A-ZÄÖÜ][a-zA-Z])"
     rf"|(?:联系人?|家属|病人|记录人|签名|我叫|我是|姓名|本人|由|[^一-鿿]|^){_ZH}(?=[一-鿿])|{_ZH}[一-鿿]{{1,2}}(?=女士|先生|小姐|医生|护士|大夫|主任|自述|表示|来电|住在|家住|签字)",
 )
+# Words behind a title or a cue are screened however usual they are.
+_CUED = re.compile(rf"\b(?:{_TITLE}|(?:Patient(?:in)?|Paciente|Next of kin|Contact details|Registered as|Regards|Name|Ask|Signed|Written by|Dear)[:,]?) {_CAP}(?: [A-Z]\.)?(?:,? {_CAP})?")
+_BEHIND_TITLE = re.compile(rf"\b{_TITLE}\s+(?:{_CAP},? |[A-Z]\. )*$|\b(?:Next of kin|Contact details|Registered as|Regards|Signed|Written by)[:,]?\s+$|\b(?:Patient(?:in)?|Paciente|Name)[:,]\s+$|\b(?:Ask|Dear)\s+$")
 _CAPITAL = re.compile(r"[A-ZÄÖÜÁÉÍÓÚÑ][A-Za-zÀ-ɏ'’]+")
 
 
@@ -164,6 +167,7 @@ def places(form: str, usual: frozenset[str]) -> list[tuple[int, int]]:
     """Stretches of the text that could hold a personal detail, with their surroundings."""
     at = [m.span() for m in _PLACES.finditer(form)]
     at += [m.span() for m in _CAPITAL.finditer(form) if m[0] not in usual and m[0].capitalize() not in usual and m[0].lower() not in usual]
+    at += [m.span() for m in _CUED.finditer(form)]
     if not at:
         return []
     at.sort()
@@ -327,7 +331,7 @@ def possible(kind: str, span: str, before: str, after: str, usual: frozenset[str
     words = _cap_words(span)
     if span.lower() in ("none", "yes", "no", "never"):
         return False
-    return bool(words) and digits == 0 and not _NOT_NAME.match(after) and any(w not in usual and w.capitalize() not in usual for w in words)
+    return bool(words) and digits == 0 and not _NOT_NAME.match(after) and (bool(_BEHIND_TITLE.search(before)) or re.match(rf"{_TITLE} ", span) is not None or any(w not in usual and w.capitalize() not in usual for w in words))
 
 
 def redacted(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
