@@ -1,10 +1,9 @@
 """Problem 7: personal details in free text, found by a character-level BiLSTM-CRF and replaced by typed placeholders.
 
 Training: a bounded sample of texts is labelled by seed patterns; names are bootstrapped, from those that stand beside a cue to
-all places where their parts stand together. The network learns the spans from their surroundings.
-Inference: every text is screened whole for places that could hold a detail (figures, @, capitals or characters that are not
-usual words); overlapping windows over these places are decoded and reconciled in one path. Spans that cannot be what they were
-tagged as are dropped by an exact check.
+all places where a part of them stands again. The network learns the spans from their surroundings.
+Inference: the network reads every character of every text, in overlapping windows that are reconciled in one path. Spans that
+cannot be what they were tagged as are dropped by an exact check.
 """
 
 from __future__ import annotations
@@ -15,33 +14,39 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .canon import _FOLD, _ODD, _TOKEN, _USUAL, Canonical
+from ..session import stage
+from .canon import _FOLD, _ODD, _TOKEN, _USUAL, CLASS, Canonical
 from .sample import bounded
 from .tagger import KINDS, Tagger
 
-#: Texts of each field to learn from (a bound, whatever the corpus), training steps, characters kept around a place.
-SAMPLE, STEPS, AROUND = 12000, 700, 26
+#: Texts to learn from (a bound, whatever the corpus), training steps, windows a step, characters of a window to learn from.
+SAMPLE, STEPS, WINDOWS, LENGTH = 20000, 3000, 64, 96
+#: Variations of a text with details that are learned from beside the text itself.
+VARIED = 3
+#: Bits (as a power of two) of the filter that tells usual words: a fixed size, whatever the vocabulary.
+USUAL_LOG2 = 24
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 # Seed patterns and cues, in English, Chinese, German and Spanish.
 _AT, _DOT = r" ?(?:@|[(\[] ?at ?[)\]]) ?", r" ?(?:\.|[(\[] ?dot ?[)\]]) ?"
 EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+\-]*{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)+", re.I)
 PHONE = re.compile(
-    r"(?<![\w\-/])(?:\+\d{1,3}[ \-]?)?(?:\(\d{1,4}\) ?(?:/ ?)?)?\d{2,5}(?:[ \-./]{1,3}\d{3,8}){1,3}(?![\w\-/]|\.\d)"
+    r"(?<![A-Za-z0-9\-/])(?:\+\d{1,3}[ \-]?)?(?:\(\d{1,4}\) ?(?:/ ?)?)?\d{2,5}(?:[ \-./]{1,3}\d{3,8}){1,3}(?![A-Za-z0-9\-/]|\.\d)"
     r"|(?<!\d)(?:\+?86[ \-]?)?1[3-9]\d(?:[ \-]?\d{4}){2}(?!\d)|(?<!\d)\(0\)\d{3} / \d{6,8}(?!\d)"
 )
-ID = re.compile(r"(?<!\d)(?:\d{17}[\dXx]|\d{15})(?!\d)|(?<![\w\-])\d{3}[ \-]\d{2}[ \-]\d{4}(?![\w\-])|(?<![\w\-])\d{3} \d{3} \d{4}(?![\w\-])|\b[A-Z]{2} \d\d \d\d \d\d [A-Z]\b|\b[A-Z]\d{8}\b")
-_STREET = r"(?:Lane|Ln|Street|St|Road|Rd|Avenue|Ave|Terrace|Drive|Dr|Close|Crescent|Court|Way|Place|Square|Boulevard|Row|Walk|Hill|Gardens|Grove|Mews|Parade)"
+ID = re.compile(r"(?<!\d)(?:\d{17}[\dXx]|\d{15})(?!\d)|(?<![A-Za-z0-9\-])\d{3}[ \-]\d{2}[ \-]\d{4}(?![A-Za-z0-9\-])|(?<![A-Za-z0-9\-])\d{3} \d{3} \d{4}(?![A-Za-z0-9\-])|(?<![A-Za-z0-9])[A-Z]{2} \d\d \d\d \d\d [A-Z](?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]\d{8}(?![A-Za-z0-9])")
+_STREETS = "Lane|Ln|Street|St|Road|Rd|Avenue|Ave|Terrace|Drive|Dr|Close|Crescent|Court|Way|Place|Square|Boulevard|Row|Walk|Hill|Gardens|Grove|Mews|Parade"
+_STREET = rf"(?:{_STREETS}|{_STREETS.upper()})"
 _CAP = r"[A-ZÄÖÜ][A-Za-zäöüßáéíóúñ'’]+"
 ADDRESS = re.compile(
-    rf"(?:(?:Apt|Flat|Unit|Suite)\.? \d+[A-Za-z]?, )?\d+[A-Za-z]? (?:{_CAP} ){{1,3}}{_STREET}\b\.?(?:, {_CAP}(?: {_CAP})?(?: (?:\d{{5}}|[A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}}))?)?"
+    rf"(?:(?i:Apt|Flat|Unit|Suite)\.? \d+[A-Za-z]?, )?\d+[A-Za-z]? (?:{_CAP} ){{1,3}}{_STREET}\b\.?(?:, {_CAP}(?: {_CAP})?(?: (?:\d{{5}}|[A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}}))?)?"
     r"|(?:[一-鿿]{2}[市区县镇乡省岭])?[一-鿿]{1,3}[路街道巷里弄]\d+号(?:\d+(?:号|栋|幢|楼|单元|室|层|座))*",
-    re.I,
 )
-_GOODS = re.compile(r"(?:lot|batch|code|invoice|order|register entry|trial|shelf|sheet|range|scored|isbn|item|serial|barcode|批号|条形码|编号|货号|发票|订货|登记试验|生产|charge|lote|rechnung|factura)[^\n.。;；]{0,14}$", re.I)
+_GOODS = re.compile(r"(?:\b(?:lot|batch|code|invoice|order|register entry|trial|shelf|sheet|range|scored|isbn|item|serial|barcode|charge|lote|rechnung|factura)\b|批号|条形码|编号|货号|发票|订货|登记试验|生产)[^\n.。;；]{0,14}$", re.I)
 _PERSONAL = re.compile(r"(?:tel|telefon|telefono|teléfono|phone|mobile|call|ring|reach|llame|rückruf|on|caller|number|unter|al|电话|号码|来电|联系|手机|\(|（|/)[^\n.。]{0,12}$", re.I)
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|señor|señora|Sr|Sra)\.?"
 _CUES = re.compile(
@@ -58,14 +63,56 @@ ZH_NAME = re.compile(
 )
 
 
+_HOMES = frozenset(("Apt", "Flat", "Unit", "Suite"))
+# Words that are no part of a name.
+_NO_PART = _HOMES | frozenset(
+    "Ask Dear Signed Regards Patient Patientin Paciente Tel Phone Mobile Contact Name Registered Next Written Reply Invoice Lot Batch Order Trial National Passport Insured Address Email".split()
+)
+
+
 def _cap_words(t: str) -> list[str]:
     return re.findall(r"[A-Z][A-Za-zÀ-ɏ'’\-]+", t)
 
 
+_NO_ONE = frozenset(("none", "yes", "no", "never"))
+
+
+class Usual:
+    """A filter of fixed size over the usual words: each sets two bits. A few other words are taken for usual, never the reverse."""
+
+    def __init__(self, bits: np.ndarray | None = None):
+        self.bits = np.zeros(1 << (USUAL_LOG2 - 3), dtype=np.uint8) if bits is None else bits
+
+    @staticmethod
+    def places(word: Column) -> Column:
+        h, most = F.xxhash64(word), F.lit((1 << USUAL_LOG2) - 1)
+        return F.array(h.bitwiseAND(most), F.shiftrightunsigned(h, USUAL_LOG2).bitwiseAND(most))
+
+    @staticmethod
+    def of(words: Iterable[str]) -> Usual:
+        out = Usual()
+        for w in words:
+            for at in out._at(w):
+                out.bits[at >> 3] |= 1 << (at & 7)
+        return out
+
+    @staticmethod
+    def _at(word: str) -> tuple[int, int]:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42)  # as in Spark
+        return h & ((1 << USUAL_LOG2) - 1), h >> USUAL_LOG2 & ((1 << USUAL_LOG2) - 1)
+
+    def __contains__(self, word: str) -> bool:
+        return all(self.bits[at >> 3] >> (at & 7) & 1 for at in self._at(word))
+
+
+def known_word(w: str, usual: Usual) -> bool:
+    return w in usual or w.capitalize() in usual
+
+
 class Names:
     """Parts of names bootstrapped from cues."""
 
-    def __init__(self, texts: Iterable[str], usual: frozenset[str]):
+    def __init__(self, texts: Iterable[str], usual: Usual):
         parts, zh = Counter(), Counter()
         for t in texts:
             for m in _CUES.finditer(t):
@@ -74,27 +121,36 @@ class Names:
             for m in ZH_NAME.finditer(t):
                 if m["a"]:
                     zh[m["a"]] += 1
-        self.parts = {w for w, n in parts.items() if w not in usual and n >= 2}
+        self.usual = usual
+        self.parts = {w for w, n in parts.items() if n >= 2 and w not in usual and w not in _NO_PART}
         self.zh = {w for w, n in zh.items() if n >= 2}
-        self.given = {re.sub(f"^{_ZH}", "", w) for w in self.zh}
+        self.given = {re.sub(f"^{_ZH}", "", w) for w in self.zh} - {""}
+        long_ = sorted((g for g in self.given if len(g) > 1), key=lambda g: (-len(g), g))
+        # A usual surname before a given name of two characters needs no cue.
+        self.whole = re.compile(f"{_ZH}(?:{'|'.join(long_)})") if long_ else None
         name = rf"(?:{_CAP}|[A-Z]{{2,}})"
         self.latin = re.compile(rf"\b{name}(?:(?: [A-Z]\.)?,? {name})*")
 
     def spans(self, t: str) -> list[tuple[int, int]]:
         out = []
         for m in self.latin.finditer(t):
-            # The longest run of words that are parts of names.
+            # The longest run of words that are parts of names, or unusual words beside such.
             run: list[tuple[int, int]] = []
-            for w in re.finditer(r"[A-Z]\.|[A-Za-zÀ-ɏ'’]+", m[0]):
-                known = w[0].capitalize() in self.parts or (run and re.fullmatch(r"[A-Z]\.", w[0]))
-                if known:
+            sure = False
+            for w in [*re.finditer(r"[A-Z]\.|[A-Za-zÀ-ɏ'’]+", m[0]), None]:
+                part = w is not None and w[0].capitalize() in self.parts
+                if part or w is not None and w[0].capitalize() not in _NO_PART and (run and re.fullmatch(r"[A-Z]\.", w[0]) or len(w[0]) > 3 and not known_word(w[0], self.usual) and w[0].lower() not in self.usual):
                     run.append((m.start() + w.start(), m.start() + w.end()))
-                elif run:
+                    sure |= part
+                    continue
+                while run and re.fullmatch(r"[A-Z]\.", t[run[-1][0] : run[-1][1]]):
+                    run.pop()
+                if run and sure:
                     out.append((run[0][0], run[-1][1]))
-                    run = []
-            if run:
-                out.append((run[0][0], run[-1][1]))
-        out = [(a, b) for a, b in out if not _NOT_NAME.match(t[b:]) and not re.fullmatch(r"[A-Z]\.", t[a:b])]
+                run, sure = [], False
+        # Behind a title any word is a name.
+        out += [m.span("a") for m in _CUES.finditer(t) if m["a"] and all(m.end("a") <= a or m.start("a") >= b for a, b in out)]
+        out = [(a, b) for a, b in out if not _NOT_NAME.match(t[b:]) and t[a:b].lower() not in _NO_ONE]
         for m in ZH_NAME.finditer(t):
             a, b = m.span("a" if m["a"] else "b")
             if m["b"] and re.sub(f"^{_ZH}", "", m["b"]) not in self.given:
@@ -102,6 +158,8 @@ class Names:
                     continue
                 b -= 1
             out.append((a, b))
+        if self.whole:
+            out += [m.span() for m in self.whole.finditer(t)]
         return out
 
 
@@ -150,119 +208,127 @@ def aligned(text: str, model: Canonical) -> tuple[str, np.ndarray | None]:
     return form, np.array(places, dtype=np.int64)
 
 
-# -- screening
+def reading() -> dict[int, str]:
+    """How the network reads characters, one by one: folded ones as what they fold to, look-alikes as the first of their class."""
+    fold = {code: to[:1] for code, to in _FOLD.items()}
+    return {code: CLASS.get(to, to)[:1] for code, to in fold.items()} | {ord(c): g[0] for c, g in CLASS.items()}
 
 
-_PLACES = re.compile(
-    r"@|[(\[] ?[aA][tT] ?[)\]]|\d[\d() ./+\-]{4,}\d|\b[A-Z]{1,2} ?\d{2,}|\d+号|\b\d+[A-Za-z]? (?=[A-ZÄÖÜ][a-zA-Z])"
-    rf"|(?:联系人?|家属|病人|记录人|签名|我叫|我是|姓名|本人|由|[^一-鿿]|^){_ZH}(?=[一-鿿])|{_ZH}[一-鿿]{{1,2}}(?=女士|先生|小姐|医生|护士|大夫|主任|自述|表示|来电|住在|家住|签字)",
-)
-# Words behind a title or a cue are screened however usual they are.
-_CUED = re.compile(rf"\b(?:{_TITLE}|(?:Patient(?:in)?|Paciente|Next of kin|Contact details|Registered as|Regards|Name|Ask|Signed|Written by|Dear)[:,]?) {_CAP}(?: [A-Z]\.)?(?:,? {_CAP})?")
+# -- words of the corpus
+
+
+# What stands before a span that is the name of a person however usual its words are.
 _BEHIND_TITLE = re.compile(rf"\b{_TITLE}\s+(?:{_CAP},? |[A-Z]\. )*$|\b(?:Next of kin|Contact details|Registered as|Regards|Signed|Written by)[:,]?\s+$|\b(?:Patient(?:in)?|Paciente|Name)[:,]\s+$|\b(?:Ask|Dear)\s+$")
-_CAPITAL = re.compile(r"[A-ZÄÖÜÁÉÍÓÚÑ][A-Za-zÀ-ɏ'’]+")
-
-
-def places(form: str, usual: frozenset[str]) -> list[tuple[int, int]]:
-    """Stretches of the text that could hold a personal detail, with their surroundings."""
-    at = [m.span() for m in _PLACES.finditer(form)]
-    at += [m.span() for m in _CAPITAL.finditer(form) if m[0] not in usual and m[0].capitalize() not in usual and m[0].lower() not in usual]
-    at += [m.span() for m in _CUED.finditer(form)]
-    if not at:
-        return []
-    at.sort()
-    out: list[list[int]] = []
-    for a, b in at:
-        a, b = max(0, a - AROUND), min(len(form), b + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-# Words that are no part of an address for mail, with the start of a lower-case word behind; and capitalised words behind lower case.
-_SURVEYED = re.compile(r"(?<![@._+\-A-Za-z0-9À-ɏͰ-֏])[A-Za-zÀ-ɏͰ-֏]++(?![@_+0-9]|\.[A-Za-z]| ?[@(\[] ?at)(?: [a-zß-ÿ])?")
+# Words that are no part of an address for mail; capitalised ones before and behind lower case.
+_SURVEYED = re.compile(r"(?<![@._+\-A-Za-z0-9À-ɏͰ-֏])[A-Za-zÀ-ɏͰ-֏]++(?![@_+0-9]|\.[A-Za-z]| ?[@(\[] ?at)")
+_BEFORE = re.compile(r"(?<![@._+\-A-Za-z0-9À-ɏͰ-֏])([A-ZÄÖÜ][A-Za-zÀ-ɏ]+) (?=[a-zß-ÿ])")
 _BEHIND = re.compile(r"[a-zß-ÿ] ([A-ZÄÖÜ][A-Za-zÀ-ɏ]+)")
 
 
 def word_counts(texts: Iterable[str]) -> dict[str, list[int]]:
     """Uses of each word: all, before a lower-case word, and behind one."""
     total: Counter = Counter()
+    before: Counter = Counter()
     behind: Counter = Counter()
     for t in texts:
         total.update(_SURVEYED.findall(t))
+        before.update(_BEFORE.findall(t))
         behind.update(_BEHIND.findall(t))
-    n: dict[str, list[int]] = {}
-    for w, k in total.items():
-        follows = w[-2:-1] == " "
-        x = n.setdefault(w[:-2] if follows else w, [0, 0, 0])
-        x[0] += k
-        x[1] += k if follows else 0
-    for w, k in behind.items():
-        if w in n:
-            n[w][2] += k
-    return n
-
-
-def survey(df: DataFrame, column: str) -> tuple[dict[str, int], frozenset[str]]:
-    """Character bigrams, and the usual words, over every row. A capitalised word is usual if it also occurs in lower case, or if a
-    lower-case word almost always follows it (as at the start of sentences) or precedes it (as with German nouns), or if it is given as the name of a drug."""
+    return {w: [n, before[w], behind[w]] for w, n in total.items()}
+
+
+def survey(df: DataFrame, column: str, goods: DataFrame | None = None) -> tuple[dict[str, int], Usual]:
+    """Character bigrams of the words seen at least three times, and the usual words, over every row.
+
+    A capitalised word is usual if it also occurs in lower case (three times, and a twentieth of its uses), or if a lower-case word
+    almost always follows it (as at the start of sentences) or precedes it (as with German nouns). goods: words (word) that name
+    goods. Words are counted and judged in the cluster; the driver gets the bigrams (at most the square of the letters) and a
+    filter of fixed size.
+    """
 
     def part(batches):
         n = word_counts(t for b in batches for t in b[column])
         if n:
             yield pd.DataFrame({"word": list(n), **{c: [v[i] for v in n.values()] for i, c in enumerate("nfp")}})
 
-    counts = df.select(column).filter(F.col(column).isNotNull()).mapInPandas(part, "word string, n long, f long, p long").groupBy("word").agg(*[F.sum(c).alias(c) for c in "nfp"]).filter("n >= 3")
-    return vocabulary([tuple(r) for r in counts.collect()])  # the vocabulary, without words seen less than three times
-
-
-def vocabulary(rows: Sequence[tuple[str, int, int, int]]) -> tuple[dict[str, int], frozenset[str]]:
-    low = {w: n for w, n, *_ in rows if w.islower()}
-    usual = {w for w, n, f, p in rows if w[0].isupper() and (low.get(w.lower(), 0) >= 3 or n >= 8 and max(f, p) >= 0.93 * n)}
-    grams: Counter = Counter()
-    for word, n, *_ in rows:
-        w = f"^{word}$"
-        for i in range(len(w) - 1):
-            grams[w[i : i + 2]] += n
-    return dict(grams), frozenset(usual | {w for w, k in low.items() if k >= 3})
+    def grams(batches):
+        total: Counter = Counter()
+        for b in batches:
+            for word, n in zip(b["word"], b["n"].tolist(), strict=True):
+                w = f"^{word}$"
+                for i in range(len(w) - 1):
+                    total[w[i : i + 2]] += n
+        if total:
+            yield pd.DataFrame({"gram": list(total), "n": list(total.values())})
+
+    counts = df.select(column).filter(F.col(column).isNotNull()).mapInPandas(part, "word string, n long, f long, p long").groupBy("word").agg(*[F.sum(c).alias(c) for c in "nfp"])
+    words = stage(counts.filter("n >= 3"), "words")
+    low = words.filter("word = lower(word)")
+    high = words.filter("word <> lower(word)").join(low.select(F.col("word").alias("lw"), F.col("n").alias("ln")), F.expr("lower(word) = lw"), "left")
+    usual = low.select("word").unionByName(high.filter("ln >= 0.05 * n or n >= 8 and greatest(f, p) >= 0.93 * n").select("word"))
+    if goods is not None:
+        usual = usual.unionByName(goods.select(F.trim("word").alias("word"))).unionByName(goods.select(F.expr("concat(upper(substring(trim(word), 1, 1)), lower(substring(trim(word), 2)))").alias("word")))
+    place = usual.select(F.explode(Usual.places(F.col("word"))).alias("p"))
+    bits = np.zeros(1 << (USUAL_LOG2 - 6), dtype=np.int64)
+    for w, b in place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(bigint(1), cast(p & 63 as int))")).alias("b")).collect():
+        bits[w] = b
+    found = words.mapInPandas(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r.gram: r.n for r in found.collect()}, Usual(bits.view(np.uint8))
+
+
+_EDGE = " ,;:/.<>()\n，。：；（）、"
+
+
+def varied(form: str, spans: Sequence[tuple[int, int, str]], parts: Sequence[str], r: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with other figures from the third of a run on, and other words in half of the Latin names; and its spans."""
+    out, own, at = [], [], 0
+    digits = lambda m: m[0][:2] + "".join(map(str, r.integers(0, 10, len(m[0]) - 2)))
+
+    def other(m: re.Match) -> str:
+        w = parts[int(r.integers(len(parts)))]
+        return w.upper() if m[0].isupper() else w
+
+    size = 0
+    for a, b, kind in [*spans, (len(form), len(form), "")]:
+        for text, k in ((form[at:a], ""), (form[a:b], kind)):
+            text = re.sub(r"\d{3,}", digits, text)
+            if k == "name" and parts and r.random() < 0.5:
+                text = re.sub(r"[A-ZÄÖÜ][A-Za-zÀ-ɏ'’]{2,}", other, text)
+            out.append(text)
+            if k:
+                own.append((size, size + len(text), k))
+            size += len(text)
+        at = b
+    return "".join(out), own
 
 
 class Finder:
     """A trained model: spans(texts) gives the personal details of each text, as places in the text itself."""
 
-    def __init__(self, grams: dict[str, int], usual: frozenset[str], sample: Sequence[str], steps: int = STEPS, seed: int = 0):
+    def __init__(self, grams: dict[str, int], usual: Usual, sample: Sequence[str], steps: int = STEPS, seed: int = 0):
         self.grams, self.usual = grams, usual
         self.canon = Canonical(grams)
         forms = [aligned(t, self.canon)[0] for t in sample if t]
         names = Names(forms, usual)
-        texts, tags, plain = [], [], []
-        seen: set[str] = set()
+        texts, tags, seen, r = [], [], set(), np.random.default_rng(seed)
+        parts = sorted(names.parts)
         for f in forms:
             spans = seed_spans(f, names)
-            for a, b in places(f, usual):
-                # Each stretch that could hold a detail is an example, cut to two windows.
-                for s in range(a, b, 72):
-                    piece = f[s : min(s + 72, b)]
-                    if len(piece) < 12:
-                        continue
-                    y = np.zeros(len(piece), np.int64)
-                    for x, z, kind in spans:
-                        if x < s + len(piece) and z > s:
-                            y[max(0, x - s) : z - s] = KINDS.index(kind) + 1
-                    if y.any():
-                        if piece not in seen:
-                            seen.add(piece)
-                            texts.append(piece)
-                            tags.append(y)
-                    else:  # as often as they occur
-                        plain.append(piece)
-        keep = plain[: max(200, len(texts))]
-        texts += keep
-        tags += [np.zeros(len(p), np.int64) for p in keep]
-        self.tagger = Tagger(Tagger.letters(texts), seed)
-        self.loss = self.tagger.train(texts, tags, steps, seed=seed) if texts else 0.0
+            # As written, and with other figures and other parts of names: the surroundings tell, not the value.
+            for g, own in [(f, spans)] + ([varied(f, spans, parts, r) for _ in range(VARIED)] if spans else []):
+                y = np.zeros(len(g), np.int8)
+                for a, b, kind in own:
+                    y[a:b] = KINDS.index(kind) + 1
+                # A window around each span, and one anywhere: what is no detail is learned as it occurs.
+                for a in [*(a for a, *_ in own), *([None] if g is f else [])]:
+                    s = int(r.integers(0, max(1, len(g) - LENGTH + 1))) if a is None else max(0, a - int(r.integers(4, LENGTH // 2)))
+                    piece = g[s : s + LENGTH]
+                    if piece not in seen:
+                        seen.add(piece)
+                        texts.append(piece)
+                        tags.append(y[s : s + LENGTH])
+        self.tagger = Tagger(Tagger.letters(texts), seed, fold=reading())
+        self.loss = self.tagger.train(texts, tags, steps, WINDOWS, seed=seed) if texts else 0.0
         self.examples = len(texts)
 
     def __getstate__(self):
@@ -273,47 +339,55 @@ class Finder:
         self.canon = Canonical(self.grams)
 
     def spans(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, str]]]:
-        found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        jobs = []
-        forms = []
-        for k, t in enumerate(texts):
-            form, where = aligned(t, self.canon) if t else ("", None)
-            forms.append((form, where))
-            jobs += [(k, a, b) for a, b in places(form, self.usual)]
-        pieces = [forms[k][0][a:b] for k, a, b in jobs]
-        distinct = list(dict.fromkeys(pieces))
-        tagged = dict(zip(distinct, self.tagger.tag(distinct), strict=True))
-        for (k, a, _), piece in zip(jobs, pieces, strict=True):
-            form, where = forms[k]
-            y = tagged[piece]
-            edge = np.nonzero(np.r_[True, y[1:] != y[:-1]])[0].tolist() + [len(y)]
-            for s, e in zip(edge, edge[1:], strict=False):
-                if y[s]:
-                    x, z = a + s, a + e
-                    kind = KINDS[y[s] - 1]
-                    while x < z and form[x] in " ,;:/.<>()\n，。：；（）、":
-                        x += 1
-                    while z > x and form[z - 1] in " ,;:/.<>()\n，。：；（）、":
-                        z -= 1
-                    if kind == "phone" and form[x - 1 : x] == "(" and ")" in form[x:z]:
-                        x -= 1
-                    if kind in ("phone", "id_number"):
-                        while z < len(form) and form[z].isdigit():
-                            z += 1
-                        while x and form[x - 1].isdigit():
-                            x -= 1
-                        kind = "id_number" if ID.fullmatch(form[x:z]) else kind
-                    elif kind == "name" and form[x].isascii():
-                        while z < len(form) and form[z].isalpha() and form[z] < "㐀":
-                            z += 1
-                        while x and form[x - 1].isalpha() and form[x - 1] < "㐀":
-                            x -= 1
-                    if possible(kind, form[x:z], form[max(0, x - 30) : x], form[z : z + 24], self.usual):
-                        found[k].append((x, z, kind) if where is None else (int(where[x]), int(where[z - 1]) + 1, kind))
+        distinct = list(dict.fromkeys(t for t in texts if t))
+        found = {t: self._placed(t, y) for t, y in zip(distinct, self.tagger.paths(distinct), strict=True) if y is not None}
+        return [list(found.get(t, ())) if t else [] for t in texts]
+
+    def _placed(self, text: str, y: np.ndarray) -> list[tuple[int, int, str]]:
+        form, where = aligned(text, self.canon)
+        if where is None:
+            return self._read(form, y)
+        return [(int(where[x]), int(where[z - 1]) + 1, kind) for x, z, kind in self._read(form, y[where])]
+
+    def _read(self, form: str, y: np.ndarray) -> list[tuple[int, int, str]]:
+        """The spans of one path of tags, from edge to edge of their words, that can be what they were tagged as."""
+        found: list[tuple[int, int, str]] = []
+        edge = np.nonzero(np.r_[True, y[1:] != y[:-1]])[0].tolist() + [len(y)]
+        for x, z in zip(edge, edge[1:], strict=False):
+            if not y[x]:
+                continue
+            kind = KINDS[y[x] - 1]
+            while x < z and form[x] in _EDGE:
+                x += 1
+            while z > x and form[z - 1] in _EDGE:
+                z -= 1
+            if x == z or found and x < found[-1][1]:
+                continue
+            if kind == "phone" and form[x - 1 : x] == "(" and ")" in form[x:z]:
+                x -= 1
+            if kind in ("phone", "id_number"):
+                while z < len(form) and form[z].isdigit():
+                    z += 1
+                while x and form[x - 1].isdigit():
+                    x -= 1
+                kind = "id_number" if ID.fullmatch(form[x:z]) else kind
+            elif kind == "email":
+                # An address for mail ends where its pattern ends.
+                if m := next((m for m in EMAIL.finditer(form, max(0, x - 40), z + 40) if m.start() < z and m.end() > x), None):
+                    x, z = m.span()
+                    if tail := re.search(r"\. [A-Z][\w'’]*$", form[x:z]):
+                        z = x + tail.start()
+            elif kind == "name" and form[x].isascii():
+                while z < len(form) and form[z].isalpha() and form[z] < "㐀":
+                    z += 1
+                while x and form[x - 1].isalpha() and form[x - 1] < "㐀":
+                    x -= 1
+            if possible(kind, form[x:z], form[max(0, x - 30) : x], form[z : z + 24], self.usual) and not (found and x < found[-1][1]):
+                found.append((x, z, kind))
         return found
 
 
-def possible(kind: str, span: str, before: str, after: str, usual: frozenset[str]) -> bool:
+def possible(kind: str, span: str, before: str, after: str, usual: Usual) -> bool:
     """The exact check: whether a span can be what it was tagged as."""
     digits = sum(c.isdigit() for c in span)
     if "[" in span and re.fullmatch(r"\[?[A-Z_]+\]?", span):
@@ -325,13 +399,15 @@ def possible(kind: str, span: str, before: str, after: str, usual: frozenset[str
             return False
         return digits >= (6 if kind == "id_number" else 7) and not _GOODS.search(before)
     if kind == "address":
-        return digits >= 1 and len(span) >= 6 and bool(re.search(r"[一-鿿]|[A-Za-z]{3}", span))
+        if digits < 1 or len(span) < 6 or _GOODS.search(before) or _GOODS.search(span):
+            return False
+        return bool(re.search(r"[一-鿿].*\d", span)) or ADDRESS.search(span) is not None or any(not known_word(w, usual) for w in _cap_words(span) if w not in _HOMES)
     if re.search("[一-鿿]", span):
         return 2 <= len(span) <= 5 and bool(re.match(_ZH, span)) and not _NOT_NAME.match(" " + after)
     words = _cap_words(span)
-    if span.lower() in ("none", "yes", "no", "never"):
+    if span.lower() in _NO_ONE or not words or digits or _NOT_NAME.match(after) or len(words) == 1 and re.match(r" (?:[A-Z]{0,2}-?)\d", after):
         return False
-    return bool(words) and digits == 0 and not _NOT_NAME.match(after) and (bool(_BEHIND_TITLE.search(before)) or re.match(rf"{_TITLE} ", span) is not None or any(w not in usual and w.capitalize() not in usual for w in words))
+    return bool(_BEHIND_TITLE.search(before)) or re.match(rf"{_TITLE} ", span) is not None or any(not known_word(w, usual) for w in words)
 
 
 def redacted(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
@@ -351,14 +427,14 @@ def fields(raw: DataFrame, qa: DataFrame) -> DataFrame:
 
 
 def trained(df: DataFrame, raw: DataFrame) -> Finder:
-    grams, usual = survey(df, "text")
-    drugs = raw.select(F.col("metadata")["drug"].alias("d")).filter("d is not null").distinct().collect()  # names of goods: a vocabulary
-    usual |= {x for r in drugs for x in (r.d.strip(), r.d.strip().capitalize())}
+    """A model for the texts of ``df``: found() and replaced() take it, so it need be trained once only."""
+    goods = raw.select(F.col("metadata")["drug"].alias("word")).filter("word is not null").distinct()
+    grams, usual = survey(df, "text", goods)
     return Finder(grams, usual, [r.text for r in bounded(df, SAMPLE, "text", keys=("tbl", "field_name", "ord"))])
 
 
 def _detected(df: DataFrame, finder: Finder, redact: bool) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(finder)
+    shared = df.sparkSession.sparkContext.broadcast(finder)  # weights, bigrams and a filter of fixed size
 
     def part(batches):
         f = shared.value
@@ -375,13 +451,13 @@ def _detected(df: DataFrame, finder: Finder, redact: bool) -> DataFrame:
     return df.mapInPandas(part, "tbl string, ord long, field_name string, " + ("text string, n_found long" if redact else "kind string"))
 
 
-def found(raw: DataFrame, qa: DataFrame) -> DataFrame:
+def found(raw: DataFrame, qa: DataFrame, finder: Finder | None = None) -> DataFrame:
     """tbl, ord, field_name, kind: one row per field that holds a detail of the kind."""
     df = fields(raw, qa)
-    return _detected(df, trained(df, raw), False)
+    return _detected(df, finder or trained(df, raw), False)
 
 
-def replaced(raw: DataFrame, qa: DataFrame) -> DataFrame:
+def replaced(raw: DataFrame, qa: DataFrame, finder: Finder | None = None) -> DataFrame:
     """tbl, ord, field_name, text, n_found: every text with its details replaced by placeholders, and their number."""
     df = fields(raw, qa)
-    return _detected(df, trained(df, raw), True)
+    return _detected(df, finder or trained(df, raw), True)

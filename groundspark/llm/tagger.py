@@ -1,4 +1,8 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy: training with Adam, emissions, and Viterbi decoding."""
+"""A character-level bidirectional LSTM with CRF transitions, in numpy: training with Adam, emissions, and Viterbi decoding.
+
+Both directions and all four gates of a step are one contiguous array of gates x directions x windows x units, so that a step is
+one gather, one batched product and a few passes over memory.
+"""
 
 from __future__ import annotations
 
@@ -10,26 +14,41 @@ import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 TAGS = len(KINDS) + 1  # 0 is outside
-PAD, OTHER, HAN = 0, 1, 2
-EMBED, HIDDEN, CHARS = 16, 20, 900
+PAD, OTHER, HAN, DROP = 0, 1, 2, -1
+EMBED, HIDDEN, CHARS = 16, 16, 900
+#: Characters of a window, and those that neighbouring windows share.
+WINDOW, SHARED = 384, 32
+#: Windows that are treated at once.
+BATCH = 320
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 class Tagger:
-    def __init__(self, alphabet: dict[str, int], seed: int = 0):
-        self.alphabet = alphabet
+    """alphabet: ids of characters; fold: characters that are read as another one, or as none ('')."""
+
+    def __init__(self, alphabet: dict[str, int], seed: int = 0, hidden: int = HIDDEN, fold: dict[int, str] | None = None):
+        self.alphabet, self.hidden, self.fold = alphabet, hidden, fold or {}
         r = np.random.default_rng(seed)
         n = max(alphabet.values(), default=2) + 1
-        w = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"emb": 0.3 * w(n, EMBED) * np.sqrt(n), "out": w(2 * HIDDEN, TAGS), "bias": np.zeros(TAGS, np.float32), "trans": np.zeros((TAGS, TAGS), np.float32)}
-        for d in "fb":
-            b = np.zeros(4 * HIDDEN, np.float32)
-            b[HIDDEN : 2 * HIDDEN] = 1  # remember at first
-            self.p |= {f"wx{d}": w(EMBED, 4 * HIDDEN), f"wh{d}": w(HIDDEN, 4 * HIDDEN), f"b{d}": b}
+        w = lambda fan, *s: (r.standard_normal(s) / np.sqrt(fan)).astype(np.float32)
+        bias = np.zeros((4, 2, 1, hidden), np.float32)
+        bias[1] = 1  # remember at first
+        # Gates: input, forget, output, cell; directions: forwards, backwards.
+        self.p = {
+            "emb": 0.3 * w(1, n, EMBED), "wx": w(EMBED, 4, 2, EMBED, hidden), "wh": w(hidden, 4, 2, hidden, hidden), "b": bias,
+            "out": w(2 * hidden, 2, hidden, TAGS), "bias": np.zeros(TAGS, np.float32), "trans": np.zeros((TAGS, TAGS), np.float32),
+        }
+        self.codes = self._codes()
+
+    def __getstate__(self):
+        return {"alphabet": self.alphabet, "hidden": self.hidden, "fold": self.fold, "p": self.p}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.codes = self._codes()
 
     @staticmethod
     def letters(texts: Sequence[str]) -> dict[str, int]:
@@ -42,110 +61,142 @@ class Tagger:
             base[unicodedata.normalize("NFD", k)[0]] += v
         return {k: i + 3 for i, (k, _) in enumerate(sorted(base.items(), key=lambda x: (-x[1], x[0]))[:CHARS])}
 
-    def ids(self, text: str) -> list[int]:
-        a = self.alphabet
-        out = []
-        for c in text:
-            i = a.get(c)
-            if i is None:
-                b = unicodedata.normalize("NFD", c)[0]
-                i = a.get(b, HAN if "㐀" <= c <= "鿿" else OTHER)
-                if len(a) < 5 * CHARS:
-                    a[c] = i
-            out.append(i)
-        return out
+    def _codes(self) -> np.ndarray:
+        """Id of every code point; DROP for those that are read as nothing."""
+        table = np.full(0x110000, OTHER, dtype=np.int16)
+        table[0x3400:0xA000] = HAN
+        for block in ((0x80, 0x530), (0x1E00, 0x2000)):
+            for code in range(*block):
+                table[code] = self.alphabet.get(unicodedata.normalize("NFD", chr(code))[0], OTHER)
+        for c, i in self.alphabet.items():
+            table[ord(c)] = i
+        for code, to in self.fold.items():
+            table[code] = table[ord(unicodedata.normalize("NFD", to)[0])] if to else DROP
+        return table
 
-    # -- the network; x: batch x steps of ids
-
-    def _run(self, x: np.ndarray, d: str, keep: bool):
-        p, (n, steps) = self.p, x.shape
-        table = p["emb"] @ p[f"wx{d}"] + p[f"b{d}"]
-        wh = p[f"wh{d}"]
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        out, memory = np.empty((steps, n, HIDDEN), np.float32), []
-        half = np.full(4 * HIDDEN, 0.5, np.float32)
-        half[3 * HIDDEN :] = 1
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            g = table[x[:, t]]
-            g += h @ wh
-            g *= half
-            np.tanh(g, out=g)  # one call: sigmoid(z) = (1 + tanh(z / 2)) / 2
-            g[:, : 3 * HIDDEN] *= 0.5
-            g[:, : 3 * HIDDEN] += 0.5
-            before = c
-            c = g[:, HIDDEN : 2 * HIDDEN] * c + g[:, :HIDDEN] * g[:, 3 * HIDDEN :]
-            tc = np.tanh(c)
-            last = h
-            h = g[:, 2 * HIDDEN : 3 * HIDDEN] * tc
-            mask = (x[:, t] == PAD)[:, None]
-            if mask.any():
-                h, c = np.where(mask, 0, h), np.where(mask, 0, c)
-            out[t] = h
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of the characters; one that is read as nothing keeps its place as an unknown one."""
+        i = self.codes[code_points(text)]
+        return np.where(i == DROP, OTHER, i)
+
+    # -- the network; x: steps x windows of ids
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each character adds to the gates, and the recurrent weights. Sigmoids are halved arguments of tanh:
+        sigmoid(z) = (1 + tanh(z / 2)) / 2. A blank closes all gates, so it leaves no trace."""
+        p, n = self.p, len(self.p["emb"])
+        half = np.array([0.5, 0.5, 0.5, 1], np.float32).reshape(4, 1, 1, 1)
+        table = (p["emb"] @ p["wx"] + p["b"]) * half
+        table[:3, :, PAD] = -20
+        table[3, :, PAD] = 0
+        return np.ascontiguousarray(table.reshape(8 * n, self.hidden)), p["wh"] * half
+
+    def _run(self, x: np.ndarray, keep: bool):
+        """Outputs, directions x steps x windows x units; and what the gradients need."""
+        (steps, n), size, units = x.shape, len(self.p["emb"]), self.hidden
+        table, wh = self._table()
+        wh = wh if keep else 0.5 * wh
+        offset = (np.arange(8) * size).reshape(4, 2, 1)
+        at = np.empty((4, 2, n), np.int64)
+        g, m = np.empty((4, 2, n, units), np.float32), np.empty((4, 2, n, units), np.float32)
+        h, c, tc = (np.zeros((2, n, units), np.float32) for _ in range(3))
+        out, memory = np.empty((2, steps, n, units), np.float32), []
+        for t in range(steps):
+            at[:] = offset
+            at[:, 0] += x[t]
+            at[:, 1] += x[steps - 1 - t]
+            np.take(table, at, axis=0, out=g, mode="clip")
+            np.matmul(h, wh, out=m)
+            g += m
+            np.tanh(g, out=g)
             if keep:
-                memory.append((t, g, before, tc, last))
+                g[:3] += 1
+                g[:3] *= 0.5
+                before, last = c, h
+                c = g[1] * c + g[0] * g[3]
+                tc = np.tanh(c)
+                h = g[2] * tc
+                memory.append((g.copy(), before, tc, last))
+            else:
+                # h is kept doubled here, which the weights it meets make up for.
+                i, f, o, z = g
+                f += 1
+                f *= c
+                i += 1
+                i *= z
+                f += i
+                np.multiply(f, 0.5, out=c)
+                np.tanh(c, out=tc)
+                o += 1
+                np.multiply(o, tc, out=h)
+            out[0, t] = h[0]
+            out[1, steps - 1 - t] = h[1]
         return out, memory
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """steps x batch x tags"""
-        f, _ = self._run(x, "f", False)
-        b, _ = self._run(x, "b", False)
-        return f @ self.p["out"][:HIDDEN] + b @ self.p["out"][HIDDEN:] + self.p["bias"]
+        """tags x steps x windows. x: steps x windows."""
+        h, _ = self._run(x, False)
+        flat, out = h.reshape(2, -1, self.hidden), 0.5 * self.p["out"]
+        e = out[0].T @ flat[0].T
+        e += out[1].T @ flat[1].T
+        e += self.p["bias"][:, None]
+        return e.reshape(TAGS, *x.shape)
 
     def _loss(self, e: np.ndarray, y: np.ndarray, mask: np.ndarray):
-        """CRF loss and its gradients for emissions (steps x batch x tags), tags and mask (batch x steps; sequences are left aligned)."""
+        """CRF loss and its gradients, by forward and backward sums that are scaled at every step.
+
+        e: steps x windows x tags; y, mask: windows x steps, left aligned."""
         tr, (steps, n, _) = self.p["trans"].astype(np.float64), e.shape
-        e = e.astype(np.float64)
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0]
-        for t in range(1, steps):
-            a = _logsum(alpha[t - 1][:, :, None] + tr[None], 1) + e[t]
-            alpha[t] = np.where(mask[:, t, None], a, alpha[t - 1])
-        for t in range(steps - 2, -1, -1):
-            b = _logsum(tr[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-            beta[t] = np.where(mask[:, t + 1, None], b, beta[t + 1])
-        z = _logsum(alpha[-1], 1)
-        ge, gt = np.exp(alpha + beta - z[None, :, None]), np.zeros((TAGS, TAGS))
-        ge *= mask.T[:, :, None]
-        score = np.zeros(n)
-        rows = np.arange(n)
+        e, m, a = e.astype(np.float64), mask.T, np.exp(self.p["trans"].astype(np.float64))
+        top = e.max(axis=2)
+        ex = np.exp(e - top[:, :, None])
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.ones((steps, n))
+        now = ex[0]
         for t in range(steps):
-            m = mask[:, t]
-            score += np.where(m, e[t, rows, y[:, t]], 0)
-            ge[t, rows[m], y[m, t]] -= 1
             if t:
-                score += np.where(m, tr[y[:, t - 1], y[:, t]], 0)
-                left, right = np.exp(alpha[t - 1] - z[:, None] / 2), np.exp(e[t] + beta[t] - z[:, None] / 2)
-                gt += (left[m].T @ right[m]) * np.exp(tr)
-                gt -= np.bincount(y[m, t - 1] * TAGS + y[m, t], minlength=TAGS * TAGS).reshape(TAGS, TAGS)
+                now = np.where(m[t, :, None], (alpha[t - 1] @ a) * ex[t], alpha[t - 1])
+            scale[t] = now.sum(axis=1)
+            alpha[t] = now / scale[t][:, None]
+        for t in range(steps - 2, -1, -1):
+            beta[t] = np.where(m[t + 1, :, None], ((ex[t + 1] * beta[t + 1]) @ a.T) / scale[t + 1][:, None], beta[t + 1])
+        z = (np.log(scale) + np.where(m, top, 0)).sum(axis=0)
+        ge = alpha * beta * m[:, :, None]
+        right = ex[1:] * beta[1:] / scale[1:, :, None] * m[1:, :, None]
+        gt = (alpha[:-1].reshape(-1, TAGS).T @ right.reshape(-1, TAGS)) * a
+        at, step = y.T, np.arange(steps)[:, None]
+        score = np.where(m, e[step, np.arange(n), at], 0).sum(axis=0) + np.where(m[1:], tr[at[:-1], at[1:]], 0).sum(axis=0)
+        ge[step, np.arange(n), at] -= m
+        gt -= np.bincount((at[:-1] * TAGS + at[1:])[m[1:]], minlength=TAGS * TAGS).reshape(TAGS, TAGS)
         return float((z - score).mean()), (ge / n).astype(np.float32), (gt / n).astype(np.float32)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray):
-        p, mask = self.p, x != PAD
-        f, mf = self._run(x, "f", True)
-        b, mb = self._run(x, "b", True)
-        h = np.concatenate([f, b], axis=2)
-        loss, ge, gt = self._loss(h @ p["out"] + p["bias"], y, mask)
-        g = {"trans": gt, "bias": ge.sum(axis=(0, 1)), "out": h.reshape(-1, 2 * HIDDEN).T @ ge.reshape(-1, TAGS), "emb": np.zeros_like(p["emb"])}
-        gh = ge @ p["out"].T
-        for d, memory, part in (("f", mf, gh[:, :, :HIDDEN]), ("b", mb, gh[:, :, HIDDEN:])):
-            gx = np.zeros((x.shape[1], x.shape[0], 4 * HIDDEN), np.float32)
-            wh, gwh = p[f"wh{d}"], np.zeros_like(p[f"wh{d}"])
-            dh, dc = np.zeros((x.shape[0], HIDDEN), np.float32), np.zeros((x.shape[0], HIDDEN), np.float32)
-            for t, a, before, tc, last in reversed(memory):
-                keep = mask[:, t, None]
-                dht = np.where(keep, part[t] + dh, 0)
-                i, fo, o, c = (a[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-                dct = np.where(keep, dht * o * (1 - tc * tc) + dc, 0)
-                z = np.concatenate([dct * c * i * (1 - i), dct * before * fo * (1 - fo), dht * tc * o * (1 - o), dct * i * (1 - c * c)], axis=1)
-                gx[t] = z
-                gwh += last.T @ z
-                dh, dc = z @ wh.T, dct * fo
-            flat, at = gx.reshape(-1, 4 * HIDDEN), x.T.reshape(-1)
-            ex = p["emb"][at]
-            g |= {f"wx{d}": ex.T @ flat, f"b{d}": flat.sum(axis=0), f"wh{d}": gwh}
-            back = flat @ p[f"wx{d}"].T
-            for j in range(EMBED):
-                g["emb"][:, j] += np.bincount(at, weights=back[:, j], minlength=len(g["emb"]))
+        """x, y: windows x steps."""
+        p, mask, units = self.p, x != PAD, self.hidden
+        h, memory = self._run(x.T, True)
+        n, steps = x.shape
+        loss, ge, gt = self._loss(h[0] @ p["out"][0] + h[1] @ p["out"][1] + p["bias"], y, mask)
+        flat = ge.reshape(-1, TAGS)
+        g = {"trans": gt, "bias": flat.sum(axis=0), "out": np.stack([h[d].reshape(-1, units).T @ flat for d in (0, 1)])}
+        gh = np.stack([ge @ p["out"][d].T for d in (0, 1)])
+        gx = np.zeros((4, 2, steps, n, units), np.float32)
+        gwh = np.zeros_like(p["wh"])
+        dh, dc = np.zeros((2, n, units), np.float32), np.zeros((2, n, units), np.float32)
+        back = p["wh"].transpose(0, 1, 3, 2)
+        for t in range(steps - 1, -1, -1):
+            (i, f, o, c), before, tc, last = memory[t]
+            keep = np.stack([mask[:, t], mask[:, steps - 1 - t]])[:, :, None]
+            dht = np.where(keep, np.stack([gh[0, t], gh[1, steps - 1 - t]]) + dh, 0)
+            dct = np.where(keep, dht * o * (1 - tc * tc) + dc, 0)
+            z = np.stack([dct * c * i * (1 - i), dct * before * f * (1 - f), dht * tc * o * (1 - o), dct * i * (1 - c * c)])
+            gx[:, 0, t], gx[:, 1, steps - 1 - t] = z[:, 0], z[:, 1]
+            gwh += last.transpose(0, 2, 1) @ z
+            dh, dc = (z @ back).sum(axis=0), dct * f
+        at, rows = x.T.reshape(-1), gx.reshape(4, 2, -1, units)
+        ex = p["emb"][at]
+        g |= {"wx": ex.T @ rows, "b": rows.sum(axis=2, keepdims=True), "wh": gwh, "emb": np.zeros_like(p["emb"])}
+        pulled = (rows @ p["wx"].transpose(0, 1, 3, 2)).sum(axis=(0, 1))
+        for j in range(EMBED):
+            g["emb"][:, j] = np.bincount(at, weights=pulled[:, j], minlength=len(g["emb"]))
         return loss, g
 
     def train(self, texts: Sequence[str], tags: Sequence[Sequence[int]], steps: int = 500, batch: int = 32, rate: float = 0.02, seed: int = 0) -> float:
@@ -171,52 +222,122 @@ class Tagger:
                 self.p[k] -= (lr * (m[k] / (1 - 0.9**s)) / (np.sqrt(v[k] / (1 - 0.995**s)) + 1e-7)).astype(np.float32)
         return float(np.mean(losses[-50:]))
 
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """The best tags for emissions (steps x batch x tags): batch x steps."""
-        tr, (steps, n, _) = self.p["trans"], e.shape
-        best, back = e[0], np.zeros((steps, n, TAGS), np.int8)
+    def viterbi(self, e: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+        """The best tags for emissions (steps x tags x texts): texts x steps. size: the texts' own steps, in ascending order; a text
+        ends there, whatever it is treated with, and what follows is not to be read."""
+        tr, (steps, _, n) = self.p["trans"], e.shape
+        size = np.full(n, steps) if size is None else np.asarray(size)
+        from_ = np.searchsorted(size, np.arange(steps), side="right").tolist()  # the texts that reach a step
+        best = np.empty_like(e)
+        best[0] = e[0]
         for t in range(1, steps):
-            s = best[:, :, None] + tr[None]
-            back[t] = s.argmax(axis=1)
-            best = s.max(axis=1) + e[t]
+            a = from_[t]
+            best[t, :, :a] = best[t - 1, :, :a]
+            np.add((best[t - 1, :, None, a:] + tr[:, :, None]).max(axis=0), e[t, :, a:], out=best[t, :, a:])
         out = np.empty((n, steps), np.int8)
-        out[:, -1] = best.argmax(axis=1)
+        tag = best[-1].argmax(axis=0)
+        out[:, -1] = tag
         for t in range(steps - 1, 0, -1):
-            out[:, t - 1] = back[t][np.arange(n), out[:, t]]
+            a = from_[t]
+            tag[a:] = (best[t - 1, :, a:] + tr[:, tag[a:]]).argmax(axis=0)
+            out[:, t - 1] = tag
         return out
 
-    def tag(self, texts: Sequence[str], window: int = 64, batch: int = 768) -> list[np.ndarray]:
-        """Tags of each text. Texts longer than a window are cut into windows that overlap by half; emissions in overlaps are averaged,
-        weighed by their distance from the window's edge, and one Viterbi path is found over the whole text."""
-        ids = [self.ids(t) for t in texts]
-        jobs = []
-        for k, i in enumerate(ids):
-            starts = range(0, max(1, len(i) - window // 2), window // 2)
-            jobs += [(k, s) for s in starts]
-        total = [np.zeros((len(i), TAGS), np.float32) for i in ids]
-        weight = [np.zeros((len(i), 1), np.float32) for i in ids]
-        ramp = np.minimum(np.arange(1, window + 1), np.arange(window, 0, -1)).astype(np.float32)[:, None]
-        for j in range(0, len(jobs), batch):
-            some = jobs[j : j + batch]
-            x = np.zeros((len(some), window), np.int64)
-            for row, (k, s) in enumerate(some):
-                part = ids[k][s : s + window]
-                x[row, : len(part)] = part
-            e = self.emissions(x)
-            for row, (k, s) in enumerate(some):
-                n = min(window, len(ids[k]) - s)
-                total[k][s : s + n] += e[:n, row] * ramp[:n]
-                weight[k][s : s + n] += ramp[:n]
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(ids)
-        order = sorted((k for k in range(len(ids)) if len(ids[k])), key=lambda k: len(ids[k]))
-        for j in range(0, len(order), 512):
-            some = order[j : j + 512]
-            width = max(len(ids[k]) for k in some)
-            e = np.zeros((width, len(some), TAGS), np.float32)
-            e[:, :, 1:] = -30  # nothing beyond the end
-            for row, k in enumerate(some):
-                e[: len(ids[k]), row] = total[k] / weight[k]
-            tags = self.viterbi(e)
-            for row, k in enumerate(some):
-                out[k] = tags[row, : len(ids[k])]
+    def _hopeful(self, excess: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The texts whose best path can leave the outside: flat excesses of the best tag over outside, and the texts' sizes (> 0).
+
+        Relative to staying outside, a stretch of tags gains its excesses, its inner steps and its ends; the largest sum over any
+        stretch bounds that. The largest sums come from running sums and their running minima; an offset parts the texts."""
+        tr = self.p["trans"].astype(np.float64) - float(self.p["trans"][0, 0])
+        inner, into, out_of = tr[1:, 1:].max(), tr[0, 1:].max(), tr[1:, 0].max()
+        first = np.cumsum(size) - size
+        far = (np.abs(excess).max(initial=0) + abs(inner) + 1) * size.max(initial=1) * 2
+        run = np.cumsum(excess.astype(np.float64) + inner)
+        start = np.r_[0.0, run[first[1:] - 1]] if len(first) else first
+        run -= np.repeat(start, size)
+        apart = np.repeat(np.arange(len(size)) * far, size)
+        before = np.empty_like(run)
+        before[1:] = run[:-1]
+        before[first] = 0
+        least = np.minimum.accumulate(before - apart) + apart
+        reduce = lambda v: np.maximum.reduceat(v, first)
+        last = run[first + size - 1]
+        within = reduce(run - least) + into + out_of
+        head, tail = reduce(run) + out_of, last + reduce(-before) + into
+        return np.maximum.reduce([within, head, tail, last]) - inner > -1e-3
+
+    def tag(self, texts: Sequence[str], window: int = WINDOW, shared: int = SHARED, batch: int = BATCH) -> list[np.ndarray]:
+        """Tags of the characters of each text."""
+        return [np.zeros(len(t), np.int8) if y is None else y for t, y in zip(texts, self.paths(texts, window, shared, batch), strict=True)]
+
+    def paths(self, texts: Sequence[str], window: int = WINDOW, shared: int = SHARED, batch: int = BATCH) -> list[np.ndarray | None]:
+        """Tags of the characters of each text; None where all are outside. Characters that are read as nothing get the tag before them.
+
+        Texts longer than a window are cut into equal windows that overlap; emissions in overlaps are averaged, weighed by their
+        distance from the window's edge, and one Viterbi path is found over the whole text."""
+        whole = self.codes[code_points("".join(texts))]
+        long_ = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        read = whole != DROP
+        flat = whole[read]
+        size = np.bincount(np.repeat(np.arange(len(texts)), long_)[read], minlength=len(texts)) if len(flat) < len(whole) else long_
+        first = np.cumsum(size) - size
+        many = np.maximum(1, -(-(size - shared) // (window - shared))) * (size > 0)
+        of = np.repeat(np.arange(len(texts)), many)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        step = np.where(many > 1, -(-(size - shared) // np.maximum(many, 1)), size)
+        start = nth * step[of]
+        length = np.minimum(np.where(many[of] > 1, step[of] + shared, size[of]), size[of] - start)
+        place = first[of] + start
+        # Averaged emissions lie between those of the windows, so the larger excess is a bound.
+        bound = np.full(len(flat), -np.inf, np.float32)
+        for rows, e in self._emitted(flat, place, length, np.arange(len(of)), batch):
+            excess = np.ascontiguousarray((np.maximum.reduce(list(e[1:])) - e[0]).T)
+            for x, p, n in zip(excess, place[rows].tolist(), length[rows].tolist(), strict=True):
+                own = bound[p : p + n]
+                np.maximum(own, x[:n], out=own)
+        full = np.nonzero(size > 0)[0]
+        hopeful = full[self._hopeful(bound, size[full])] if len(full) else full
+        # Only these need a path: their emissions are worked out again and kept.
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for rows, e in self._emitted(flat, place, length, np.nonzero(np.isin(of, hopeful))[0], batch):
+            for j, w in enumerate(rows.tolist()):
+                held.setdefault(int(of[w]), []).append((int(start[w]), e[:, : length[w], j].copy()))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        todo = hopeful[np.argsort(size[hopeful], kind="stable")].tolist()
+        begin = np.cumsum(long_) - long_
+        for j in range(0, len(todo), 256):
+            ks = todo[j : j + 256]
+            e = np.zeros((int(size[ks[-1]]), TAGS, len(ks)), np.float32)
+            for col, k in enumerate(ks):
+                e[: size[k], :, col] = self._joined(held.pop(k), int(size[k]))
+            tags = self.viterbi(e, size[ks])
+            for col, k in enumerate(ks):
+                y = tags[col, : size[k]]
+                if y.any():
+                    if size[k] < long_[k]:
+                        y = np.r_[np.int8(0), y][np.cumsum(read[begin[k] : begin[k] + long_[k]])]
+                    out[k] = y
         return out
+
+    def _emitted(self, flat: np.ndarray, place: np.ndarray, length: np.ndarray, windows: np.ndarray, batch: int):
+        """Batches of windows of similar length, with their emissions (tags x steps x windows)."""
+        order = windows[np.argsort(length[windows], kind="stable")]
+        for i in range(0, len(order), batch):
+            rows = order[i : i + batch]
+            at = np.arange(int(length[rows[-1]]))[:, None]
+            x = flat[np.minimum(place[rows] + at, len(flat) - 1)]
+            x[at >= length[rows]] = PAD
+            yield rows, self.emissions(x)
+
+    @staticmethod
+    def _joined(parts: list[tuple[int, np.ndarray]], size: int) -> np.ndarray:
+        """Emissions (steps x tags) of a text from those of its windows."""
+        if len(parts) == 1:
+            return parts[0][1].T
+        total, weight = np.zeros((size, TAGS), np.float32), np.zeros((size, 1), np.float32)
+        for s, e in parts:
+            n = e.shape[1]
+            ramp = np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)).astype(np.float32)[:, None]
+            total[s : s + n] += e.T * ramp
+            weight[s : s + n] += ramp
+        return total / weight
