@@ -24,9 +24,11 @@ from .sample import bounded
 from .tagger import KINDS, Tagger
 
 #: Texts to learn from (a bound, whatever the corpus), training steps, windows a step, characters of a window to learn from.
-SAMPLE, STEPS, WINDOWS, LENGTH = 20000, 3000, 64, 96
+SAMPLE, STEPS, WINDOWS, LENGTH = 20000, 2500, 64, 96
 #: Variations of a text with details that are learned from beside the text itself.
 VARIED = 3
+#: Characters that are treated at once.
+AT_ONCE = 4_000_000
 #: Bits (as a power of two) of the filter that tells usual words: a fixed size, whatever the vocabulary.
 USUAL_LOG2 = 24
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -221,20 +223,22 @@ def reading() -> dict[int, str]:
 _BEHIND_TITLE = re.compile(rf"\b{_TITLE}\s+(?:{_CAP},? |[A-Z]\. )*$|\b(?:Next of kin|Contact details|Registered as|Regards|Signed|Written by)[:,]?\s+$|\b(?:Patient(?:in)?|Paciente|Name)[:,]\s+$|\b(?:Ask|Dear)\s+$")
 # Words that are no part of an address for mail; capitalised ones before and behind lower case.
 _SURVEYED = re.compile(r"(?<![@._+\-A-Za-z0-9À-ɏͰ-֏])[A-Za-zÀ-ɏͰ-֏]++(?![@_+0-9]|\.[A-Za-z]| ?[@(\[] ?at)")
-_BEFORE = re.compile(r"(?<![@._+\-A-Za-z0-9À-ɏͰ-֏])([A-ZÄÖÜ][A-Za-zÀ-ɏ]+) (?=[a-zß-ÿ])")
-_BEHIND = re.compile(r"[a-zß-ÿ] ([A-ZÄÖÜ][A-Za-zÀ-ɏ]+)")
+_BESIDE = re.compile(r"(?<![@._+\-A-Za-z0-9À-ɏͰ-֏])(?:(?<=[a-zß-ÿ] )()|)([A-ZÄÖÜ][A-Za-zÀ-ɏ]+)(?=( [a-zß-ÿ])?)")
 
 
 def word_counts(texts: Iterable[str]) -> dict[str, list[int]]:
     """Uses of each word: all, before a lower-case word, and behind one."""
     total: Counter = Counter()
-    before: Counter = Counter()
-    behind: Counter = Counter()
+    beside: Counter = Counter()
     for t in texts:
         total.update(_SURVEYED.findall(t))
-        before.update(_BEFORE.findall(t))
-        behind.update(_BEHIND.findall(t))
-    return {w: [n, before[w], behind[w]] for w, n in total.items()}
+        beside.update(m.group(2, 3) if m.start(1) < 0 else (m[2], m[3], "") for m in _BESIDE.finditer(t))
+    out = {w: [n, 0, 0] for w, n in total.items()}
+    for (w, follows, *behind), n in beside.items():
+        if w in out:
+            out[w][1] += n if follows else 0
+            out[w][2] += n if behind else 0
+    return out
 
 
 def survey(df: DataFrame, column: str, goods: DataFrame | None = None) -> tuple[dict[str, int], Usual]:
@@ -439,8 +443,8 @@ def _detected(df: DataFrame, finder: Finder, redact: bool) -> DataFrame:
     def part(batches):
         f = shared.value
         for whole in batches:
-            for i in range(0, len(whole), 2000):
-                b = whole.iloc[i : i + 2000]
+            ends = whole["text"].str.len().cumsum() // AT_ONCE
+            for _, b in whole.groupby(ends, sort=False):
                 spans = f.spans(list(b["text"]))
                 if redact:
                     yield b.assign(text=[redacted(t, s) for t, s in zip(b["text"], spans, strict=True)], n_found=[len(s) for s in spans])[["tbl", "ord", "field_name", "text", "n_found"]]

@@ -15,11 +15,11 @@ import numpy as np
 KINDS = ("email", "phone", "id_number", "address", "name")
 TAGS = len(KINDS) + 1  # 0 is outside
 PAD, OTHER, HAN, DROP = 0, 1, 2, -1
-EMBED, HIDDEN, CHARS = 16, 16, 900
+EMBED, HIDDEN, CHARS = 16, 12, 900
 #: Characters of a window, and those that neighbouring windows share.
-WINDOW, SHARED = 384, 32
+WINDOW, SHARED = 640, 32
 #: Windows that are treated at once.
-BATCH = 320
+BATCH = 512
 
 
 def code_points(text: str) -> np.ndarray:
@@ -290,16 +290,23 @@ class Tagger:
         place = first[of] + start
         # Averaged emissions lie between those of the windows, so the larger excess is a bound.
         bound = np.full(len(flat), -np.inf, np.float32)
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        kept = np.zeros(len(of), dtype=bool)
         for rows, e in self._emitted(flat, place, length, np.arange(len(of)), batch):
             excess = np.ascontiguousarray((np.maximum.reduce(list(e[1:])) - e[0]).T)
             for x, p, n in zip(excess, place[rows].tolist(), length[rows].tolist(), strict=True):
                 own = bound[p : p + n]
                 np.maximum(own, x[:n], out=own)
+            # Emissions that are likely to be needed are kept.
+            excess[np.arange(excess.shape[1]) >= length[rows][:, None]] = -np.inf
+            for j in np.nonzero(excess.max(axis=1) > 0)[0].tolist():
+                w = int(rows[j])
+                kept[w] = True
+                held.setdefault(int(of[w]), []).append((int(start[w]), e[:, : length[w], j].copy()))
         full = np.nonzero(size > 0)[0]
         hopeful = full[self._hopeful(bound, size[full])] if len(full) else full
-        # Only these need a path: their emissions are worked out again and kept.
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for rows, e in self._emitted(flat, place, length, np.nonzero(np.isin(of, hopeful))[0], batch):
+        # Only these need a path: what was not kept is worked out again.
+        for rows, e in self._emitted(flat, place, length, np.nonzero(np.isin(of, hopeful) & ~kept)[0], batch):
             for j, w in enumerate(rows.tolist()):
                 held.setdefault(int(of[w]), []).append((int(start[w]), e[:, : length[w], j].copy()))
         out: list[np.ndarray | None] = [None] * len(texts)
