@@ -48,11 +48,6 @@ def sizes(avail: DataFrame) -> DataFrame:
     return out.withColumn("needed", F.greatest(F.ceil(dec("target_share") * F.col("plan_size").cast("decimal(18,0)")).cast("long"), F.coalesce(F.col("min_rows").cast("long"), F.lit(0).cast("long"))))
 
 
-def unmet(targets: DataFrame, rois: DataFrame, ct: DataFrame) -> DataFrame:
-    """plan_id, source, area_band: the targets for which too few regions exist. Plans without regions need only their minimum rows."""
-    return sizes(available(targets, regions(rois, ct))).filter("n_available < needed").select("plan_id", "source", "area_band")
-
-
 def allocate(shares: list[float], floors: list[int], caps: list[int], size: int) -> list[int]:
     """Integer quotas for ``size`` rows: at least the floors, at most the caps, the rest by largest remainder of the shares.
 
@@ -86,20 +81,28 @@ def allocate(shares: list[float], floors: list[int], caps: list[int], size: int)
 
 
 def allocated(targets: DataFrame, regs: DataFrame) -> DataFrame:
-    """Adds quota and shortfall (needed rows that do not exist) to the targets. Plans are small: a row per category."""
+    """Adds quota and shortfall (rows that an allocation of the needs cannot give) to the targets. Plans are small: a row per category."""
     a = sizes(available(targets, regs)).select("plan_id", "source", "area_band", "target_share", "min_rows", "n_available", "plan_size", "needed")
 
     def each(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["source", "area_band"], na_position="last").reset_index(drop=True)
         number = lambda c: [0 if x is None or math.isnan(x) else x for x in p[c]]
-        p["quota"] = allocate(number("target_share"), [int(x) for x in number("min_rows")], [int(x) for x in p["n_available"]], int(p["plan_size"].iloc[0]))
-        p["shortfall"] = (p["needed"] - p["n_available"]).clip(lower=0)
+        share, have, need, size = number("target_share"), [int(x) for x in p["n_available"]], [int(x) for x in p["needed"]], int(p["plan_size"].iloc[0])
+        p["quota"] = allocate(share, [int(x) for x in number("min_rows")], have, size)
+        # Quotas are rounded so that they sum to the size, needs are rounded up: with the needs as floors, what an allocation still
+        # lacks is what does not exist.
+        p["shortfall"] = [max(0, n - got) for n, got in zip(need, allocate(share, need, have, size), strict=True)]
         return p
 
     schema = "plan_id string, source string, area_band string, target_share double, min_rows int, n_available long, plan_size long, needed long, quota long, shortfall long"
     return a.groupBy("plan_id").applyInPandas(each, schema)
 
 
+def unmet(targets: DataFrame, rois: DataFrame, ct: DataFrame) -> DataFrame:
+    """plan_id, source, area_band: the targets that the allocation leaves short. Plans without regions need only their minimum rows."""
+    return allocated(targets, regions(rois, ct)).filter("shortfall > 0").select("plan_id", "source", "area_band")
+
+
 def sampled(targets: DataFrame, rois: DataFrame, ct: DataFrame, seed: int = 0) -> DataFrame:
     """plan_id, source, area_band, sample_ord, roi_index: the sample of each plan. The same seed gives the same sample, however data are split."""
     regs = regions(rois, ct)
