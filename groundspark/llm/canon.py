@@ -5,7 +5,9 @@
 2. Ignorable characters (zero width, soft hyphen, directional marks, variation selectors) are deleted.
 3. Every maximal run of letters is a lattice: each position may be any member of its look-alike class. Viterbi finds the best
    path under character bigram scores of the corpus and a penalty for changing script. The lattice depends only on the
-   look-alike classes, never on which member was written, so equal-looking tokens always get the same reading.
+   look-alike classes, never on which member was written, so equal-looking tokens always get the same reading. Where Latin is
+   the most usual script, a lattice that has a path of Latin letters throughout is read as that path, so that plain Latin tokens,
+   which are left as they are, and those that look like them meet in one form.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 # Groups of letters that look the same; the Latin letter first.
 LOOKALIKES = (
-    "aа eе oоοօ pр cсϲ yуү xх sѕ iі jјϳ hһհ dԁ qԛ wԝ vѵν lӏ gɡ uս "
+    "aаɑ eе oоοօ pрρ cсϲ yуү xх sѕ iіı jјϳ hһհ dԁ qԛ wԝ vѵν lӏ gɡ uս "
     "AАΑ BВΒ EЕΕ KКΚ MМΜ HНΗ OОΟՕ PРΡ CСϹ TТΤ YҮΥ XХΧ SЅՏ IІΙӀ JЈ ZΖ NΝ GԌ WԜ QԚ"
 ).split()
 # Radical forms that compatibility normalization leaves alone, and the characters they look like.
@@ -59,7 +61,8 @@ _ODD = re.compile("[^ -~\n、。《》“”‘’—¿¡À-ÖØ-öø-ÿμ一-
 _SPACES = re.compile(r" +")
 _LINES = re.compile(r" ?\n[ \n]*")
 _FOREIGN = "".join(c for g in LOOKALIKES for c in g if ord(c) > 127)
-_TOKEN = re.compile(rf"[A-Za-z̀-ͯÀ-ɏͰ-֏]*[{_FOREIGN}][A-Za-z̀-ͯÀ-ɏͰ-֏]*")
+_TOKEN = re.compile(rf"[A-Za-z̀-ͯÀ-ɏͰ-֏]*[{_FOREIGN}Ͱ-֏][A-Za-z̀-ͯÀ-ɏͰ-֏]*")
+_LATIN = re.compile(r"[A-Za-z̀-ͯÀ-ɏ]*")
 _WORDS = re.compile(r"[A-Za-zÀ-ɏͰ-֏]+")
 
 
@@ -144,19 +147,22 @@ class Canonical:
                 self.known.clear()
             # Equal lattices have equal keys: the first member of each class.
             key = "".join(CLASS.get(c, c)[0] for c in token)
-            got = self.known[token] = self.known.get("\0" + key) or self.known.setdefault("\0" + key, self._viterbi(key))
+            if self.latin and _LATIN.fullmatch(key):
+                got = self.known[token] = key
+            else:
+                got = self.known[token] = self.known.get("\0" + key) or self.known.setdefault("\0" + key, self._viterbi(key))
         return got
 
     def folded(self, text: str) -> str:
         """Steps 1 and 2, and the lattice search, without the joining of spaces."""
-        if text.isascii():
-            return text.translate(_FOLD) if not self.latin or not text.isprintable() else text
+        if text.isascii() and self.latin:
+            return text if text.isprintable() else text.translate(_FOLD)
         for a, b in _USUAL:
             text = text.replace(a, b)
         if self.latin and not _ODD.search(text):
             return text
         t = unicodedata.normalize("NFD", text.translate(_FOLD))
-        if not t.isascii():
+        if not t.isascii() or not self.latin:
             t = _TOKEN.sub(lambda m: self.token(m[0]), t) if self.latin else re.sub(r"[^\W\d_]+", lambda m: self.token(m[0]), t)
             t = unicodedata.normalize("NFC", t)
         return t

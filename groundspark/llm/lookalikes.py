@@ -45,11 +45,14 @@ def keys(df: DataFrame) -> DataFrame:
 def found(df: DataFrame) -> DataFrame:
     """tbl, ord_a, ord_b; ord_a < ord_b: rows of one table whose strings differ and whose forms are equal.
 
-    Only forms written in more than one way are joined; a hot form is split by the adaptive skew join.
+    Distinct strings of a form are paired, and only such pairs are spread to their rows: rows of one string never meet. A hot
+    string is split by the adaptive skew join.
     """
     k = keys(df)
     mixed = k.groupBy("tbl", "form").agg(F.min("raw").alias("x"), F.max("raw").alias("y")).filter("x <> y").select("tbl", "form")
     few = stage(k.join(mixed, ["tbl", "form"], "left_semi"), "mixed")
-    a = few.select("tbl", "form", F.col("ord").alias("ord_a"), F.col("raw").alias("raw_a"))
-    b = few.select("tbl", "form", F.col("ord").alias("ord_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, ["tbl", "form"]).filter("ord_a < ord_b and raw_a <> raw_b").select("tbl", "ord_a", "ord_b")
+    strings = few.select("tbl", "form", "raw").distinct()
+    pairs = strings.withColumnRenamed("raw", "raw_a").join(strings.withColumnRenamed("raw", "raw_b"), ["tbl", "form"]).filter("raw_a < raw_b").select("tbl", "raw_a", "raw_b")
+    side = lambda raw, ord_: few.select("tbl", F.col("raw").alias(raw), F.col("ord").alias(ord_))
+    rows = pairs.join(side("raw_a", "x"), ["tbl", "raw_a"]).join(side("raw_b", "y"), ["tbl", "raw_b"])
+    return rows.select("tbl", F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b"))

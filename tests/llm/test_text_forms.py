@@ -16,6 +16,17 @@ def test_equal_looking_texts_have_one_form(a, b):
     assert MODEL(MODEL(a)) == MODEL(a)
 
 
+def test_equal_looking_words_of_two_scripts_have_one_form(spark):
+    model = Canonical(dict(bigrams(["patients take the tablets at home"] * 50 + ["сера и вода при лечении"] * 20)))
+    for a, b in (("cepa", "сера"), ("cop", "сор"), ("ρace", "pace")):
+        assert model(a) == model(b) == model(model(a))
+    assert model("вода") == "вода" and model("вoдa") == "вода"
+    greek = Canonical(dict(bigrams(["το νερό και το φως"] * 50)))
+    assert greek("oo") == greek("οο")
+    df = rows(spark, ["patients take cepa"] * 3 + ["patients take сера"] * 2 + ["patients take the tablets вода"] * 9)
+    assert {(r.ord_a, r.ord_b) for r in lookalikes.found(df).collect()} == {(i, j) for i in range(3) for j in (3, 4)}
+
+
 @pytest.mark.parametrize(("a", "b"), [("10⁹", "109"), ("H₂", "H2"), ("naïve", "naive"), ("Word", "word"), ("½", "1/2")])
 def test_visible_differences_stay(a, b):
     assert MODEL(a) != MODEL(b)
