@@ -61,6 +61,11 @@ class PHIError(ValueError):
     """Personal data where none may be."""
 
 
+def guarded(c: Column, config: DeidConfig | None = None) -> Column:
+    """The text, if no value is left in it; else the query fails before the text goes anywhere."""
+    return F.when(has_phi(c, config), F.raise_error(F.lit("personal data would leave")).cast("string")).otherwise(c)
+
+
 def violations(df: DataFrame, column: str, config: DeidConfig | None = None) -> DataFrame:
     return df.filter(has_phi(F.col(column), config))
 

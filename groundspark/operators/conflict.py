@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.privacy import Deidentified, DeidConfig, assert_no_phi
+from ..functions.privacy import Deidentified, DeidConfig, assert_no_phi, deidentify, guarded
 from ..functions.text import NormalizeConfig, normalize_text
 
 VERDICTS = ("equivalent", "complementary", "conflicting", "unrelated")
@@ -52,10 +52,9 @@ def resolved(
     several = g.filter(F.size("answers") > 1)
     if judge is None:
         raise RuntimeError("several answers to a question need a judge")
-    safe = Deidentified.of(items, "question", "answer", config=deid).df
-    clean = grouped(safe.select("ord", "question", "answer", "source_id"), config)
-    # The de-identified view of a group is that of its first rows.
-    seen = several.select("q_key", "first_ord", "question", "answers").join(clean.select("first_ord", F.col("question").alias("q"), F.transform("answers", lambda a: a["answer"]).alias("a")), "first_ord")
+    # What leaves is the group's own text, masked and checked: questions that only then become equal stay apart.
+    mask = lambda c: guarded(deidentify(F.coalesce(c, F.lit("")), deid)["text"], deid)
+    seen = several.select("first_ord", "question", "answers", mask(F.col("question")).alias("q"), F.transform("answers", lambda a: mask(a["answer"])).alias("a"))
     judged = seen.withColumn("verdict", judge(F.col("q"), F.col("a")))
     out = [single]
     equal = judged.filter("verdict = 'equivalent'")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import BANDS, band, box_iou
+from ..session import block_starts, in_blocks, stage
 
 FP_POINTS, IOU = (0.5, 1.0, 2.0, 4.0, 8.0), 0.3
 
@@ -61,17 +62,15 @@ def match_single(preds: DataFrame, gts: DataFrame, iou: float = IOU) -> DataFram
 
 
 def _running(flags: DataFrame) -> DataFrame:
-    """Flags in order of confidence with running counts. Sums over blocks of the order come first, so no task sorts all flags."""
-    bucketed = flags.withColumn("bucket", F.floor(F.col("confidence") * 1024).cast("int"))
-    sums = bucketed.groupBy("bucket").agg(F.sum(F.col("is_tp").cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"), *[F.sum((F.col("gt_band") == x).cast("long")).alias(x) for x in BANDS])
-    before = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # at most 1,025 rows for confidences in 0 to 1
-    start = sums.select("bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"s_{c}") for c in ("tp", "n", *BANDS)])
-    w = Window.partitionBy("bucket").orderBy(F.desc("confidence"), "image_id", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    run = bucketed.join(F.broadcast(start), "bucket")
-    return run.select(
-        "image_id", "ord", "confidence", "is_tp", (F.col("s_n") + F.count(F.lit(1)).over(w)).alias("k"), (F.col("s_tp") + F.sum(F.col("is_tp").cast("long")).over(w)).alias("tp"),
-        *[(F.col(f"s_{x}") + F.coalesce(F.sum((F.col("gt_band") == x).cast("long")).over(w), F.lit(0))).alias(x) for x in BANDS],
-    )
+    """Flags in order of confidence with running counts, and the block of the order that each lies in. Sums over blocks of equal
+    size come first, so no task sorts more than a block, however many confidences are equal."""
+    order = [F.desc("confidence"), F.asc("image_id"), F.asc("ord")]
+    rows = in_blocks(flags, order, "ordered")
+    one = {"n": F.lit(1), "tp": F.col("is_tp").cast("long"), **{x: F.coalesce((F.col("gt_band") == x).cast("long"), F.lit(0)) for x in BANDS}}
+    start = block_starts(rows.groupBy("_block").agg(*[F.sum(v).alias(k) for k, v in one.items()]), list(one))
+    w = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.join(start, "_block")
+    return run.select("image_id", "ord", "confidence", "is_tp", "_block", *[(F.col(f"s_{k}") + F.sum(v).over(w)).alias("k" if k == "n" else k) for k, v in one.items()])
 
 
 def froc(flags: DataFrame, gts: DataFrame, n_images: int) -> DataFrame:
@@ -93,10 +92,21 @@ def sensitivity_at(curve: DataFrame, points: tuple[float, ...] = FP_POINTS) -> D
 
 def average_precision(flags: DataFrame, n_gt: int) -> DataFrame:
     """One row: ap, the area under the precision envelope. Without boxes or predictions 0."""
-    r = _running(flags).select("k", "is_tp", (F.col("tp") / F.col("k")).alias("precision")).withColumn("bucket", F.floor(F.log2(F.col("k"))).cast("int"))
-    # The envelope is the highest precision from here on; blocks of k in powers of two keep the windows small in number.
-    tops = r.groupBy("bucket").agg(F.max("precision").alias("m"))
-    later = tops.select("bucket", F.max("m").over(Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    own = F.max("precision").over(Window.partitionBy("bucket").orderBy("k").rowsBetween(0, Window.unboundedFollowing))
-    e = r.withColumn("own", own).join(F.broadcast(later), "bucket")
+    r = _running(flags).select("k", "is_tp", "_block", (F.col("tp") / F.col("k")).alias("precision"))
+    # The envelope is the highest precision from here on: within the block, or in a later one.
+    tops = r.groupBy("_block").agg(F.max("precision").alias("m"))
+    later = tops.select("_block", F.max("m").over(Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)).alias("later"))  # a row a block
+    own = F.max("precision").over(Window.partitionBy("_block").orderBy("k").rowsBetween(0, Window.unboundedFollowing))
+    e = r.withColumn("own", own).join(later, "_block")
     return e.agg(F.coalesce(F.sum(F.when(F.col("is_tp"), F.greatest("own", "later"))) / (n_gt or 1), F.lit(0.0)).alias("ap"))
+
+
+def detection_metrics(preds: DataFrame, gts: DataFrame, n_images: int, iou: float = IOU, points: tuple[float, ...] = FP_POINTS) -> DataFrame:
+    """One row: metrics (sens@<point>fp and mAP), stratified (band to sens@<point>fp), n_images, total_gt; as a record takes them."""
+    flags = stage(match(preds, gts, iou), "flags")
+    n = gts.count()
+    at = sensitivity_at(froc(flags, gts, n_images), points)
+    name = F.concat(F.lit("sens@"), F.col("fp_point").cast("string"), F.lit("fp"))
+    entries = lambda c: F.map_from_entries(F.collect_list(F.struct(name, F.col(c))))
+    rows = at.agg(entries("sensitivity").alias("m"), F.create_map(*[x for b in BANDS for x in (F.lit(b), entries(f"sens_{b}"))]).alias("stratified"))
+    return rows.crossJoin(average_precision(flags, n)).select(F.map_concat("m", F.create_map(F.lit("mAP"), F.col("ap"))).alias("metrics"), "stratified", F.lit(n_images).cast("long").alias("n_images"), F.lit(n).cast("long").alias("total_gt"))  # rows of one

@@ -69,14 +69,21 @@ def green_boxes(rgb: np.ndarray, config: GreenBoxConfig | None = None) -> list[d
     return sorted((o for o in out if o["area_fraction"] >= k.min_area_fraction), key=lambda o: -o["area_fraction"])
 
 
-def heatmap(boxes, width: int, height: int, scale: float = 0.1, least: float = 1.0, anneal: float = 1.0) -> np.ndarray:
-    """One Gaussian a box, cut at three standard deviations; where they meet the larger counts."""
-    out = np.zeros((height, width))
+def heatmap(boxes, width: int, height: int, scale: float = 0.1, least: float = 1.0, anneal: float = 1.0, out_size: tuple[int, int] | None = None, elliptical: bool = True) -> np.ndarray:
+    """One Gaussian a box, in a window of three standard deviations (rounded up) around the cell of its centre; where they meet the
+    larger counts. out_size (height, width) scales boxes to another grid; not elliptical: one deviation from the mean side.
+    A window outside the grid leaves nothing."""
+    rows, cols = out_size or (height, width)
+    fx, fy = cols / width, rows / height
+    out = np.zeros((rows, cols))
     for x1, y1, x2, y2 in boxes:
-        cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
-        sx, sy = max(least, scale * (x2 - x1) * anneal), max(least, scale * (y2 - y1) * anneal)
-        a, b = max(0, int(cx - 3 * sx)), min(width, int(cx + 3 * sx) + 1)
-        c, d = max(0, int(cy - 3 * sy)), min(height, int(cy + 3 * sy) + 1)
+        cx, cy, w, h = (x1 + x2) / 2 * fx, (y1 + y2) / 2 * fy, (x2 - x1) * fx, (y2 - y1) * fy
+        if not elliptical:
+            w = h = (w + h) / 2
+        sx, sy = max(least, scale * w * anneal), max(least, scale * h * anneal)
+        rx, ry = int(np.ceil(3 * sx)), int(np.ceil(3 * sy))
+        a, b = max(0, round(cx) - rx), min(cols, round(cx) + rx + 1)
+        c, d = max(0, round(cy) - ry), min(rows, round(cy) + ry + 1)
         if a < b and c < d:
             g = np.exp(-((np.arange(c, d)[:, None] - cy) ** 2) / (2 * sy**2)) * np.exp(-((np.arange(a, b)[None] - cx) ** 2) / (2 * sx**2))
             out[c:d, a:b] = np.maximum(out[c:d, a:b], g)
@@ -119,16 +126,26 @@ def with_heatmap_boxes(maps: DataFrame, threshold: float = 0.3) -> DataFrame:
     return maps.select("image_id", "heatmap").mapInPandas(part, f"image_id {maps.schema['image_id'].dataType.simpleString()}, rois {ROI}, abstained boolean")
 
 
-def heatmap_rows(boxes: DataFrame, width: int, height: int, scale: float = 0.1, least: float = 1.0) -> DataFrame:
-    """image_id, y, x, value: the heat map as rows, in the JVM. boxes: image_id, x1..y2."""
-    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    sx, sy = F.greatest(F.lit(least), scale * (F.col("x2") - F.col("x1"))), F.greatest(F.lit(least), scale * (F.col("y2") - F.col("y1")))
-    b = boxes.select("image_id", cx.alias("cx"), cy.alias("cy"), sx.alias("sx"), sy.alias("sy"))
-    clamp = lambda c, m: F.least(F.greatest(c, F.lit(0)), F.lit(m)).cast("int")
-    b = b.withColumn("y", F.explode(F.sequence(clamp((F.col("cy") - 3 * F.col("sy")).cast("int"), height - 1), clamp((F.col("cy") + 3 * F.col("sy")).cast("int"), height - 1))))
-    b = b.withColumn("x", F.explode(F.sequence(clamp((F.col("cx") - 3 * F.col("sx")).cast("int"), width - 1), clamp((F.col("cx") + 3 * F.col("sx")).cast("int"), width - 1))))
+def heatmap_rows(boxes: DataFrame, width: int, height: int, scale: float = 0.1, least: float = 1.0, anneal: float = 1.0, out_size: tuple[int, int] | None = None, elliptical: bool = True) -> DataFrame:
+    """image_id, y, x, value: heatmap() as rows, in the JVM. boxes: image_id, x1..y2; a box with a null side leaves nothing."""
+    rows, cols = out_size or (height, width)
+    fx, fy = cols / width, rows / height
+    w, h = (F.col("x2") - F.col("x1")) * fx, (F.col("y2") - F.col("y1")) * fy
+    if not elliptical:
+        w = h = (w + h) / 2
+    deviation = lambda side: F.greatest(F.lit(float(least)), scale * side * anneal)
+    b = boxes.filter("x1 is not null and y1 is not null and x2 is not null and y2 is not null").select(
+        "image_id", ((F.col("x1") + F.col("x2")) / 2 * fx).alias("cx"), ((F.col("y1") + F.col("y2")) / 2 * fy).alias("cy"), deviation(w).alias("sx"), deviation(h).alias("sy")
+    )
+
+    def window(centre: str, sigma: str, cells: int):
+        at, reach = F.bround(centre).cast("long"), F.ceil(3 * F.col(sigma))
+        lo, hi = F.greatest(at - reach, F.lit(0)), F.least(at + reach, F.lit(cells - 1))
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+
+    b = b.withColumn("y", F.explode(window("cy", "sy", rows))).withColumn("x", F.explode(window("cx", "sx", cols)))
     g = F.exp(-F.pow(F.col("y") - F.col("cy"), 2) / (2 * F.pow("sy", F.lit(2)))) * F.exp(-F.pow(F.col("x") - F.col("cx"), 2) / (2 * F.pow("sx", F.lit(2))))
-    return b.groupBy("image_id", "y", "x").agg(F.max(g).alias("value"))
+    return b.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), g.alias("g")).groupBy("image_id", "y", "x").agg(F.max("g").alias("value"))
 
 
 def losses(pixels: DataFrame, alpha: float = 2.0, beta: float = 4.0, eps: float = 1e-6) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions import math as fm
 from ..functions import text as ft
 from ..functions.privacy import DeidConfig, deidentify, has_phi
 from ..operators import chunking, conflict, coreset, dedup, detection, entities, heldout, report, retrieval, stats, vision
-from ..session import stage, table
+from ..session import numbered, stage, table
 from ..sources import readers, store
 from ..streaming import ingest as stream
 from .ingest import IngestConfig, ingest_documents, ingest_qa
@@ -24,7 +24,31 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 PLAIN = ft.NormalizeConfig(nfkc=False)
-NORM = ft.sql_normalize("coalesce(text, '')")
+
+# Expected results are stated in SQL of their own, not by the patterns of the functions: white space and line ends as Unicode has
+# them, the boilerplate lines, and the steps of normalization without the compatibility forms.
+_BLANK = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BREAK = r"\r\n|[\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+_BOILERPLATE = "|".join(
+    p.replace("~", _BLANK + "*")
+    for p in ("^~(disclaimer|免责声明)[:：]", "^~(copyright|版权所有|©)", "^~(page~[0-9]+|第~[0-9]+~页)~$", "^~[-=*_]{3,}~$")
+)
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+def sql_normalize(x: str) -> str:
+    kept = f"array_to_string(list_filter(regexp_split_to_array({x}, '{_BREAK}'), lambda l: not regexp_matches(l, '(?i){_BOILERPLATE}')), chr(10))"
+    for mark in "。！？!?.,，；;":
+        kept = f"regexp_replace({kept}, '[{mark}]{{2,}}', '{mark}', 'g')"
+    spaced = f"regexp_replace({kept}, '[ \\t\\x{{3000}}]+', ' ', 'g')"
+    lines = f"regexp_replace({spaced}, '\\n{_BLANK}*\\n{_BLANK}*\\n+', chr(10) || chr(10), 'g')"
+    return sql_strip(f"array_to_string(list_transform(regexp_split_to_array({lines}, '{_BREAK}'), lambda l: {sql_strip('l')}), chr(10))")
+
+
+NORM = sql_normalize("coalesce(text, '')")
 ENTITY = "[A-Z][a-z]{6,}"
 
 
@@ -68,7 +92,7 @@ def normalize_fold(spark, d):
 _BOILED = "'Disclaimer: x' || chr(10) || coalesce(text, '') || chr(10) || 'Page 3' || chr(10) || '----'"
 
 
-@query(f"select doc_id, sha1(array_to_string(list_filter(regexp_split_to_array({_BOILED}, '{ft.LINE_BREAK}'), lambda l: not regexp_matches(l, '(?i){ft.boilerplate_pattern()}')), chr(10))) as h from documents")
+@query(f"select doc_id, sha1(array_to_string(list_filter(regexp_split_to_array({_BOILED}, '{_BREAK}'), lambda l: not regexp_matches(l, '(?i){_BOILERPLATE}')), chr(10))) as h from documents")
 def strip_boilerplate(spark, d):
     c = F.concat(F.lit("Disclaimer: x\n"), F.coalesce("text", F.lit("")), F.lit("\nPage 3\n----"))
     return docs(spark, d).select(F.col("ord").alias("doc_id"), F.sha1(ft.strip_boilerplate(c)).alias("h"))
@@ -105,7 +129,7 @@ def language_and_tokens(spark, d):
     return docs(spark, d).select(F.col("ord").alias("doc_id"), ft.detect_language(t).alias("lang"), ft.estimate_tokens(t).alias("n_tokens"))
 
 
-_SENTENCES = f"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{ft.SENTENCE}'), lambda s: {ft.sql_strip('s')}), lambda s: s <> '')"
+_SENTENCES = f"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '{ft.SENTENCE}'), lambda s: {sql_strip('s')}), lambda s: s <> '')"
 
 
 @query(f"select doc_id, len({_SENTENCES})::int as n, sha1(array_to_string({_SENTENCES}, '|')) as h from documents")
@@ -126,7 +150,7 @@ def map_label(spark, d):
     return table(spark, d, "rois").select("ord", ft.map_label(F.col("label"), F.lit("en")).alias("mapped"))
 
 
-_WORDS = f"list_filter(regexp_split_to_array({ft.sql_strip('n')}, '{ft.WS}+'), lambda x: x <> '')"
+_WORDS = f"list_filter(regexp_split_to_array({sql_strip('n')}, '{_BLANK}+'), lambda x: x <> '')"
 
 
 @query(f"select doc_id, case when len(w) = 0 then 0 when len(w) < 3 then 1 else len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))) end::int as n from (select doc_id, {_WORDS} as w from (select doc_id, {NORM} as n from documents))")
@@ -205,7 +229,7 @@ def qa_pairs(spark, d):
     return readers.qa_records_to_items(table(spark, d, "raw_records"))
 
 
-_Q, _A = ft.sql_normalize("coalesce(question, '')"), ft.sql_normalize("coalesce(answer, '')")
+_Q, _A = sql_normalize("coalesce(question, '')"), sql_normalize("coalesce(answer, '')")
 _GROUPS = f"with i as (select ord, question, answer, source_id, {_Q} as q, {_A} as a from qa_items), g as (select q, count(distinct a) as n_answers, min(ord) as ord, count(distinct source_id) as n_sources from i group by q)"
 
 
@@ -425,8 +449,8 @@ def automerge(spark, d):
 def hybrid_retrieve(spark, d):
     # The n-th document has the n-th vector; documents beyond the vectors are found by their words.
     t = table(spark, d, "documents").select("doc_id", "text")
-    v = _vectors(spark, d).withColumn("n", F.row_number().over(_row("id")))
-    rows = t.select("doc_id", F.row_number().over(_row("doc_id")).alias("n")).join(v, "n", "full").join(t, "doc_id", "left")
+    v = numbered(_vectors(spark, d).select("id"), [F.asc("id")], "n").join(_vectors(spark, d), "id")
+    rows = numbered(t.select("doc_id"), [F.asc("doc_id")], "n").join(v, "n", "full").join(t, "doc_id", "left")
     name = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     parent = F.concat(F.lit("p"), F.floor(F.coalesce("id", F.col("n") - 1) / 4).cast("string"))
     chunks = stage(rows.select(name.alias("id"), parent.alias("parent_id"), F.lit(True).alias("is_leaf"), "text", "vector", F.col("id").alias("vec_id")), "chunks")
@@ -434,12 +458,6 @@ def hybrid_retrieve(spark, d):
     return retrieval.hybrid(asked, chunks)
 
 
-def _row(c):
-    from pyspark.sql import Window
-
-    return Window.orderBy(c)
-
-
 _CASE = _SIM.replace("{0}", "") + _TOP + ", h as (select query_id, (id % 40)::varchar as id, min(rank) as first from t where rank < 30 group by 1, 2), c as (select query_id, id, row_number() over (partition by query_id order by first) - 1 as rank from h), f as (select query_id, id, round(2 * (1.0::double / (60 + rank)), 12) as score, rank as seen from c), r as (select *, row_number() over (partition by query_id order by score desc, seen) - 1 as rank from f)"
 
 
@@ -618,7 +636,7 @@ _G = "exp(-power(y - cy, 2) / (2 * power(sy, 2))) * exp(-power(x - cx, 2) / (2 *
 
 @query(
     "with b as (select sample_ord as image_id, (x1 / 16 + x2 / 16) / 2 as cx, (y1 / 16 + y2 / 16) / 2 as cy, greatest(1.0, 0.1 * (x2 / 16 - x1 / 16)) as sx, greatest(1.0, 0.1 * (y2 / 16 - y1 / 16)) as sy from rois where x1 is not null), "
-    f"p as (select image_id, y, x, max({_G}) as v from b, range(0, 32) yy(y), range(0, 32) xx(x) where y between least(greatest(trunc(cy - 3 * sy), 0), 31) and least(greatest(trunc(cy + 3 * sy), 0), 31) and x between least(greatest(trunc(cx - 3 * sx), 0), 31) and least(greatest(trunc(cx + 3 * sx), 0), 31) group by 1, 2, 3) select image_id, count(*) as n, round(sum(v), 4) as total from p group by 1"
+    f"p as (select image_id, y, x, max({_G}) as v from b, range(0, 32) yy(y), range(0, 32) xx(x) where y between round_even(cy, 0) - ceil(3 * sy) and round_even(cy, 0) + ceil(3 * sy) and x between round_even(cx, 0) - ceil(3 * sx) and round_even(cx, 0) + ceil(3 * sx) group by 1, 2, 3) select image_id, count(*) as n, round(sum(v), 4) as total from p group by 1"
 )
 def heatmap_render(spark, d):
     r = table(spark, d, "rois").filter("x1 is not null").select(F.col("sample_ord").alias("image_id"), *[(F.col(c) / 16).alias(c) for c in ("x1", "y1", "x2", "y2")])

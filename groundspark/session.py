@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="groundspark-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -62,3 +65,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.parquet(path)
+
+
+#: Rows that one task puts in order.
+BLOCK = 200_000
+
+
+def in_blocks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds _block: blocks of about BLOCK rows that follow each other in the given order (0 first). No task orders more than a block,
+    whatever the keys, as long as the whole order tells rows apart."""
+    n = df.count()
+    return stage(df.repartitionByRange(max(1, -(-n // BLOCK)), *order).withColumn("_block", F.spark_partition_id()), name)
+
+
+def block_starts(sums: DataFrame, columns: list[str]) -> DataFrame:
+    """_block and s_<column>: what comes before each block, from one row of sums a block."""
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    return sums.select("_block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"s_{c}") for c in columns])
+
+
+def numbered(df: DataFrame, order: list[Column], column: str) -> DataFrame:
+    """Adds ``column``: the place of each row in the order, from 1."""
+    b = in_blocks(df, order, "numbered")
+    start = block_starts(b.groupBy("_block").agg(F.count(F.lit(1)).alias("n")), ["n"])
+    own = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    return b.withColumn("_own", own).join(start, "_block").withColumn(column, F.col("_own") + F.col("s_n")).drop("_block", "_own", "s_n")
