@@ -5,7 +5,9 @@ Tables carry ``ord``: of a group of duplicates the smallest survives. Survivors
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NormalizeConfig, normalize_text, sha1_key, shingles
@@ -44,7 +46,7 @@ def merge_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def key_labels(nodes: DataFrame, key: Column) -> DataFrame:
     """ord, root for rows that share a key. Keys are counted first, so only repeated ones are joined, and no window sorts a hot key."""
-    keyed = nodes.select("ord", key.alias("k"))
+    keyed = stage(nodes.select("ord", key.alias("k")), "keys")  # a key may be costly, and is used twice
     roots = keyed.groupBy("k").agg(F.min("ord").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return keyed.join(roots, keyed["k"].eqNullSafe(roots["k"])).select("ord", "root")
 
@@ -74,7 +76,8 @@ def structured_dedup(nodes: DataFrame, fields: list[str]) -> DataFrame:
 def near_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 3, char: bool = False, column: str = "text") -> DataFrame:
     """ord_a < ord_b, jaccard: all pairs of rows whose shingle sets have at least this similarity; exact.
 
-    Prefix filtering: with shingles ordered from rare to frequent, similar sets share one among their first size - ceil(t * size) + 1.
+    Prefix filtering: with shingles in one order, similar sets share one among their first size - ceil(t * size) + 1; the order is
+    from rare to frequent, by counts in a table of fixed size (any order is exact, this one keeps the join small).
     So frequent shingles never meet in the join. Rows with equal sets are joined once, through their first row. Rows without any
     shingle are similar to each other (1.0); they are linked to the first of them.
     """
@@ -83,14 +86,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 3, char: bool
     heads = ids.groupBy("size", "h1", "h2").agg(F.min("ord").alias("head"))
     member = stage(ids.join(heads, ["size", "h1", "h2"]).select("ord", "head", "size"), "members")
     reps = stage(sets.join(member.filter("ord = head and size > 0").select("ord"), "ord", "left_semi"), "sets")
-    df = reps.select(F.explode("s").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    each = reps.select("ord", F.size("s").alias("size"), F.explode("s").alias("g")).join(df, "g")
-    rank = F.row_number().over(Window.partitionBy("ord").orderBy("df", "g"))  # one document's shingles
-    prefix = each.filter("df > 1").withColumn("at", rank + 0).select("ord", "size", "g", "df")
-    # Shingles seen once match nothing; they still count as the first of the order.
-    single = each.filter("df = 1").groupBy("ord").agg(F.count(F.lit(1)).alias("lone"))
-    prefix = prefix.join(single, "ord", "left").withColumn("at", rank + F.coalesce("lone", F.lit(0)))
-    prefix = prefix.filter(F.col("at") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1).select("ord", "size", "g")
+    prefix = stage(_prefixes(reps, threshold), "prefixes")
     a, b = prefix.select(F.col("ord").alias("ord_a"), F.col("size").alias("na"), "g"), prefix.select(F.col("ord").alias("ord_b"), F.col("size").alias("nb"), "g")
     cand = a.join(b, "g").filter((F.col("ord_a") < F.col("ord_b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("ord_a", "ord_b").distinct()
     inter = F.size(F.array_intersect("sa", "sb"))
@@ -102,6 +98,36 @@ def near_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 3, char: bool
     return near.unionByName(equal)
 
 
+#: Counters (as a power of two) by which shingles are ordered.
+COUNTERS_LOG2 = 20
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """ord, size, g: of each set (ord, s) the shingles among which a similar set must share one. Those seen once match nothing."""
+    slot = F.pmod(F.col("g"), F.lit(1 << COUNTERS_LOG2)).cast("int")
+    counts = sets.select(F.explode("s").alias("g")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # a table of fixed size
+    table = np.zeros(1 << COUNTERS_LOG2, dtype=np.int64)
+    table[counts["slot"]] = counts["n"]
+    shared = sets.sparkSession.sparkContext.broadcast(np.minimum(table, np.iinfo(np.int32).max).astype(np.int32))
+
+    def part(batches):
+        seen = shared.value
+        for b in batches:
+            size = b["s"].map(len).to_numpy(np.int64)
+            flat = np.concatenate([*b["s"], np.zeros(0, dtype=np.int64)]).astype(np.int64)
+            row = np.repeat(np.arange(len(b)), size)
+            n = seen[flat & ((1 << COUNTERS_LOG2) - 1)]
+            order = np.lexsort((flat, n, row))
+            first = np.cumsum(size) - size
+            keep = np.arange(len(flat)) - np.repeat(first, size) < np.repeat(size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, size)
+            keep &= n[order] > 1
+            at = order[keep]
+            yield pd.DataFrame({"ord": b["ord"].to_numpy()[row[at]], "size": size[row[at]].astype(np.int32), "g": flat[at]})
+
+    kind = sets.schema["ord"].dataType.simpleString()
+    return sets.select("ord", "s").mapInPandas(part, f"ord {kind}, size int, g long")
+
+
 def all_pairs(docs: DataFrame, links: DataFrame) -> DataFrame:
     """Spreads links of near_pairs() over equal sets: ord_a < ord_b, jaccard for all pairs of rows with any shingle."""
     same = links.filter("jaccard = 1.0").select(F.col("ord_b").alias("ord"), F.col("ord_a").alias("head"))

@@ -15,7 +15,7 @@ from ..functions import math as fm
 from ..functions import text as ft
 from ..functions.privacy import DeidConfig, deidentify, has_phi
 from ..operators import chunking, conflict, coreset, dedup, detection, entities, heldout, report, retrieval, stats, vision
-from ..session import numbered, stage, table
+from ..session import numbered, stage, table, texts
 from ..sources import readers, store
 from ..streaming import ingest as stream
 from .ingest import IngestConfig, ingest_documents, ingest_qa
@@ -64,7 +64,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """documents as knowledge nodes."""
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents").select(
         F.col("doc_id").alias("ord"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node_id"), "text", "collection", "lang",
         F.array(F.coalesce("source", F.lit("?"))).alias("source_ids"), F.array().cast("array<string>").alias("entities"), F.lit(None).cast("double").alias("quality_score"),
         F.array().cast("array<string>").alias("flags"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"),
@@ -218,7 +218,7 @@ def ingest_stats(spark, d):
 @query()
 def ingest_qa_stats(spark, d):
     conf = IngestConfig(qa_conflict=True)
-    return ingest_qa(table(spark, d, "qa_items").select("ord", "question", "answer", "source_id"), conf, entities.dictionary_backend(ENTITY), judge=lambda q, a: F.lit("conflicting")).stats
+    return ingest_qa(texts(spark, d, "qa_items").select("ord", "question", "answer", "source_id"), conf, entities.dictionary_backend(ENTITY), judge=lambda q, a: F.lit("conflicting")).stats
 
 
 # -- questions and answers
@@ -226,7 +226,7 @@ def ingest_qa_stats(spark, d):
 
 @query("select ord, question, answer, record_id as source_id from raw_records where question <> '' and answer <> ''")
 def qa_pairs(spark, d):
-    return readers.qa_records_to_items(table(spark, d, "raw_records"))
+    return readers.qa_records_to_items(texts(spark, d, "raw_records"))
 
 
 _Q, _A = sql_normalize("coalesce(question, '')"), sql_normalize("coalesce(answer, '')")
@@ -235,12 +235,12 @@ _GROUPS = f"with i as (select ord, question, answer, source_id, {_Q} as q, {_A}
 
 @query(_GROUPS + " select sha1(q) as q_key, ord as first_ord, n_answers::int as n_answers from g")
 def qa_group(spark, d):
-    g = conflict.grouped(table(spark, d, "qa_items"), PLAIN)
+    g = conflict.grouped(texts(spark, d, "qa_items"), PLAIN)
     return g.select(F.sha1("q_key").alias("q_key"), "first_ord", F.size("answers").alias("n_answers"))
 
 
 def _resolve(spark, d, verdict, merge=None):
-    r = conflict.resolved(table(spark, d, "qa_items"), lambda q, a: F.lit(verdict), merge, config=PLAIN)
+    r = conflict.resolved(texts(spark, d, "qa_items"), lambda q, a: F.lit(verdict), merge, config=PLAIN)
     return r.select("ord", F.size(F.array_compact("source_ids")).alias("n_sources"), F.array_join("flags", "|").alias("flags"))
 
 
@@ -343,7 +343,7 @@ _CONF = chunking.ChunkConfig(short_qa_tokens=60, child_tokens=40, min_chunk_toke
 
 
 def _chunks(spark, d):
-    return chunking.chunk_qa(table(spark, d, "qa_items").select(F.col("ord").alias("doc_id"), "question", "answer"), _CONF)
+    return chunking.chunk_qa(texts(spark, d, "qa_items").select(F.col("ord").alias("doc_id"), "question", "answer"), _CONF)
 
 
 @query()
@@ -358,7 +358,7 @@ def chunk_parents(spark, d):
 
 @query()
 def doc_children(spark, d):
-    c = chunking.hierarchical(table(spark, d, "documents").select("doc_id", "text"))
+    c = chunking.hierarchical(texts(spark, d, "documents").select("doc_id", "text"))
     return chunking.with_parent(c).filter("is_leaf").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_leaves"), F.countDistinct("parent_id").alias("n_parents"))
 
 
@@ -413,8 +413,8 @@ _BM25 = """with tok as (select doc_id as id, unnest(list_transform(regexp_extrac
 
 
 def _bm25(spark, d, k=10):
-    q = table(spark, d, "qa_items").filter("ord % 50 = 0").select(F.col("ord").alias("query_id"), F.col("question").alias("text"))
-    return retrieval.bm25(q, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), k)
+    q = texts(spark, d, "qa_items").filter("ord % 50 = 0").select(F.col("ord").alias("query_id"), F.col("question").alias("text"))
+    return retrieval.bm25(q, texts(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), k)
 
 
 @query(_BM25 + _TOP + " select query_id, count(*) as n, round(sum(score), 4) as total, round(max(score), 6) as best from t where rank < 10 group by 1")
@@ -659,4 +659,4 @@ def event_windows(spark, d):
 
 @query()
 def clean_records(spark, d):
-    return stream.cleaned(table(spark, d, "raw_records").select("ord", "text", "ingested_at")).select("text_key")
+    return stream.cleaned(texts(spark, d, "raw_records").select("ord", "text", "ingested_at")).select("text_key")
