@@ -48,7 +48,7 @@ class Bags:
         self.model, self.known = model, _Known()
 
     def hashed(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the words of all texts in order, the number of words of each, and whether it counts as Chinese."""
+        """Hashes of the words of all texts in order, the number of words of each, and of those that are Chinese characters."""
         flat: list[int] = []
         sizes = []
         get, model = self.known.__getitem__, self.model
@@ -58,7 +58,7 @@ class Bags:
             flat += map(get, w)
         h, n = np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
         han = np.bincount(np.repeat(np.arange(len(n)), n), weights=(h & np.uint64(1)).astype(float), minlength=len(n))
-        return h, n, han * 2 > n
+        return h, n, han.astype(np.int64)
 
     @staticmethod
     def elements(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -76,7 +76,13 @@ class Bags:
 
 
 def long_enough(n, han):
-    return n >= np.where(han, LEAST_HAN, LEAST)
+    return n >= np.where(2 * han > n, LEAST_HAN, LEAST)
+
+
+def script(n, han):
+    """0: at most a quarter of the words are Chinese characters, 2: at least three quarters, 1: between. Texts of 0 and 2 are
+    never near: they would differ in more than half of the words of the longer one."""
+    return np.where(4 * han <= n, 0, np.where(4 * han >= 3 * n, 2, 1)).astype(np.int8)
 
 
 def fingerprints(e: np.ndarray, n: np.ndarray) -> np.ndarray:

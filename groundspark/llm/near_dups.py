@@ -6,7 +6,8 @@ their Hamming distance: the search radius is exact, so no near pair can be lost.
 
 The tree: the first vantage point is the empty text, from which the distance is the length (bands of ratio 1.25, so partners
 lie in the same or the next band); below it, vantage points from a bounded sample of fingerprints split at the median
-distance. A class has one home leaf and queries every leaf that the triangle bounds cannot rule out.
+distance. A class has one home leaf and queries every leaf that the triangle bounds cannot rule out. Leaves are held in blocks
+and queries come in parts, so that every task compares at most BLOCK homes with about as many queries, whatever the size of a band.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dedup import components
 from ..session import stage
 from .canon import Canonical, fit
-from .near import BITS, SHARE, Bags, bag_id, expanded, fingerprints, long_enough, verified
+from .near import BITS, SHARE, Bags, bag_id, expanded, fingerprints, long_enough, script, verified
 from .sample import bounded
 
 #: Fingerprints from which vantage points are chosen (a bound, whatever the corpus), classes wanted in a leaf, classes that a
@@ -36,7 +38,7 @@ def _place() -> Column:
 
 
 def bagged(df: DataFrame, model: Canonical, wanted: np.ndarray | None = None) -> DataFrame:
-    """tbl, ord, text -> tbl, ord, cid, n, han, fp, els for the rows long enough to be near another. els is the bag.
+    """tbl, ord, text -> tbl, ord, cid, n, script, fp, els for the rows long enough to be near another. els is the bag.
 
     wanted: a bitmap of FILTER_BITS bits; only rows whose place is set are treated, and only they have els.
     """
@@ -62,13 +64,13 @@ def bagged(df: DataFrame, model: Canonical, wanted: np.ndarray | None = None) ->
                 els = [e[x:y] for x, y in zip([0, *ends], ends, strict=False)]
                 out = {"tbl": some["tbl"].to_numpy()[keep], "ord": some["ord"].to_numpy()[keep]}
                 if bitmap is None:
-                    yield pd.DataFrame(out | {"cid": [bag_id(x) for x in els], "n": n.astype(np.int32), "han": han, "fp": [x.tobytes() for x in fingerprints(e, n)]})
+                    yield pd.DataFrame(out | {"cid": [bag_id(x) for x in els], "n": n.astype(np.int32), "script": script(n, han), "fp": [x.tobytes() for x in fingerprints(e, n)]})
                 else:
                     yield pd.DataFrame(out | {"els": [x.tobytes() for x in els]})
 
     # A text with too few characters cannot have enough words.
     rows = df.filter("length(text) >= 50").select("tbl", "ord", "text", *([] if wanted is None else [_place().cast("long").alias("place")]))
-    return rows.mapInPandas(part, "tbl string, ord long, cid binary, n int, han boolean, fp binary" if wanted is None else "tbl string, ord long, els binary")
+    return rows.mapInPandas(part, "tbl string, ord long, cid binary, n int, script byte, fp binary" if wanted is None else "tbl string, ord long, els binary")
 
 
 def band(n: int) -> int:
@@ -107,6 +109,10 @@ def plant(fps: np.ndarray, leaves: int, seed: int) -> list:
     return grow(fps, leaves, np.random.default_rng(seed))
 
 
+def count_leaves(tree: list | int) -> int:
+    return 1 if isinstance(tree, int) else count_leaves(tree[2]) + count_leaves(tree[3])
+
+
 def leaves_of(tree, fp: np.ndarray, r: int) -> tuple[int, list[int]]:
     """The home leaf of a fingerprint, and all leaves that can hold one within ``r`` of it."""
     home, found, todo = -1, [], [(tree, True)]
@@ -125,41 +131,48 @@ def leaves_of(tree, fp: np.ndarray, r: int) -> tuple[int, list[int]]:
 
 
 def _sampled(reps: DataFrame) -> list:
-    return bounded(reps, SAMPLE, "tbl", "han", "n", "fp", keys=("tbl", "cid"))
+    return bounded(reps, SAMPLE, "tbl", "script", "n", "fp", keys=("tbl", "cid"))
 
 
-def shards(reps: DataFrame) -> DataFrame:
-    """For every class a home row (kind 0) and the rows with which it queries (kind 1): shard, block, kind, n, cid, fp."""
-    sizes = {(r.tbl, r.han, r.b): r.c for r in reps.groupBy("tbl", "han", F.expr(f"cast(floor(ln(n) / ln({1 / SHARE}) + 1e-9) as int)").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
+def shards(reps: DataFrame) -> tuple[DataFrame, list[str]]:
+    """For every class its home rows (kind 0) and the rows with which it queries (kind 1): shard, block, part, kind, n, cid, fp; and
+    the table of each shard. A home is repeated for every part of the queries of its shard, a query for every block of homes."""
+    of_band = F.expr(f"cast(floor(ln(n) / ln({1 / SHARE}) + 1e-9) as int)")
+    sizes = {(r.tbl, r.script, r.b): r.c for r in reps.groupBy("tbl", "script", of_band.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
     by: dict = {}
     for r in _sampled(reps):
-        by.setdefault((r.tbl, r.han, band(r.n)), []).append(np.frombuffer(r.fp, dtype=np.uint64))
-    trees, first = {}, 0
+        by.setdefault((r.tbl, r.script, band(r.n)), []).append(np.frombuffer(r.fp, dtype=np.uint64))
+    trees, tables = {}, []
     for k in sorted(sizes):
+        tbl, own_script, b = k
         own = np.array(by.get(k, [])).reshape(-1, WORDS)
-        # With a leaf for every LEAF classes; a corpus of more classes than SAMPLE * LEAF / 8 gets larger leaves, in more blocks.
-        trees[k] = (first, plant(own, -(-sizes[k] // LEAF), 7), max(1, -(-sizes[k] // (BLOCK * max(1, min(-(-sizes[k] // LEAF), max(1, len(own) // 8)))))))
-        first += 2 * max(1, -(-sizes[k] // LEAF)) + 1
+        want = -(-sizes[k] // LEAF)
+        tree = plant(own, want, 7)
+        leaves = count_leaves(tree)
+        asking = sum(sizes.get((tbl, s, x), 0) for s in range(3) if abs(s - own_script) < 2 for x in (b, b - 1))
+        trees[k] = (len(tables), tree, max(1, -(-sizes[k] // (BLOCK * leaves))), max(1, -(-asking // BLOCK)))
+        tables += [tbl] * leaves
     shared = reps.sparkSession.sparkContext.broadcast(trees)  # at most SAMPLE vantage points
 
     def part(batches):
-        for b in batches:
+        for batch in batches:
             out = []
-            for tbl, han, n, cid, raw in zip(b.tbl, b.han, b.n, b.cid, b.fp, strict=True):
+            for tbl, own, n, cid, raw in zip(batch.tbl, batch.script, batch.n, batch.cid, batch.fp, strict=True):
                 fp = np.frombuffer(raw, dtype=np.uint64)
-                for step in (0, 1):
-                    got = shared.value.get((tbl, han, band(n) + step))
-                    if got is None:
-                        continue
-                    start, tree, blocks = got
-                    home, found = leaves_of(tree, fp, radius(n))
-                    if step == 0:
-                        out.append((start + home, cid % blocks, 0, tbl, n, cid, raw))
-                    out += [(start + leaf, k, 1, tbl, n, cid, raw) for leaf in found for k in range(blocks)]
+                for other in range(3):
+                    for step in (0, 1):
+                        got = shared.value.get((tbl, other, band(n) + step)) if abs(own - other) < 2 else None
+                        if got is None:
+                            continue
+                        start, tree, blocks, parts = got
+                        home, found = leaves_of(tree, fp, radius(n))
+                        if step == 0 and other == own:
+                            out += [(start + home, cid % blocks, k, 0, n, cid, raw) for k in range(parts)]
+                        out += [(start + leaf, k, cid // blocks % parts, 1, n, cid, raw) for leaf in found for k in range(blocks)]
             if out:
-                yield pd.DataFrame(out, columns=["shard", "block", "kind", "tbl", "n", "cid", "fp"])
+                yield pd.DataFrame(out, columns=["shard", "block", "part", "kind", "n", "cid", "fp"])
 
-    return reps.select("tbl", "han", "n", "cid", "fp").mapInPandas(part, "shard int, block int, kind int, tbl string, n int, cid long, fp binary")
+    return reps.select("tbl", "script", "n", "cid", "fp").mapInPandas(part, "shard int, block int, part int, kind byte, n int, cid long, fp binary"), tables
 
 
 def folded(fps: np.ndarray, words: int) -> np.ndarray:
@@ -188,39 +201,44 @@ def within(h: np.ndarray, folds: dict[int, np.ndarray], lo: int, hi: int, q: np.
     return some + lo
 
 
-def _search(batches):
-    """Rows sorted by shard, block, kind: the homes of a block are held, the queries stream past them."""
-    at, homes, h_n, h_fp, h_id, h_most, folds = None, [], None, None, None, None, {}
-    for b in batches:
-        out = []
-        keys = list(zip(b["shard"].tolist(), b["block"].tolist(), strict=True))
-        for key, kind, tbl, n, cid, raw in zip(keys, b["kind"].tolist(), b["tbl"], b["n"].tolist(), b["cid"], b["fp"], strict=True):
-            if key != at:
-                at, homes, h_fp, folds = key, [], None, {}
-            if kind == 0:
-                homes.append((n, cid, raw))
-                continue
-            if h_fp is None:
-                homes.sort(key=lambda x: x[:2])
-                h_n = np.array([x[0] for x in homes], dtype=np.int64)
-                h_most = np.floor((2 * SHARE - 1) * h_n - 1e-9).astype(np.int64)
-                h_id = [x[1] for x in homes]
-                h_fp = np.ascontiguousarray(np.frombuffer(b"".join(x[2] for x in homes), dtype=np.uint64).reshape(-1, WORDS).T)
-            # Each pair is searched once, from the shorter text (then the smaller id).
-            lo, hi = int(np.searchsorted(h_n, n)), int(np.searchsorted(h_n, int(n / SHARE + 1e-9), side="right"))
-            if lo >= hi:
-                continue
-            for k in within(h_fp, folds, lo, hi, np.frombuffer(raw, dtype=np.uint64), n, h_most).tolist():
-                other = h_id[k]
-                if h_n[k] > n or other > cid:
-                    out.append((tbl, cid, other))
-        if out:
-            yield pd.DataFrame(out, columns=["tbl", "cid_a", "cid_b"])
+def _searching(tables: list[str]):
+    def search(batches):
+        """Rows sorted by shard, block, part, kind: the homes of a block are held, the queries stream past them."""
+        at, homes, h_n, h_fp, h_id, h_most, folds = None, [], None, None, None, None, {}
+        for b in batches:
+            out = []
+            keys = list(zip(b["shard"].tolist(), b["block"].tolist(), b["part"].tolist(), strict=True))
+            for key, kind, n, cid, raw in zip(keys, b["kind"].tolist(), b["n"].tolist(), b["cid"], b["fp"], strict=True):
+                if key != at:
+                    at, homes, h_fp, folds = key, [], None, {}
+                if kind == 0:
+                    homes.append((n, cid, raw))
+                    continue
+                if h_fp is None:
+                    homes.sort(key=lambda x: x[:2])
+                    h_n = np.array([x[0] for x in homes], dtype=np.int64)
+                    h_most = np.floor((2 * SHARE - 1) * h_n - 1e-9).astype(np.int64)
+                    h_id = [x[1] for x in homes]
+                    h_fp = np.ascontiguousarray(np.frombuffer(b"".join(x[2] for x in homes), dtype=np.uint64).reshape(-1, WORDS).T)
+                # Each pair is searched once, from the shorter text (then the smaller id).
+                lo, hi = int(np.searchsorted(h_n, n)), int(np.searchsorted(h_n, int(n / SHARE + 1e-9), side="right"))
+                if lo >= hi:
+                    continue
+                for k in within(h_fp, folds, lo, hi, np.frombuffer(raw, dtype=np.uint64), n, h_most).tolist():
+                    other = h_id[k]
+                    if h_n[k] > n or other > cid:
+                        out.append((tables[key[0]], cid, other))
+            if out:
+                yield pd.DataFrame(out, columns=["tbl", "cid_a", "cid_b"])
+
+    return search
 
 
 def searched(reps: DataFrame) -> DataFrame:
-    """reps: tbl, han, n, cid, fp. Pairs (tbl, cid_a, cid_b) whose fingerprints are as close as those of near texts."""
-    return shards(reps).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind").mapInPandas(_search, "tbl string, cid_a long, cid_b long")
+    """reps: tbl, script, n, cid, fp. Pairs (tbl, cid_a, cid_b) whose fingerprints are as close as those of near texts."""
+    rows, tables = shards(reps)
+    key = ("shard", "block", "part")
+    return rows.repartition(*key).sortWithinPartitions(*key, "kind").mapInPandas(_searching(tables), "tbl string, cid_a long, cid_b long")
 
 
 def bitmap(pairs: DataFrame) -> np.ndarray:
@@ -243,7 +261,7 @@ def near_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stage(bagged(df, model), "bags")
     heads = rows.groupBy("tbl", "cid").agg(F.min("ord").alias("head"))
     members = rows.select("tbl", "ord", "cid").join(heads, ["tbl", "cid"]).select("tbl", "ord", F.col("head").alias("cid"))
-    reps = stage(rows.join(heads.select("tbl", "cid", F.col("head").alias("ord")), ["tbl", "cid", "ord"], "left_semi").select("tbl", F.col("ord").alias("cid"), "n", "han", "fp"), "classes")
+    reps = stage(rows.join(heads.select("tbl", "cid", F.col("head").alias("ord")), ["tbl", "cid", "ord"], "left_semi").select("tbl", F.col("ord").alias("cid"), "n", "script", "fp"), "classes")
     pairs = stage(searched(reps), "candidates")
     bags = bagged(df, model, bitmap(pairs)).withColumnRenamed("ord", "cid")
     return stage(members, "members"), stage(verified(pairs, bags), "links")
@@ -261,9 +279,15 @@ def found(raw: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def groups(raw: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per row that has a class: tbl, ord, class_ord (smallest ord of its equal texts), n_copies, n_links (classes near to its own)."""
+    """One row per row that has a class: tbl, ord, class_ord (smallest ord of its equal texts), n_copies, n_links (classes near to its
+    own), group_ord (smallest ord of all rows that links between classes connect with it)."""
     df = texts(raw, nodes)
     members, links = near_classes(df)
     degree = links.select("tbl", F.explode(F.array("cid_a", "cid_b")).alias("cid")).groupBy("tbl", "cid").agg(F.count(F.lit(1)).alias("n_links"))
-    heads = members.groupBy("tbl", "cid").agg(F.min("ord").alias("class_ord"), F.count(F.lit(1)).alias("n_copies"))
-    return members.join(heads.join(degree, ["tbl", "cid"], "left"), ["tbl", "cid"]).select("tbl", "ord", "class_ord", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    sizes = members.groupBy("tbl", "cid").agg(F.count(F.lit(1)).alias("n_copies"))
+    # A class is named by its smallest ord; one number tells class and table.
+    node = lambda c: (F.col(c) * 2 + (F.col("tbl") == "knowledge_nodes").cast("long"))
+    linked = components(links.select(node("cid_a").alias("ord_a"), node("cid_b").alias("ord_b")))
+    root = linked.select(F.when(F.pmod("ord", F.lit(2)) == 1, "knowledge_nodes").otherwise("raw_records").alias("tbl"), F.floor(F.col("ord") / 2).alias("cid"), F.floor(F.col("root") / 2).alias("group_ord"))
+    heads = sizes.join(degree, ["tbl", "cid"], "left").join(root, ["tbl", "cid"], "left")
+    return members.join(heads, ["tbl", "cid"]).select("tbl", "ord", F.col("cid").alias("class_ord"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_ord", "cid").alias("group_ord"))

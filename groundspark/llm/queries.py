@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import table as whole
+from ..session import texts as table
 from . import encode, lookalikes, near_dups, packing, pii, qa_defects, reading, sampling, split_overlap, token_budget
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +62,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_totals(spark: SparkSession, d: str) -> DataFrame:
-    return token_budget.totals(table(spark, d, "raw_records"), table(spark, d, "knowledge_nodes"), table(spark, d, "sources"))
+    return token_budget.totals(table(spark, d, "raw_records"), table(spark, d, "knowledge_nodes"), whole(spark, d, "sources"))
 
 
 @query
@@ -71,17 +72,17 @@ def p3_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.unmet(table(spark, d, "sample_targets"), table(spark, d, "rois"), table(spark, d, "ct_samples"))
+    return sampling.unmet(whole(spark, d, "sample_targets"), whole(spark, d, "rois"), table(spark, d, "ct_samples"))
 
 
 @query
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.allocated(table(spark, d, "sample_targets"), sampling.regions(table(spark, d, "rois"), table(spark, d, "ct_samples")))
+    return sampling.allocated(whole(spark, d, "sample_targets"), sampling.regions(whole(spark, d, "rois"), table(spark, d, "ct_samples")))
 
 
 @query
 def p6_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.sampled(table(spark, d, "sample_targets"), table(spark, d, "rois"), table(spark, d, "ct_samples"))
+    return sampling.sampled(whole(spark, d, "sample_targets"), whole(spark, d, "rois"), table(spark, d, "ct_samples"))
 
 
 @query
@@ -101,17 +102,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+    return packing.packed(table(spark, d, "documents"), whole(spark, d, "pack_capacities"))
 
 
 @query
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill(packing.packed(table(spark, d, "documents"), table(spark, d, "pack_capacities")), table(spark, d, "pack_capacities"))
+    return packing.fill(packing.packed(table(spark, d, "documents"), whole(spark, d, "pack_capacities")), whole(spark, d, "pack_capacities"))
 
 
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return reading.graded(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+    return reading.graded(table(spark, d, "documents"), whole(spark, d, "reading_labels"))
 
 
 SQL["p6_found"] = r"""

@@ -66,7 +66,7 @@ def prepared(ct: DataFrame) -> DataFrame:
                 for k, (end, size) in enumerate(zip(ends.tolist(), n.tolist(), strict=True)):
                     if keep[k]:
                         own, bag = h[end - size : end], e[end - size : end]
-                        rows.append((bag_id(bag), size, bag.tobytes(), [[{"d": d, "w": w} for d, w in chunks(own, han[k], s)] for s in SALTS]))
+                        rows.append((bag_id(bag), size, bag.tobytes(), [[{"d": d, "w": w} for d, w in chunks(own, 2 * han[k] > size, s)] for s in SALTS]))
                     else:
                         rows.append((None, None, None, None))
                 forms = pd.DataFrame({"ord": some["ord"], "split": some["split"], "source": some["source"], "case_form": [model(c) for c in some["case_id"]]})
@@ -83,9 +83,9 @@ def _close(classes: DataFrame) -> DataFrame:
         for b in batches:
             n = b["n"].to_numpy(np.int64)
             fp = fingerprints(np.frombuffer(b"".join(b["els"]), dtype=np.uint32), n)
-            yield pd.DataFrame({"tbl": "ct", "han": False, "n": n, "cid": b["c"], "fp": [x.tobytes() for x in fp]})
+            yield pd.DataFrame({"tbl": "ct", "script": np.int8(0), "n": n, "cid": b["c"], "fp": [x.tobytes() for x in fp]})
 
-    reps = stage(classes.select("c", "n", "els").mapInPandas(part, "tbl string, han boolean, n int, cid long, fp binary"), "hot")
+    reps = stage(classes.select("c", "n", "els").mapInPandas(part, "tbl string, script byte, n int, cid long, fp binary"), "hot")
     return stage(searched(reps), "close").select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 

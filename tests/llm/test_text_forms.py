@@ -82,3 +82,17 @@ def test_near_pairs_are_those_of_brute_force(spark, monkeypatch):
     got = [(r.ord_a, r.ord_b) for r in near_dups.expanded(members, links).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
     assert near_dups.expanded(*near_dups.near_classes(df.filter("false"))).count() == 0
+
+
+def test_near_texts_of_mixed_scripts_and_groups(spark):
+    latin, han = [f"w{i}" for i in range(60)], [chr(0x4E00 + i) for i in range(60)]
+    a = " ".join(latin + han[:56])
+    b = " ".join(latin[:54] + han)  # a little more than half Chinese
+    c = " ".join(latin[:50] + han + ["new", "words"])
+    other = " ".join(f"z{i}" for i in range(80))
+    df = rows(spark, [a, b, c, other, other], "raw_records")
+    members, links = near_dups.near_classes(df)
+    assert {(r.ord_a, r.ord_b) for r in near_dups.expanded(members, links).collect()} == {(0, 1), (0, 2), (1, 2), (3, 4)}
+    raw, nodes = df.drop("tbl"), df.drop("tbl").filter("ord > 2")
+    got = {(r.tbl, r.ord): (r.class_ord, r.n_copies, r.n_links, r.group_ord) for r in near_dups.groups(raw, nodes).collect()}
+    assert got == {("raw_records", 0): (0, 1, 2, 0), ("raw_records", 1): (1, 1, 2, 0), ("raw_records", 2): (2, 1, 2, 0), ("raw_records", 3): (3, 2, 0, 3), ("raw_records", 4): (3, 2, 0, 3), ("knowledge_nodes", 3): (3, 2, 0, 3), ("knowledge_nodes", 4): (3, 2, 0, 3)}
