@@ -1,7 +1,7 @@
 """Problem 2: records of the held-out splits that recur in the training split, by content-defined chunks.
 
 The words of a normalised report are cut where a rolling hash over two words hits a fixed residue, so an edit moves only the
-cuts beside it. Chunk digests are joined across the splits; the shared lengths are summed to overlap fractions, and pairs above
+cuts beside it; a third cutting takes the words in the order of their hashes, so it does not see in which order they stand. Chunk digests are joined across the splits; the shared lengths are summed to overlap fractions, and pairs above
 a low fraction take the exact test for near texts. A digest that too many records share (a stock phrase) is not joined: all near pairs of records
 that hold such a digest are searched by the fingerprints of problem 5 instead, whose radius is a true bound.
 """
@@ -21,19 +21,22 @@ from .near_dups import searched
 
 #: Mean and least words of a chunk (twice as many for Chinese, whose words are single characters), pairs that one digest may
 #: give before its records are searched by fingerprints, and the fraction of shared words from which a pair takes the exact test.
-MEAN, LEAST, HOT, FRACTION = 8, 3, 1000, 0.08
-#: Two independent cuttings of each record: a pair whose edits fall into most chunks of the one keeps chunks of the other.
+MEAN, LEAST, HOT, FRACTION = 8, 3, 1000, 0.04
+#: The same for the cutting of words in the order of their hashes, in which every edit falls somewhere else.
+SORTED_MEAN, SORTED_LEAST = 4, 2
+#: Two independent cuttings of each record in reading order: a pair whose edits fall into most chunks of the one keeps chunks of the other.
 SALTS = (0, 0x5851F42D4C957F2D)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def chunks(h: np.ndarray, han: bool, salt: int = 0) -> list[tuple[int, int]]:
-    """(digest, words) of the content-defined chunks of a sequence of hashed words."""
-    rolled = ((h ^ np.uint64(salt)) * _A + np.r_[np.uint64(0), h[:-1]] * _B) * np.uint64(0xD6E8FEB86659FD93)
-    ends = (np.nonzero((rolled >> np.uint64(40)) % np.uint64(MEAN * (2 if han else 1)) == 0)[0] + 1).tolist()
+def chunks(h: np.ndarray, mean: int, least: int, salt: int | None = 0) -> list[tuple[int, int]]:
+    """(digest, words) of the content-defined chunks of a sequence of hashed words. Without a salt a word alone decides on the cut."""
+    before = np.r_[np.uint64(0), h[:-1]] if salt is not None else np.uint64(0)
+    rolled = ((h ^ np.uint64(salt or 0)) * _A + before * _B) * np.uint64(0xD6E8FEB86659FD93)
+    ends = (np.nonzero((rolled >> np.uint64(40)) % np.uint64(mean) == 0)[0] + 1).tolist()
     out, start = [], 0
     for end in [*ends, len(h)]:
-        if end - start >= LEAST or (end == len(h) and end > start):
+        if end - start >= least or (end == len(h) and end > start):
             out.append((xxhash.xxh64_intdigest(h[start:end].tobytes()) - (1 << 63), end - start))
             start = end
     return out
@@ -66,7 +69,9 @@ def prepared(ct: DataFrame) -> DataFrame:
                 for k, (end, size) in enumerate(zip(ends.tolist(), n.tolist(), strict=True)):
                     if keep[k]:
                         own, bag = h[end - size : end], e[end - size : end]
-                        rows.append((bag_id(bag), size, bag.tobytes(), [[{"d": d, "w": w} for d, w in chunks(own, 2 * han[k] > size, s)] for s in SALTS]))
+                        mean = MEAN * (2 if 2 * han[k] > size else 1)
+                        cuts = [chunks(own, mean, LEAST, s) for s in SALTS] + [chunks(bag.astype(np.uint64), SORTED_MEAN, SORTED_LEAST, None)]
+                        rows.append((bag_id(bag), size, bag.tobytes(), [[{"d": d, "w": w} for d, w in c] for c in cuts]))
                     else:
                         rows.append((None, None, None, None))
                 forms = pd.DataFrame({"ord": some["ord"], "split": some["split"], "source": some["source"], "case_form": [model(c) for c in some["case_id"]]})
