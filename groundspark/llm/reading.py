@@ -1,8 +1,9 @@
 """Problem 10: the reading level of each document of English or Chinese prose, on the scale of graded examples.
 
-For each language and level an interpolated bigram model is trained on the graded documents. The surprisals of every sentence
-of a document under the four models give a distribution over levels; its mean over the whole document is the difficulty, which
-isotonic regression (fitted on documents that the scoring models had not seen) maps to the graded levels.
+For each language and level an interpolated bigram model is trained on the graded documents. The surprisals of all sentences of
+a document under the four models are its distribution: their quantiles, under each model against the mean of all, and the mean
+of the levels that the sentences speak for. A ridge regression of these is the difficulty, which isotonic regression (fitted on
+documents that neither models nor regression had seen) maps to the graded levels.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .lang import FUNCTION_WORDS
 
 #: Graded documents to train on (a bound, whatever the corpus), levels, hash sizes, and the weight of bigrams against single words.
 GRADED, LEVELS, UNI, BI, LAMBDA = 3000, 4, 1 << 15, 1 << 18, 0.7
+#: Quantiles of a document's sentences, and the weight that holds their influence down.
+QUANTILES, RIDGE = (0.1, 0.3, 0.5, 0.7, 0.9), 3.0
 #: Characters of prose that a document must have, tokens after which a sentence is cut where marks are missing.
 LEAST, LONG = 60, 40
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?;\n]|\d+")
@@ -102,10 +105,10 @@ class Levels:
             p, h = pairs(ids), np.r_[0, ids[:-1]]
             self.pair[p] = np.log(LAMBDA * bi[p] / np.maximum(ctx[h], 1e-9) + (1 - LAMBDA) * single[ids])
 
-    def difficulty(self, ids: np.ndarray, sentence: np.ndarray) -> float:
-        """The mean level of the sentences, weighed by their tokens."""
+    def distribution(self, ids: np.ndarray, sentence: np.ndarray) -> np.ndarray | None:
+        """The distribution of surprisals over the whole document, as FEATURES numbers; None without a word."""
         if not len(ids):
-            return float("nan")
+            return None
         p = pairs(ids)
         s = np.where(self.seen[p][:, None], self.pair[p], self.single[ids])
         s[ids < 2] = 0
@@ -114,7 +117,17 @@ class Levels:
         n = np.diff(np.r_[starts, len(ids)])
         e = np.exp(total - total.max(axis=1, keepdims=True))
         mean = (e / e.sum(axis=1, keepdims=True)) @ np.arange(1, LEVELS + 1)
-        return float((mean * n).sum() / n.sum())
+        each = -total / n[:, None]
+        each -= each.mean(axis=1, keepdims=True)
+        each.sort(axis=0)
+        at = np.minimum((np.array(QUANTILES) * len(each)).astype(int), len(each) - 1)
+        return np.r_[1.0, (mean * n).sum() / n.sum(), each[at].ravel()]
+
+
+def ridge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the features; what is known of the mean level is kept before the rest is learned."""
+    scale = np.r_[0.0, 0.0, np.full(x.shape[1] - 2, RIDGE)]
+    return np.linalg.solve(x.T @ x + np.diag(scale + 1e-6), x.T @ y)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +147,7 @@ class Grader:
 
     def __init__(self, graded: list[tuple[str, float]], canon: dict[str, int]):
         self.canon, self.model, self.reader = canon, Canonical(canon), Reader()
-        self.levels, self.curve = {}, {}
+        self.levels, self.curve, self.weights = {}, {}, {}
         by: dict[str, list] = {k: [] for k in _LANG}
         for text, level in graded:
             form = self.model(text)
@@ -143,20 +156,28 @@ class Grader:
         for lang, docs in by.items():
             if not docs:
                 continue
-            x, y = [], []
+            x, y, of = [], [], []
             folds = min(5, len(docs))
             for f in range(folds if folds > 1 else 0):
                 m = Levels([(i, v) for k, (i, _, v) in enumerate(docs) if k % folds != f])
                 for k, (i, s, v) in enumerate(docs):
-                    if k % folds == f:
-                        x.append(m.difficulty(i, s))
+                    if k % folds == f and (d := m.distribution(i, s)) is not None:
+                        x.append(d)
                         y.append(v)
-            self.curve[lang] = isotonic(np.array(x), np.array(y)) if x else (np.arange(1.0, LEVELS + 1), np.arange(1.0, LEVELS + 1))
+                        of.append(f)
+            if x:
+                x, y, of = np.array(x), np.array(y), np.array(of)
+                # The regression, too, is judged on documents that it has not seen.
+                d = np.concatenate([x[of == f] @ ridge(x[of != f], y[of != f]) for f in range(folds)])
+                self.curve[lang] = isotonic(d, np.concatenate([y[of == f] for f in range(folds)]))
+                self.weights[lang] = ridge(x, y)
+            else:
+                self.curve[lang], self.weights[lang] = (np.arange(1.0, LEVELS + 1), np.arange(1.0, LEVELS + 1)), np.r_[0.0, 1.0, np.zeros(LEVELS * len(QUANTILES))]
             self.levels[lang] = Levels([(i, v) for i, _, v in docs])
         self.known = {}
 
     def __getstate__(self):
-        return {"canon": self.canon, "levels": self.levels, "curve": self.curve}
+        return {"canon": self.canon, "levels": self.levels, "curve": self.curve, "weights": self.weights}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -170,11 +191,11 @@ class Grader:
         if got is None or got[0] not in self.levels:
             return None
         lang, *tokens = got
-        d = self.levels[lang].difficulty(*tokens)
-        if np.isnan(d):
+        d = self.levels[lang].distribution(*tokens)
+        if d is None:
             return None
         ends, values = self.curve[lang]
-        at = min(int(np.searchsorted(ends, d)), len(ends) - 1)
+        at = min(int(np.searchsorted(ends, float(d @ self.weights[lang]))), len(ends) - 1)
         return int(np.clip(np.floor(values[at] + 0.5), 1, LEVELS))
 
 
