@@ -47,6 +47,21 @@ def dictionary_backend(pattern: str, label: str = "drug", cui: Column | None = N
     return extract
 
 
+def by_language(en: Callable[[Column], Column], zh: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A backend that gives Chinese texts to one backend and all others to another."""
+    return lambda text: F.when(detect_language(text) == "zh", zh(text)).otherwise(en(text))
+
+
+def extractor(backend: Callable[[Column], Column], typed: bool = True) -> Callable[[Column], Column]:
+    """A backend as what metrics of reports take: (label, norm) of each entity, or the norm alone."""
+
+    def items(text: Column) -> Column:
+        ents = F.coalesce(backend(text), F.array().cast(f"array<{ENTITY}>"))
+        return F.transform(ents, lambda e: F.struct(e["label"].alias("label"), entity_norm(e["text"]).alias("norm"))) if typed else norms(ents)
+
+    return items
+
+
 def annotated(nodes: DataFrame, backend: Callable[[Column], Column], column: str = "text") -> DataFrame:
     """Adds ents: array of entities. The backend runs once; null texts have none."""
     return nodes.withColumn("ents", F.coalesce(backend(F.col(column)), F.array().cast(f"array<{ENTITY}>")))

@@ -90,6 +90,46 @@ def multiset_prf(pred: DataFrame, gold: DataFrame) -> DataFrame:
     return s.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
+def extracted_prf(pairs: DataFrame, extract: Callable[[Column], Column]) -> DataFrame:
+    """multiset_prf of what ``extract`` finds in predicted and reference texts: entities, or relations as structs of subject,
+    relation and object. pairs: pair_id, pred, ref; extract gives an array a text, of which null texts have none."""
+    items = lambda c: pairs.select("pair_id", F.explode(extract(F.coalesce(F.col(c), F.lit("")))).alias("item")).withColumn("item", F.to_json(F.struct("item")))
+    return multiset_prf(items("pred"), items("ref"))
+
+
+def report_metrics(pairs: DataFrame, entities: Callable[[Column], Column], relations: Callable[[Column], Column] | None = None) -> DataFrame:
+    """metric, value: entity_precision, entity_recall, entity_f1 and, with an extractor of relations, the same of these."""
+    out = None
+    for name, extract in (("entity", entities), ("relation", relations)):
+        if extract is not None:
+            r = extracted_prf(pairs, extract)
+            each = r.select(F.explode(F.create_map(*[x for c in ("precision", "recall", "f1") for x in (F.lit(f"{name}_{c}"), F.col(c).cast("double"))])).alias("metric", "value"))
+            out = each if out is None else out.unionByName(each)
+    return out
+
+
+def e2e_metrics(reports: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+    """metric, value: traceability over all findings of reports (query_id, findings, abstain) and, with gold (query_id, abstain), how
+    well they abstain."""
+    f = reports.select(F.explode("findings").alias("f")).select(
+        ((F.size("f.sources") > 0) | F.col("f.roi").isNotNull()).alias("grounded"), F.col("f.uncertain").alias("uncertain"), F.size("f.sources").alias("n_evidence")
+    )
+    rows = lambda df, names: df.select(F.explode(F.create_map(*[x for c in names for x in (F.lit(names[c]), F.col(c).cast("double"))])).alias("metric", "value"))
+    out = rows(traceability(f), {c: c for c in ("traceability", "traceability_certain", "avg_evidence", "n_findings")})
+    if gold is not None:
+        both = reports.select("query_id", F.col("abstain").alias("pred")).join(gold.select("query_id", F.col("abstain").alias("gold")), "query_id")
+        out = out.unionByName(rows(abstention(both), {c: f"abstain_{c}" for c in ("precision", "recall", "f1", "accuracy")}))
+    return out
+
+
+def judged(samples: DataFrame, judges: dict[str, Callable[..., Column]]) -> DataFrame:
+    """metric, value: the mean of each judge over samples (question, answer, contexts, reference). A judge is an injected function of
+    these four columns that gives a number; no model is called from here."""
+    cols = [F.col(c) for c in ("question", "answer", "contexts", "reference")]
+    means = samples.agg(*[F.avg(j(*cols).cast("double")).alias(k) for k, j in judges.items()])
+    return means.select(F.explode(F.create_map(*[x for k in judges for x in (F.lit(k), F.col(k))])).alias("metric", "value"))
+
+
 def envelope(df: DataFrame, tool: str, status: Column, payload: Column, message: Column | None = None, version: str = "0.1.0") -> DataFrame:
     """tool, status (ok, abstained, error), payload as JSON, schema_version, message."""
     return df.select(F.lit(tool).alias("tool"), status.alias("status"), F.to_json(payload).alias("payload"), F.lit(version).alias("schema_version"), (message if message is not None else F.lit(None).cast("string")).alias("message"))

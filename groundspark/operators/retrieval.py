@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.math import sigmoid
 from ..functions.text import tokenize
 from ..session import stage
+from .vision import crop
 
 #: Queries and rows that one task compares at once.
 QUERY_BLOCK, ROW_BLOCK = 2000, 20000
@@ -295,3 +296,47 @@ def embed(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray],
         return pd.Series([None if t is None or t != t else next(rows) for t in s], index=s.index, dtype=object)
 
     return df.withColumn(out, vectors(F.col(text)))
+
+
+def embed_images(df: DataFrame, encoder: Callable[[list[np.ndarray]], np.ndarray], out: str = "embedding") -> DataFrame:
+    """An injected encoder (list of pixel arrays to an array of rows) over images (pixels, height, width), or over the region x1..y2
+    of each where that is given; vectors have length 1, empty regions and null images null vectors."""
+
+    def part(batches):
+        for b in batches:
+            some, at = [], []
+            for k, r in enumerate(b.itertuples(index=False)):
+                if r.pixels is not None:
+                    image = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3)
+                    image = image if r.x1 is None or r.x1 != r.x1 else crop(image, r.x1, r.y1, r.x2, r.y2)
+                    if image.size:
+                        some.append(image)
+                        at.append(k)
+            vectors: list = [None] * len(b)
+            if some:
+                m = np.asarray(encoder(some), dtype=np.float64)
+                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                for k, v in zip(at, m.tolist(), strict=True):
+                    vectors[k] = v
+            yield b[["id", "case_id", "area_band"]].assign(**{out: vectors})
+
+    return df.select("id", "case_id", "area_band", "pixels", "height", "width", "x1", "y1", "x2", "y2").mapInPandas(part, f"id string, case_id string, area_band string, {out} array<double>")
+
+
+def recall_of(near: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact neighbours (query_id, id) that an approximate search found."""
+    n = exact.select("query_id", "id").distinct()
+    total = n.count()
+    return n.join(near.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi").count() / total if total else 1.0
+
+
+def probes_for(queries: DataFrame, cells: DataFrame, centres: np.ndarray, k: int = 5, least: float = 0.95, most: int = 200) -> int:
+    """The smallest number of cells to visit at which a bounded sample of the queries finds at least this share of its exact
+    neighbours: a measured choice, not a guess. least is above the recall that is wanted, as the sample is small."""
+    some = stage(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(most), "asked")
+    exact = stage(knn(some, cells, k), "exact")
+    n, step = len(centres), max(1, len(centres) // 8)
+    for probes in range(step, n, step):
+        if recall_of(ann(some, cells, centres, k, probes), exact) >= least:
+            return probes
+    return n

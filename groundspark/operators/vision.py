@@ -99,6 +99,54 @@ def heatmap_boxes(m: np.ndarray, threshold: float = 0.3, min_area_fraction: floa
     return sorted((o for o in out if o["area_fraction"] >= min_area_fraction), key=lambda o: -o["confidence"])
 
 
+@dataclass(frozen=True)
+class InpaintConfig:
+    dilate: int = 5
+    decoys: int = 1
+    line: int = 2
+    tries: int = 20
+    margin: int = 2
+
+
+def inpaint_mask(rgb: np.ndarray, boxes: list[dict], rng: np.random.Generator, config: InpaintConfig | None = None, green: GreenBoxConfig | None = None) -> np.ndarray:
+    """Where an image is to be filled: its coloured outlines and, for each box, outlines of the same size at random places that
+    meet no box; all spread by the kernel. Boxes as large as the image have no decoy."""
+    k, (h, w) = config or InpaintConfig(), rgb.shape[:2]
+    mask = green_mask(rgb, green)
+    for b in boxes:
+        bw, bh = int(b["x2"] - b["x1"]), int(b["y2"] - b["y1"])
+        if not (0 < bw < w and 0 < bh < h):
+            continue
+        for _ in range(k.decoys):
+            for x, y in zip(rng.integers(0, w - bw, k.tries), rng.integers(0, h - bh, k.tries), strict=True):
+                if all(x + bw + k.margin < o["x1"] or x - k.margin > o["x2"] or y + bh + k.margin < o["y1"] or y - k.margin > o["y2"] for o in boxes):
+                    frame = np.zeros_like(mask)
+                    frame[y : y + bh + 1, x : x + bw + 1] = True
+                    frame[y + k.line : y + bh + 1 - k.line, x + k.line : x + bw + 1 - k.line] = False
+                    mask |= frame
+                    break
+    return _spread(mask, k.dilate, True) if k.dilate > 1 else mask
+
+
+def filled(rgb: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The image with masked pixels filled from the rim inwards by the mean of their known neighbours."""
+    out, known = rgb.astype(np.float64), ~mask
+    while not known.all() and known.any():
+        p, q = np.pad(out * known[..., None], ((1, 1), (1, 1), (0, 0))), np.pad(known, 1).astype(np.float64)
+        total = sum(p[i : i + out.shape[0], j : j + out.shape[1]] for i in range(3) for j in range(3))
+        n = sum(q[i : i + out.shape[0], j : j + out.shape[1]] for i in range(3) for j in range(3))
+        rim = ~known & (n > 0)
+        out[rim] = total[rim] / n[rim][:, None]
+        known |= rim
+    return np.round(out).astype(np.uint8)
+
+
+def inpainted(rgb: np.ndarray, rng: np.random.Generator, boxes: list[dict] | None = None, config: InpaintConfig | None = None) -> np.ndarray:
+    """The image without its outlines; as it is where it has none."""
+    found = green_boxes(rgb) if boxes is None else boxes
+    return filled(rgb, inpaint_mask(rgb, found, rng, config)) if found else rgb.copy()
+
+
 def crop(rgb: np.ndarray, x1: float, y1: float, x2: float, y2: float) -> np.ndarray:
     h, w = rgb.shape[:2]
     return rgb[max(0, int(y1)) : min(h, int(y2)), max(0, int(x1)) : min(w, int(x2))]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.privacy import deidentify
-from ..functions.text import normalize_text
+from ..functions.text import NormalizeConfig, normalize_text
 from ..operators import conflict, dedup, entities
 from ..session import stage
 
@@ -24,6 +24,7 @@ class IngestConfig:
     structured_key_fields: tuple[str, ...] = ()
     ner_filter: bool = True
     qa_conflict: bool = False
+    text: NormalizeConfig | None = None
     quality: entities.QualityConfig = field(default_factory=entities.QualityConfig)
 
 
@@ -38,7 +39,7 @@ class IngestResult:
 def clean(df: DataFrame, column: str, config: IngestConfig) -> DataFrame:
     """Normalizes, then de-identifies; adds phi, the number of details found."""
     c = F.coalesce(F.col(column), F.lit(""))
-    c = normalize_text(c) if config.normalize else c
+    c = normalize_text(c, config.text) if config.normalize else c
     if not config.deidentify:
         return df.withColumn(column, c).withColumn("phi", F.lit(0).cast("long"))
     return df.withColumn("_d", deidentify(c)).withColumn(column, F.col("_d.text")).withColumn("phi", F.size("_d.found").cast("long")).drop("_d")
@@ -51,9 +52,9 @@ def _chain(nodes: DataFrame, config: IngestConfig, backend: Callable[[Column], C
     if config.structured_key_fields:
         out = dedup.structured_dedup(out, list(config.structured_key_fields))
     if config.exact_dedup:
-        out = dedup.exact_dedup(out)
+        out = dedup.exact_dedup(out, config.text)
     if config.near_dedup:
-        out = dedup.near_dedup(stage(out, "exact"), config.near_threshold)
+        out = dedup.near_dedup(stage(out, "exact"), config.near_threshold, config=config.text)
     survivors = stage(out, "survivors")
     dropped = spark.createDataFrame([], "ord long, node_id string")
     lost = spark.createDataFrame([], "entity string")
@@ -80,7 +81,7 @@ def ingest_qa(items: DataFrame, config: IngestConfig | None = None, backend: Cal
     k = config or IngestConfig()
     q = clean(items, "question", k).withColumnRenamed("phi", "phi_q")
     q = stage(clean(q, "answer", k).withColumn("phi", F.col("phi") + F.col("phi_q")).drop("phi_q"), "qa")
-    r = conflict.resolved(q, judge, merge, enabled=k.qa_conflict)
+    r = conflict.resolved(q, judge, merge, enabled=k.qa_conflict, config=k.text)
     nodes = r.select(
         "ord", F.sha1(F.concat_ws("␟", "question", "answer", F.col("ord").cast("string"))).alias("node_id"), F.concat("question", F.lit("\n"), "answer").alias("text"), F.lit(collection).alias("collection"), F.lit(None).cast("string").alias("lang"),
         "source_ids", F.array().cast("array<string>").alias("entities"), F.lit(None).cast("double").alias("quality_score"), "flags", F.create_map(F.lit("question"), F.col("question")).alias("metadata"),

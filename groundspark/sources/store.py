@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import ChunkConfig, chunk_qa
-from ..operators.retrieval import embed
+from ..operators.retrieval import embed, embed_images
 from ..schemas import VECTOR, validate_collection
 
 
@@ -77,6 +77,26 @@ def ct_vectors(cases: DataFrame, text_encoder=None) -> DataFrame:
     return text.unionByName(whole).unionByName(roi)
 
 
+def index_ct(store: VectorStore, cases: DataFrame, text_encoder, image_encoder) -> DataFrame:
+    """Embeds and stores the text, the whole image and each region of every case that is not held out; returns the rows of ct_vectors().
+
+    cases: case_id, report_text, rois (with x1..y2, area_band), in_eval_set, pixels (8-bit RGB), height, width. image_encoder takes a
+    list of arrays; cases without pixels have no image vectors.
+    """
+    rows = ct_vectors(cases)
+    meta = F.map_filter(F.create_map(F.lit("case_id"), F.col("case_id"), F.lit("area_band"), F.col("area_band")), lambda k, v: v.isNotNull())
+    store.add("c_text", embed(rows.filter("kind = 'text'"), "text", text_encoder, "embedding").select("id", "embedding", meta.alias("metadata"), F.col("text").alias("document")))
+    c = cases.filter(~F.coalesce("in_eval_set", F.lit(False)) & F.col("pixels").isNotNull())
+    none = F.lit(None)
+    whole = c.select(F.concat("case_id", F.lit(":whole")).alias("id"), "case_id", none.cast("string").alias("area_band"), "pixels", "height", "width", *[none.cast("double").alias(x) for x in ("x1", "y1", "x2", "y2")])
+    parts = c.select("case_id", "pixels", "height", "width", F.posexplode("rois").alias("i", "r")).select(
+        F.concat("case_id", F.lit(":roi"), F.col("i").cast("string")).alias("id"), "case_id", F.col("r.area_band").alias("area_band"), "pixels", "height", "width", *[F.col(f"r.{x}").cast("double").alias(x) for x in ("x1", "y1", "x2", "y2")]
+    )
+    for name, df in (("c_img_whole", whole), ("c_img_roi", parts)):
+        store.add(name, embed_images(df, image_encoder).select("id", "embedding", meta.alias("metadata")))
+    return rows
+
+
 def save_nodes(nodes: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").json(path)
 
