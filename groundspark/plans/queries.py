@@ -18,6 +18,7 @@ from ..operators import chunking, conflict, coreset, dedup, detection, entities,
 from ..session import numbered, stage, table, texts
 from ..sources import readers, store
 from ..streaming import ingest as stream
+from . import serve
 from .ingest import IngestConfig, ingest_documents, ingest_qa
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +222,15 @@ def ingest_qa_stats(spark, d):
     return ingest_qa(texts(spark, d, "qa_items").select("ord", "question", "answer", "source_id"), conf, entities.dictionary_backend(ENTITY), judge=lambda q, a: F.lit("conflicting")).stats
 
 
+@query(
+    f"""with d as (select doc_id, {NORM} as t from documents), k as (select t, min(doc_id) as ord from d group by t), e as (select ord, len(regexp_extract_all(t, '{ENTITY}')) as n from k)
+    select (select count(*) from documents) as n_in, count(*) as n_after_dedup, count(*) filter (n < 1) as n_dropped_quality, count(*) filter (n >= 1) as n_out, 0 as phi_found from e"""
+)
+def ingest_stats_exact(spark, d):
+    conf = IngestConfig(text=PLAIN, deidentify=False)
+    return ingest_documents(docs(spark, d), conf, entities.dictionary_backend(ENTITY)).stats
+
+
 # -- questions and answers
 
 
@@ -267,6 +277,18 @@ def qa_resolve_unrelated(spark, d):
     return _resolve(spark, d, "unrelated")
 
 
+_NUMBERS = "select 2 * ord as ord, 'Is ' || ord // 2 || ' right? Tel 1380013' || lpad((ord // 2 % 10000)::varchar, 4, '0') as question, 'answer ' || ord % 2 as answer, 's' || ord as source_id from qa_items"
+
+
+@query(f"with i as ({_NUMBERS}), g as (select question, count(distinct answer) as n from i group by 1) select i.ord, i.question, i.answer, case when n > 1 then 'conflict' else '' end as flags from i join g using (question)")
+def qa_resolve_masked(spark, d):
+    """Questions that differ only in a number that is masked before a judge sees them."""
+    half = F.floor(F.col("ord") / 2)
+    n = F.concat(F.lit("Is "), half.cast("string"), F.lit(" right? Tel 1380013"), F.lpad((half % 10000).cast("string"), 4, "0"))
+    i = texts(spark, d, "qa_items").select((2 * F.col("ord")).alias("ord"), n.alias("question"), F.concat(F.lit("answer "), (F.col("ord") % 2).cast("string")).alias("answer"), F.concat(F.lit("s"), F.col("ord").cast("string")).alias("source_id"))
+    return conflict.resolved(i, lambda q, a: F.lit("conflicting"), config=PLAIN).select("ord", "question", "answer", F.array_join("flags", "|").alias("flags"))
+
+
 # -- entities
 
 _ENTS = f"with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{ENTITY}') as e, greatest(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[一-鿿]')), 1) as t from documents)"
@@ -314,6 +336,19 @@ def coverage_lost(spark, d):
     return entities.coverage_lost(entities.collect_entities(rows), entities.collect_entities(kept))
 
 
+_ZH_ENTITY = "[一-鿿]{2}(?:症|炎|病)"
+
+
+@query(
+    f"select doc_id, zh, len(case when zh then regexp_extract_all(t, '{_ZH_ENTITY}') else regexp_extract_all(t, '{ENTITY}') end) as n from (select doc_id, t, "
+    "len(regexp_extract_all(t, '[一-鿿]')) > len(regexp_extract_all(t, '[A-Za-z]+')) as zh from (select doc_id, coalesce(text, '') as t from documents))"
+)
+def ner_by_language(spark, d):
+    backend = entities.by_language(entities.dictionary_backend(ENTITY), entities.dictionary_backend(_ZH_ENTITY, "disease"))
+    rows = entities.annotated(docs(spark, d).withColumn("text", F.coalesce("text", F.lit(""))), backend)
+    return rows.select(F.col("ord").alias("doc_id"), (ft.detect_language(F.col("text")) == "zh").alias("zh"), F.size("ents").cast("long").alias("n"))
+
+
 # -- bands and held-out sets
 
 _BAND = "case when {0} < 0.02 then 'small' when {0} <= 0.05 then 'medium' when {0} > 0.05 then 'large' end"
@@ -346,7 +381,26 @@ def _chunks(spark, d):
     return chunking.chunk_qa(texts(spark, d, "qa_items").select(F.col("ord").alias("doc_id"), "question", "answer"), _CONF)
 
 
-@query()
+_TOKENS = "len(regexp_extract_all({0}, '[A-Za-z0-9]+|[一-鿿]'))"
+
+
+def _packed_sql(text: str, target: int, least: int) -> str:
+    """The chunks of a text, as a list of (text, tokens): a fold over its sentences, and the rule for a short last one."""
+    s = f"list_filter(list_transform(regexp_extract_all({text}, '[^。！？.!?\\n]+[。！？.!?]?'), lambda x: {sql_strip('x')}), lambda x: x <> '')"
+    t = f"list_transform({s}, lambda x: {{'done': []::struct(text varchar, tokens bigint)[], 'text': x, 'tokens': {_TOKENS.format('x')}::bigint}})"
+    full = f"(a.text <> '' and a.tokens + b.tokens > {target})"
+    fold = f"list_reduce({t}, lambda a, b: {{'done': case when {full} then list_append(a.done, {{'text': a.text, 'tokens': a.tokens}}) else a.done end, 'text': case when {full} or a.text = '' then b.text else a.text || ' ' || b.text end, 'tokens': case when {full} then b.tokens else a.tokens + b.tokens end}}, {{'done': []::struct(text varchar, tokens bigint)[], 'text': '', 'tokens': 0::bigint}})"
+    last = "{'text': s.text, 'tokens': s.tokens}"
+    joined = "{'text': s.done[-1].text || ' ' || s.text, 'tokens': s.done[-1].tokens + s.tokens}"
+    return f"list_transform([{fold}], lambda s: case when s.text = '' then s.done when len(s.done) > 0 and s.tokens < {least} then list_append(s.done[:-2], {joined}) else list_append(s.done, {last}) end)[1]"
+
+
+@query(
+    f"""with i as (select ord as doc_id, coalesce(question, '') as q, coalesce(answer, '') as ans from qa_items), s as (select *, {_TOKENS.format('ans')} <= 60 as short from i),
+    c as (select doc_id, q, unnest(list_transform(range(len(p)), lambda i: {{'pos': i, 'text': p[i + 1].text}})) as x from (select doc_id, q, {_packed_sql('ans', 40, 8)} as p from s where not short)),
+    l as (select doc_id, q, 0 as pos, 'qa_short' as kind, ans as t from s where short union all select doc_id, q, x.pos, 'qa_child', x.text from c)
+    select doc_id, pos::int as pos, kind, sha1(t) as h, sha1(case when q = '' then t else q || chr(10) || t end) as e from l"""
+)
 def chunk_leaves(spark, d):
     return chunking.leaves(_chunks(spark, d)).select("doc_id", "pos", "kind", F.sha1("text").alias("h"), F.sha1("embed_text").alias("e"))
 
@@ -356,7 +410,10 @@ def chunk_parents(spark, d):
     return _chunks(spark, d).filter("kind in ('qa_short', 'qa_parent')").select("doc_id", "kind", F.sha1("text").alias("h"))
 
 
-@query()
+@query(
+    f"""with p as (select doc_id, unnest(list_transform({_packed_sql("coalesce(text, '')", 1024, 16)}, lambda c: c.text)) as t from documents), k as (select doc_id, len({_packed_sql('t', 256, 16)}) as n from p)
+    select doc_id, sum(n)::bigint as n_leaves, count(*) as n_parents from k where n > 0 group by 1"""
+)
 def doc_children(spark, d):
     c = chunking.hierarchical(texts(spark, d, "documents").select("doc_id", "text"))
     return chunking.with_parent(c).filter("is_leaf").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_leaves"), F.countDistinct("parent_id").alias("n_parents"))
@@ -400,7 +457,15 @@ def knn_where(spark, d):
 @query()
 def knn_ivf(spark, d):
     cells, centres = retrieval.ivf(_vectors(spark, d))
-    return retrieval.ann(_asked(spark, d), stage(cells, "cells"), centres, 10, 24)
+    cells = stage(cells, "cells")
+    return retrieval.ann(_asked(spark, d), cells, centres, 10, retrieval.probes_for(_asked(spark, d), cells, centres, 10))
+
+
+@query("select true as enough")
+def knn_ivf_recall(spark, d):
+    """Whether the approximate search finds at least nine tenths of the exact neighbours."""
+    exact = retrieval.knn(_asked(spark, d), _vectors(spark, d), 10)
+    return spark.range(1).select((F.lit(retrieval.recall_of(QUERIES["knn_ivf"](spark, d), exact)) >= 0.9).alias("enough"))
 
 
 _BM25 = """with tok as (select doc_id as id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[一-鿿]'), lambda x: lower(x))) as w from documents),
@@ -513,11 +578,70 @@ def abstention(spark, d):
 
 @query("with e as (select c.ord, count(r.ord) as n from ct_samples c left join rois r on r.sample_ord = c.ord group by 1) select ord as query_id, case when n = 0 then 0 else 3 end as n_findings, case when n = 0 then 0 else 1 + (n < 2)::int end as n_uncertain, n = 0 as abstain, case when n = 0 then 'no_evidence' else 'none' end as abstain_reason from e")
 def assemble_report(spark, d):
+    out = _reports(spark, d)
+    return out.select("query_id", F.size("findings").alias("n_findings"), F.size(F.filter("findings", lambda x: x["uncertain"])).alias("n_uncertain"), "abstain", "abstain_reason")
+
+
+def _reports(spark, d):
     r = table(spark, d, "rois").groupBy(F.col("sample_ord").alias("ord")).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("string").alias("source_id")))).alias("evidence"))
     c = table(spark, d, "ct_samples").select("ord").join(r, "ord", "left")
     drafts = c.select(F.col("ord").alias("query_id"), F.array(F.lit("a [S1][ROI1]"), F.lit("b [S2]"), F.lit("c [S99]")).alias("lines"), F.coalesce("evidence", F.expr("cast(array() as array<struct<source_id:string>>)")).alias("evidence"), F.lit(0).alias("n_rois"), F.lit(False).alias("abstain"), F.lit("none").alias("abstain_reason"))
-    out = report.assembled(drafts)
-    return out.select("query_id", F.size("findings").alias("n_findings"), F.size(F.filter("findings", lambda x: x["uncertain"])).alias("n_uncertain"), "abstain", "abstain_reason")
+    return report.assembled(drafts)
+
+
+def _prf_sql(name: str, item: str) -> str:
+    side = lambda cond: f"select sample_ord as p, {item} as item, count(*) as c from rois where label is not null {cond} group by 1, 2"
+    sums = f"select sum(least(coalesce(a.c, 0), coalesce(b.c, 0))) as tp, sum(coalesce(a.c, 0)) as n, sum(coalesce(b.c, 0)) as m from ({side('')}) a full join ({side('and roi_index < 2')}) b on a.p = b.p and a.item = b.item"
+    return " union all ".join(f"select '{name}_{k}' as metric, round({v}, 9) as value from ({sums})" for k, v in (("precision", "tp / n"), ("recall", "tp / m"), ("f1", "2 * tp / (n + m)")))
+
+
+@query(_prf_sql("entity", "lower(trim(label))") + " union all " + _prf_sql("relation", "lower(trim(label)) || '|' || coalesce(area_band, '')"))
+def report_metrics(spark, d):
+    """Entities and relations of two texts a sample, drawn from its regions: what an extractor finds are the lines of the text."""
+    r = table(spark, d, "rois").filter("label is not null").select("sample_ord", "roi_index", F.lower(F.trim("label")).alias("l"), F.coalesce("area_band", F.lit("")).alias("b"))
+    line = F.concat("l", F.lit("|"), "b")
+    t = r.groupBy(F.col("sample_ord").alias("pair_id")).agg(F.array_join(F.collect_list(line), "\n").alias("pred"), F.array_join(F.collect_list(F.when(F.col("roi_index") < 2, line)), "\n").alias("ref"))
+    lines = lambda c: F.filter(F.split(c, "\n"), lambda x: x != "")
+    out = report.report_metrics(t, lambda c: F.transform(lines(c), lambda x: F.substring_index(x, "|", 1)), lambda c: F.transform(lines(c), lambda x: F.struct(F.substring_index(x, "|", 1).alias("s"), F.lit("in").alias("r"), F.substring_index(x, "|", -1).alias("o"))))
+    return out.select("metric", F.round("value", 9).alias("value"))
+
+
+_DRAFTED = "with e as (select c.ord, count(r.ord) as n, c.report_text is null as gold from ct_samples c left join rois r on r.sample_ord = c.ord group by 1, 3), f as (select 3 * count(*) filter (n > 0) as k, count(*) filter (n > 0) + count(*) filter (n > 1) as g, count(*) filter (n > 0) + count(*) filter (n > 1) as ev from e), c as (select count(*) filter (n = 0 and gold) as tp, count(*) filter (n = 0 and not gold) as fp, count(*) filter (n > 0 and gold) as fn, count(*) filter (n > 0 and not gold) as tn from e)"
+
+
+@query(_DRAFTED + " select metric, round(value, 9) as value from (select 'traceability' as metric, g / k as value from f union all select 'traceability_certain', 1 from f union all select 'avg_evidence', ev / k from f union all select 'n_findings', k from f union all select 'abstain_precision', coalesce(tp / nullif(tp + fp, 0), 0) from c union all select 'abstain_recall', coalesce(tp / nullif(tp + fn, 0), 0) from c union all select 'abstain_f1', coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) from c union all select 'abstain_accuracy', (tp + tn) / (tp + fp + fn + tn) from c)")
+def e2e_metrics(spark, d):
+    gold = table(spark, d, "ct_samples").select(F.col("ord").alias("query_id"), F.col("report_text").isNull().alias("abstain"))
+    return report.e2e_metrics(_reports(spark, d), gold).select("metric", F.round("value", 9).alias("value"))
+
+
+@query("select 'length' as metric, round(avg(length(answer) / (1 + length(question))), 6) as value from qa_items where question is not null and answer is not null union all select 'filled', round(avg((answer <> '')::int), 6) from qa_items where question is not null and answer is not null")
+def judge_scores(spark, d):
+    s = texts(spark, d, "qa_items").filter("question is not null and answer is not null").select("question", "answer", F.array().cast("array<string>").alias("contexts"), F.lit(None).cast("string").alias("reference"))
+    return report.judged(s, {"length": lambda q, a, c, r: F.length(a) / (1 + F.length(q)), "filled": lambda q, a, c, r: (a != "").cast("int")}).select("metric", F.round("value", 6).alias("value"))
+
+
+@query("select ord as query_id, 2 as n_findings, false as abstain, '[stub] report with 2 grounded finding(s)' as summary from ct_samples")
+def stub_reports(spark, d):
+    out = serve.Pipeline().generate_report(table(spark, d, "ct_samples").select(F.col("ord").alias("image_id")))
+    return out.select("query_id", F.size("findings").alias("n_findings"), "abstain", "summary")
+
+
+@query("select ord as query_id, case when trim(coalesce(question, ''), ' ') = '' then 'abstained' else 'ok' end as status from qa_items")
+def stub_answers(spark, d):
+    asked = texts(spark, d, "qa_items").select(F.col("ord").alias("query_id"), F.col("question").alias("text"))
+    out = serve.tool_results(serve.Pipeline(), "medical_qa", asked)
+    return out.select(F.get_json_object("payload", "$.query_id").cast("long").alias("query_id"), "status")
+
+
+@query(_SIM.replace("{0}", "") + _TOP + ", k as (select query_id, id, 1 / (1 + exp(-(8 * score - 7))) as s, rank from t where rank < 10), r as (select *, row_number() over (partition by query_id order by s desc, rank) as nr from k), b as (select query_id, max(s) as best, max(case when nr = 1 then id end)::varchar as first, max(case when nr = 2 then id end)::varchar as second from r group by 1) select query_id, best < 0.5 as abstain, case when best < 0.5 then 'low_confidence' else 'none' end as abstain_reason, case when best < 0.5 then '' else first || '|' || second || '|' end as sources from b")
+def cited_qa(spark, d):
+    """Questions answered in three lines, of which the last cites nothing: vectors as records, their similarity as the scorer."""
+    records = _vectors(spark, d).select("id", F.concat(F.lit("vector "), F.col("id").cast("string")).alias("text"), F.col("id").cast("string").alias("citation"))
+    asked = _asked(spark, d).select("query_id", F.lit("which is near?").alias("text"), "vector")
+    qa = serve.CitedQA(lambda q: retrieval.knn(q, _vectors(spark, d), 10), records, lambda q, p: 8 * F.col("score") - 7, lambda p: F.lit("near [S1]\nalso [S2][S9]\nperhaps"))
+    out = qa.answer(asked)
+    return out.select("query_id", "abstain", "abstain_reason", F.array_join(F.transform("findings", lambda f: F.coalesce(F.array_join(f["sources"], ","), F.lit(""))), "|").alias("sources"))
 
 
 # -- detection
@@ -570,7 +694,23 @@ def average_precision(spark, d):
     return detection.average_precision(flags, gts.count()).select(F.round("ap", 9).alias("ap"))
 
 
-@query()
+@query(_FLAGS + ", e as (select tp, max(tps / k) over (order by k rows between current row and unbounded following) as env from c), p as (select unnest([0.5, 1.0, 2.0, 4.0, 8.0])::double as fp_point) select 'sens@' || fp_point || 'fp' as metric, round(coalesce(max(tps / n) filter ((k - tps) / m <= fp_point + 1e-9), 0), 9) as value from p, c, t, im group by fp_point union all select 'mAP', round(coalesce(sum(env) filter (tp), 0) / max(n), 9) from e, t")
+def detection_metrics(spark, d):
+    preds, gts = _boxes(spark, d)
+    out = detection.detection_metrics(preds, stage(gts, "gts"), preds.select("image_id").distinct().count())
+    return out.select(F.explode("metrics").alias("metric", "value")).withColumn("value", F.round("value", 9))
+
+
+_GREEDY = f"""with recursive a as (select ord, sample_ord as image_id, x1, y1, x2, y2, area_fraction, confidence from rois where confidence is not null and x1 is not null),
+    p as (select *, row_number() over (partition by image_id order by confidence desc, ord) as k from a), b as (select ord, image_id, x1 + 3 as x1, y1, x2, y2, area_fraction from a where area_fraction is not null),
+    i as (select a.ord, b.ord as g, {_IOUF} as iou, {_BAND.format('b.area_fraction')} as band from a join b on a.image_id = b.image_id where {_IOUF} >= 0.3),
+    r as (select image_id, 0::bigint as k, null::bigint as ord, null::double as confidence, null::varchar as band, null::bigint as g, []::bigint[] as taken from (select distinct image_id from p)
+    union all select image_id, k, ord, confidence, band, g, taken from (select p.image_id, p.k, p.ord, p.confidence, i.band, i.g, case when i.g is null then r.taken else list_append(r.taken, i.g) end as taken,
+    row_number() over (partition by p.image_id order by i.iou desc nulls last, i.g) as n from r join p on p.image_id = r.image_id and p.k = r.k + 1 left join i on i.ord = p.ord and not list_contains(r.taken, i.g)) where n = 1)
+    select image_id, ord, confidence, g is not null as is_tp, band as gt_band from r where k > 0"""
+
+
+@query(_GREEDY)
 def greedy_match(spark, d):
     preds, _ = _boxes(spark, d)
     gts = preds.filter("area_fraction is not null").withColumn("x1", F.col("x1") + 3)
@@ -643,7 +783,13 @@ def heatmap_render(spark, d):
     return vision.heatmap_rows(r, 32, 32).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query()
+@query(
+    "with recursive b as (select sample_ord as image_id, (x1 / 16 + x2 / 16) / 2 as cx, (y1 / 16 + y2 / 16) / 2 as cy, greatest(1.0, 0.1 * (x2 / 16 - x1 / 16)) as sx, greatest(1.0, 0.1 * (y2 / 16 - y1 / 16)) as sy from rois where x1 is not null), "
+    f"p as (select image_id, y * 32 + x as c, max({_G}) as v from b, range(0, 32) yy(y), range(0, 32) xx(x) where y between round_even(cy, 0) - ceil(3 * sy) and round_even(cy, 0) + ceil(3 * sy) and x between round_even(cx, 0) - ceil(3 * sx) and round_even(cx, 0) + ceil(3 * sx) group by 1, 2), "
+    "hot as materialized (select image_id, c from p where v >= 0.5), e as materialized (select a.image_id, a.c as x, b.c as y from hot a join hot b on a.image_id = b.image_id and (abs(a.c - b.c) = 32 or abs(a.c - b.c) = 1 and a.c // 32 = b.c // 32)), "
+    "r(image_id, a, b) as (select image_id, c, c from hot union select r.image_id, r.a, e.y from r join e on e.image_id = r.image_id and e.x = r.b), roots as (select image_id, a, min(b) as root from r group by 1, 2), "
+    "n as (select image_id, count(distinct root) as n from roots group by 1) select i.image_id, coalesce(n.n, 0)::int as n_rois, coalesce(n.n, 0) = 0 as abstained from (select distinct image_id from p) i left join n using (image_id)"
+)
 def heatmap_components(spark, d):
     r = table(spark, d, "rois").filter("x1 is not null").select(F.col("sample_ord").alias("image_id"), *[(F.col(c) / 16).alias(c) for c in ("x1", "y1", "x2", "y2")])
     cells = vision.heatmap_rows(r, 32, 32).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("y") * 32 + F.col("x"), "value"))).alias("m"))

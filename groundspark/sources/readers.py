@@ -2,30 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled
+from ..session import stage
 
 KNOWN = ("id", "text", "question", "answer", "lang")
 
 
+# Line ends beside those at which a text source splits.
+MORE_BREAKS = "[\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """ord, n, line: every physical line of the files, blank ones too; n counts within the file from 0, ord over all files by their path.
+
+    Files are read in splits. Lines are numbered within their split, and the splits of all files by their counts, so a file may be
+    as large as it likes and no task holds one.
+    """
+    parts = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"))
+    parts = stage(parts.withColumn("parts", F.split("value", MORE_BREAKS)).drop("value"), "lines")
+    sizes = parts.groupBy("f", "at").agg(F.sum(F.size("parts")).alias("k"))  # a row a split
+    before = lambda *by: Window.partitionBy(*by).orderBy("f", "at").rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.select("f", "at", F.coalesce(F.sum("k").over(before("f")), F.lit(0)).alias("in_file"), F.coalesce(F.sum("k").over(before(F.lit(0))), F.lit(0)).alias("in_all"))
+    own = Window.partitionBy("f", "at").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("own", F.coalesce(F.sum(F.size("parts")).over(own), F.lit(0))).join(start, ["f", "at"])
+    each = placed.select("in_file", "in_all", "own", F.posexplode("parts").alias("i", "line"))
+    return each.select((F.col("in_all") + F.col("own") + F.col("i")).alias("ord"), (F.col("in_file") + F.col("own") + F.col("i")).alias("n"), "line")
+
+
 def load_jsonl(spark: SparkSession, path: str, id_field: str = "id", text_field: str = "text", question_field: str = "question", answer_field: str = "answer") -> DataFrame:
     """ord, record_id, text, question, answer, lang, metadata: blank lines are skipped, malformed ones raise.
 
-    A missing id is the 0-based number of the physical line, counting blank ones. An empty text is ''. All other keys go to the
-    metadata as text. Lines are numbered within the one file or per file of a directory, by the order of reading.
+    A missing id is the 0-based number of the physical line in its file, counting blank ones; ord counts on over the files of a
+    directory. An empty text is ''. All other keys go to the metadata as text.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("f"), F.posexplode(F.split("value", "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]")).alias("n", "line"))
-    rows = lines.filter(F.trim("line") != "")
+    rows = _lines(spark, path).filter(F.trim("line") != "")
     obj = F.from_json("line", "map<string,string>", {"mode": "FAILFAST"})
     fields = {id_field, text_field, question_field, answer_field, "lang"}
-    m = rows.select("f", "n", obj.alias("m"))
+    m = rows.select("ord", "n", obj.alias("m"))
     get = lambda k: F.col("m")[k]
     return m.select(
-        F.xxhash64("f").alias("file"), F.col("n").cast("long").alias("ord"), F.coalesce(get(id_field), F.col("n").cast("string")).alias("record_id"), F.coalesce(get(text_field), F.lit("")).alias("text"),
+        "ord", F.coalesce(get(id_field), F.col("n").cast("string")).alias("record_id"), F.coalesce(get(text_field), F.lit("")).alias("text"),
         get(question_field).alias("question"), get(answer_field).alias("answer"), get("lang").alias("lang"), F.map_filter("m", lambda k, v: ~k.isin(*fields)).alias("metadata"),
-    ).drop("file")
+    )
 
 
 def drug_records_to_nodes(records: DataFrame, collection: str = "a_drug") -> DataFrame:
@@ -46,7 +67,10 @@ def load_heldout(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of node id to record: node_id and the record as JSON."""
+    """node_id and the record as JSON: from a folder as save_nodes() writes it (a record a line, read in splits), or from one JSON
+    object of node id to record, which one task reads."""
+    if not path.endswith(".json"):
+        return spark.read.text(path).select(F.get_json_object("value", "$.node_id").alias("node_id"), F.col("value").alias("record"))
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("node_id", "record"))
 
 
