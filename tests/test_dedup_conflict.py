@@ -98,3 +98,19 @@ def test_ingest_chain(spark):
     assert (s.n_in, s.n_after_dedup, s.n_out, s.phi_found) == (3, 2, 1, 2)
     with pytest.raises(entities.CoverageError):
         entities.assert_coverage(spark.createDataFrame([("rareonly",)], "entity string"), spark.createDataFrame([], "entity string"))
+
+
+def test_questions_that_masking_makes_equal_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    from groundspark.operators import conflict
+
+    rows = [(1, "Call 13800138000?", "yes"), (2, "Call 13800138000?", "no"), (3, "Call 13900139000?", "yes"), (4, "Call 13900139000?", "no 13900139000"), (5, None, None)]
+    items = spark.createDataFrame([(*r, f"s{r[0]}") for r in rows], "ord long, question string, answer string, source_id string")
+    seen = conflict.resolved(items, lambda q, a: F.when(q.contains("[PHONE]") & ~F.array_join(a, "").contains("139"), "conflicting").otherwise("equivalent"))
+    got = sorted((r.ord, r.answer, tuple(r.flags)) for r in seen.collect())
+    assert got == [(1, "yes", ("conflict",)), (2, "no", ("conflict",)), (3, "yes", ("conflict",)), (4, "no 13900139000", ("conflict",)), (5, None, ())]
+    from groundspark.functions.privacy import guarded
+
+    with pytest.raises(Exception, match="personal data"):
+        items.select(guarded(F.col("answer"))).collect()

@@ -129,3 +129,89 @@ def test_vision(spark):
     assert all(abs(r.value - h[r.y, r.x]) < 1e-9 for r in rows.collect())
     out = vision.with_green_boxes(spark.createDataFrame([(1, rgb.tobytes(), 200, 200), (2, None, 1, 1)], "image_id int, pixels binary, height int, width int")).orderBy("image_id").collect()
     assert len(out[0].rois) == 1 and out[1].rois == []
+
+
+def test_curves_in_blocks_with_equal_confidences(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from groundspark import session
+
+    monkeypatch.setattr(session, "BLOCK", 7)
+    rows = [(i, 0, 0.5 if i % 3 else i / 100, bool(i % 2), None) for i in range(60)]
+    flags = spark.createDataFrame(rows, "image_id int, ord long, confidence double, is_tp boolean, gt_band string")
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    tp, want = 0, []
+    for k, r in enumerate(order, 1):
+        tp += r[3]
+        want.append((k, tp))
+    assert sorted((r.k, r.tp) for r in detection._running(flags).collect()) == want
+    env = [max(t / k for k, t in want[i:]) for i in range(60)]
+    assert detection.average_precision(flags, 30).first().ap == pytest.approx(sum(e for e, r in zip(env, order, strict=True) if r[3]) / 30)
+    n = session.numbered(flags.select("image_id"), [F.desc("image_id")], "n").collect()
+    assert sorted((r.image_id, r.n) for r in n) == [(i, 60 - i) for i in range(60)]
+
+
+def test_detection_metrics(curve):
+    preds, gts = curve
+    r = detection.detection_metrics(preds, gts, 2).first()
+    assert r.metrics["mAP"] == pytest.approx(5 / 6) and r.metrics["sens@0.5fp"] == 1.0 and r.stratified["small"]["sens@1.0fp"] == 1.0 and (r.n_images, r.total_gt) == (2, 2)
+
+
+def test_runs_and_gates(spark):
+    from groundspark.config import AppConfig
+
+    spec = stats.EvalSpec("r1", lambda c: c.seed, lambda seed: {"metrics": {"x": seed}, "stratified": {"small": {"x": 1}}})
+    row = stats.run_eval(spark, AppConfig({"seed": 5}), spec, "base").first()
+    assert (row.run_id, row.metrics, row.stratified, row.baseline_id, row.flags["detect"]) == ("r1", {"x": 5.0}, {"small": {"x": 1.0}}, "base", "stub")
+    with pytest.raises(ValueError):
+        stats.run_eval(spark, AppConfig(), stats.EvalSpec("r", lambda c: 0, lambda x: {}))
+    pairs = spark.createDataFrame([(i, 0.5, 0.5 + 0.1 * (i % 2)) for i in range(40)], "sample_id int, baseline double, variant double")
+    good, same = stats.check_scores(pairs, n=300).first(), stats.check_scores(pairs.withColumn("variant", pairs.baseline), n=300).first()
+    assert good.passed and good.delta == pytest.approx(0.05) and not same.passed and same.p == 1.0
+    # Resamples by Poisson draws agree with resampling as a whole.
+    _, low, high = stats.bootstrap_ci(np.array([0.1 * (i % 2) for i in range(40)]), n=4000)
+    assert good.ci_low == pytest.approx(low, abs=0.006) and good.ci_high == pytest.approx(high, abs=0.006)
+    again = stats.check_scores(pairs.repartition(5), n=300).first()
+    assert (again.ci_low, again.p) == (pytest.approx(good.ci_low), good.p)
+    rows = [(v, i, "small" if i < 10 else "large", 0.5 + (0.3 if v == "add" else 0)) for v in ("off", "add") for i in range(20)]
+    arms = stats.arm_ablation(spark.createDataFrame(rows, "variant string, sample_id int, band string, score double"), n=100)
+    assert arms.first().gate_passed and len(stats.summary_lines(arms)) == 3 and stats.blocked(stats.gate(stats.ablation(spark.createDataFrame(rows, "variant string, sample_id int, band string, score double"), "off", n=100))).count() == 0
+
+
+def test_windows_of_heat_maps(spark):
+    # Centre at a half: rounded to even; three deviations rounded up; boxes outside leave nothing.
+    h = vision.heatmap([(0, 0, 25, 25)], 100, 100, least=1.0, scale=0.1)
+    assert h[12 - 8, 12] > 0 and h[12 + 8, 12] > 0 and h[12 + 9, 12] == 0 and vision.heatmap([(300, 300, 310, 310)], 50, 50).max() == 0
+    boxes = [(0.0, 0.0, 25.0, 25.0), (40.0, 10.0, 47.0, 90.0), (-50.0, 0.0, -44.0, 5.0), (98.0, 98.0, 99.0, 99.0)]
+    df = spark.createDataFrame([(1, *b) for b in boxes] + [(2, None, None, None, None)], "image_id int, x1 double, y1 double, x2 double, y2 double")
+    for kw in ({}, {"anneal": 0.5}, {"out_size": (40, 60)}, {"elliptical": False}):
+        want = vision.heatmap(boxes, 100, 100, **kw)
+        got = {(r.y, r.x): r.value for r in vision.heatmap_rows(df, 100, 100, **kw).collect()}
+        assert all(v == pytest.approx(want[k]) for k, v in got.items()) and set(zip(*map(list, np.nonzero(want)), strict=True)) <= set(got)
+
+
+def test_inpainting():
+    rgb = np.full((80, 80, 3), 90, np.uint8)
+    rgb[20:40, 20:22] = rgb[20:40, 38:40] = rgb[20:22, 20:40] = rgb[38:40, 20:40] = (0, 255, 0)
+    boxes = vision.green_boxes(rgb)
+    mask = vision.inpaint_mask(rgb, boxes, np.random.default_rng(0))
+    plain = vision.inpaint_mask(rgb, boxes, np.random.default_rng(0), vision.InpaintConfig(decoys=0))
+    assert mask.sum() > plain.sum() >= 144 and (mask | ~plain).all()
+    out = vision.inpainted(rgb, np.random.default_rng(0))
+    assert (out == 90).all() and (vision.inpainted(out, np.random.default_rng(0)) == out).all()
+
+
+def test_extractors(spark):
+    from pyspark.sql import functions as F
+
+    from groundspark.operators import entities
+
+    backend = entities.by_language(entities.dictionary_backend("[A-Z][a-z]+"), entities.dictionary_backend("[一-鿿]癌", "disease"))
+    pairs = spark.createDataFrame([(1, "Liver Mass", "Liver"), (2, "肝癌肝癌与肺癌", "肝癌"), (3, None, None)], "pair_id int, pred string, ref string")
+    r = report.extracted_prf(pairs, entities.extractor(backend)).first()
+    assert (r.tp, r.fp, r.fn) == (2, 3, 0)
+    m = {x.metric: x.value for x in report.report_metrics(pairs, entities.extractor(backend, False), lambda c: F.array(F.struct(F.length(c).alias("s")))).collect()}
+    assert m["entity_recall"] == 1.0 and m["relation_precision"] == pytest.approx(1 / 3)
+    reports = spark.createDataFrame([(1, [("x", ["s"], None, False)], False), (2, [], True)], "query_id int, findings array<struct<text:string,sources:array<string>,roi:int,uncertain:boolean>>, abstain boolean")
+    e = {x.metric: x.value for x in report.e2e_metrics(reports, spark.createDataFrame([(1, False), (2, True)], "query_id int, abstain boolean")).collect()}
+    assert e["traceability"] == 1.0 and e["abstain_accuracy"] == 1.0 and "abstain_f1" not in {x.metric for x in report.e2e_metrics(reports).collect()}

@@ -129,3 +129,48 @@ def test_hybrid_query_sees_every_document_and_whole_texts(spark, tmp_path):
     got = [r.id for r in QUERIES["hybrid_retrieve"](spark, str(tmp_path)).orderBy("rank").collect()]
     # The last document, alone under p3, has no vector and shares with the query only the word behind character 80.
     assert len(start) > 80 and got[:2] == ["p0", "p3"] and set(got) == {"p0", "p1", "p2", "p3"}
+
+
+def test_probes_are_measured(spark):
+    v = np.random.default_rng(5).standard_normal((400, 12))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    asked = rows.filter("id % 40 = 0").select(F.col("id").alias("query_id"), "vector")
+    cells, centres = retrieval.ivf(rows, 16)
+    n = retrieval.probes_for(asked, cells, centres, 5)
+    assert retrieval.recall_of(retrieval.ann(asked, cells, centres, 5, n), retrieval.knn(asked, rows, 5)) >= 0.9
+    assert retrieval.recall_of(asked.filter("false").withColumn("id", F.lit(1)), rows.filter("false").withColumn("query_id", F.lit(1))) == 1.0
+
+
+def test_cited_answers(spark):
+    from groundspark.plans import serve
+
+    records = spark.createDataFrame([("a", "aspirin helps", "A"), ("b", None, "B"), ("c", "liver", None)], "id string, text string, citation string")
+    asked = spark.createDataFrame([(1, "aspirin?"), (2, "weak"), (3, "nothing"), (4, None)], "query_id int, text string")
+    found = hits(spark, [(1, "a", 0), (1, "b", 1), (2, "c", 0)]).withColumn("score", F.lit(1.0))
+    qa = serve.CitedQA(lambda q: found, records, lambda q, p: F.when(p.contains("aspirin"), 3.0).when(p == "B", 1.0).otherwise(-2.0), lambda p: F.lit("yes [S2]\n\nno [S7]"))
+    out = {r.query_id: r for r in qa.answer(asked).collect()}
+    assert [(f.text, f.sources, f.uncertain) for f in out[1].findings] == [("yes", ["b"], False), ("no", [], True)] and not out[1].abstain
+    assert (out[2].abstain_reason, out[3].abstain_reason, out[4].abstain_reason) == ("low_confidence", "no_evidence", "no_evidence") and out[2].findings == []
+    assert serve.Pipeline(qa=qa).answer(asked).count() == 4
+
+
+def test_pipeline(spark):
+    from groundspark.config import AppConfig
+    from groundspark.plans import serve
+
+    p = serve.Pipeline()
+    images = spark.createDataFrame([("i1",), ("i2",)], "image_id string")
+    r = p.generate_report(images).orderBy("query_id").first()
+    assert r.summary == "[stub] report with 2 grounded finding(s)" and r.findings[0].text == "[stub] suspected lesion at small band" and r.findings[0].roi == 1
+    asked = spark.createDataFrame([(1, "what's it?"), (2, " "), (3, None)], "query_id int, text string")
+    e = {r.query_id: r for r in p.retrieve(asked).collect()}
+    assert len(e[1].evidence) == 3 and e[1].evidence[1].score == pytest.approx(0.9) and e[1].evidence[0].citation == '[stub] source 0 for query="what\'s it?"' and e[2].abstain and e[3].evidence == []
+    a = {r.query_id: r for r in p.answer(asked, 1).collect()}
+    assert len(a[1].findings) == 1 and a[2].abstain_reason == "no_evidence"
+    with pytest.raises(NotImplementedError):
+        serve.Pipeline(AppConfig({"flags": {"detect": "lochead"}})).detect(images)
+    own = serve.Pipeline(AppConfig({"flags": {"detect": "mine"}}), implementations={"detect": {"mine": lambda i: i.select("image_id", F.array().cast("array<struct<area_band:string>>").alias("rois"), F.lit(True).alias("abstained"))}})
+    assert own.generate_report(images).first().abstain_reason == "no_evidence"
+    assert {r.status for r in serve.tool_results(p, "retrieve_evidence", asked).collect()} == {"ok", "abstained"}
+    with pytest.raises(ValueError):
+        serve.tool_results(p, "other", asked)

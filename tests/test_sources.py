@@ -79,3 +79,44 @@ def test_stream(spark, tmp_path):
     q = stream.cleaned(s).writeStream.format("memory").queryName("cleaned_out").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("cleaned_out").count() == 2
+
+
+def test_jsonl_in_splits_and_folders(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        for name, k in (("b.jsonl", 40), ("a.jsonl", 25)):
+            (tmp_path / name).write_text("".join(f'{{"text": "{name}{i}"}}\n' + ("\n" if i % 7 == 0 else "") for i in range(k)), encoding="utf-8")
+        rows = readers.load_jsonl(spark, str(tmp_path)).orderBy("ord").collect()
+        assert [r.text for r in rows] == [f"a.jsonl{i}" for i in range(25)] + [f"b.jsonl{i}" for i in range(40)]
+        assert rows[8].record_id == "10" and rows[25].record_id == "0" and len({r.ord for r in rows}) == 65
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_cases_with_images(spark, tmp_path):
+    import numpy as np
+
+    s = store.VectorStore(spark, str(tmp_path / "v"))
+    px = np.zeros((8, 8, 3), np.uint8)
+    px[2:4, 2:4] = 200
+    roi = "array<struct<x1:double,y1:double,x2:double,y2:double,area_band:string>>"
+    cases = spark.createDataFrame([("c1", "t", [(2.0, 2.0, 4.0, 4.0, "small"), (9.0, 9.0, 9.0, 9.0, "small")], False, px.tobytes(), 8, 8), ("c2", "u", [], True, px.tobytes(), 8, 8), ("c3", None, [], None, None, None, None)], f"case_id string, report_text string, rois {roi}, in_eval_set boolean, pixels binary, height int, width int")
+    store.index_ct(s, cases, lambda ts: np.array([[1.0, len(t)] for t in ts]), lambda images: np.array([[i.mean(), i.shape[0]] for i in images]))
+    assert [s.count(c) for c in ("c_text", "c_img_whole", "c_img_roi")] == [1, 1, 2]
+    r = {x.id: x for x in s.read("c_img_roi").collect()}
+    assert r["c1:roi0"].embedding[0] > 0.99 and r["c1:roi0"].metadata["area_band"] == "small" and r["c1:roi1"].embedding is None
+
+
+def test_settings():
+    from groundspark.config import seed_everything
+
+    c = AppConfig({"seed": "3", "flags": {"dedup": True}}).with_overrides(flags={"fusion": "add"})
+    assert c.seed == 3 and c["flags"]["dedup"] and c.flags["fusion"] == "add" and dict(AppConfig())["data_root"] == "data"
+    with pytest.raises(AttributeError):
+        c.seed = 4
+    with pytest.raises(KeyError):
+        AppConfig({"sed": 1})
+    with pytest.raises(KeyError):
+        RunRecord.create("r").add("nothing", x=1)
+    assert seed_everything(7).integers(0, 1 << 30) == seed_everything(7).integers(0, 1 << 30)

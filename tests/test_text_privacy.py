@@ -15,7 +15,7 @@ def one(spark, value, f):
 
 @pytest.mark.parametrize(
     ("given", "wanted"),
-    [("５ｍｇ", "5mg"), ("（注）", "(注)"), ("a    b\tc", "a b c"), ("好的。。。", "好的。"), ("wow!!!", "wow!"), ("Disclaimer: x\nkept\nPage 3", "kept"), ("", ""), (None, None), ("5mg 50mg 5mL", "5mg 50mg 5mL")],
+    [("５ｍｇ", "5mg"), ("（注）", "(注)"), ("a    b\tc", "a b c"), ("好的。。。", "好的。"), ("a\n \n \n \nb", "a\n\nb"), ("a\n\nb", "a\n\nb"), ("wow!!!", "wow!"), ("Disclaimer: x\nkept\nPage 3", "kept"), ("", ""), (None, None), ("5mg 50mg 5mL", "5mg 50mg 5mL")],
 )
 def test_normalize(spark, given, wanted):
     assert one(spark, given, ft.normalize_text) == wanted
