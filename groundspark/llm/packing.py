@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .tokenizers import FOLDER, counter
 
-SALTS = 64
+#: Parts (at least) in which the documents of one size are ranked, documents of a part, and ranks of a size that meet their runs in one task.
+SALTS, PART, RANKS = 64, 50_000, 4096
 
 
 def plan(sizes: Iterable[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -97,9 +98,10 @@ def packed(docs: DataFrame, capacities: DataFrame, folder: str = FOLDER) -> Data
     if not wanted:
         return spark.createDataFrame([], "capacity_id int, doc_id long, part long, container_id long, tokens long")
     sizes = stage(sized(docs, sorted({t for *_, t in wanted}), folder), "sizes")
-    work = sizes.join(F.broadcast(spark.createDataFrame(wanted, "capacity_id int, capacity long, tokenizer string")), "tokenizer")
+    salts = max(SALTS, -(-sizes.count() // PART))
+    work = sizes.join(spark.createDataFrame(wanted, "capacity_id int, capacity long, tokenizer string"), "tokenizer")
     work = work.select(
-        "capacity_id", "capacity", "doc_id", "tokens", F.expr("tokens div capacity").alias("whole"), F.expr("tokens % capacity").alias("rest"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+        "capacity_id", "capacity", "doc_id", "tokens", F.expr("tokens div capacity").alias("whole"), F.expr("tokens % capacity").alias("rest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")
     )
     counts = stage(work.groupBy("capacity_id", "capacity", "rest", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("w")), "sizeclasses")
     before = Window.partitionBy("capacity_id", "rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,8 +124,10 @@ def packed(docs: DataFrame, capacities: DataFrame, folder: str = FOLDER) -> Data
         .join(starts, ["capacity_id", "rest", "salt"])
         .select("capacity_id", "capacity", "doc_id", "tokens", "whole", "rest", (F.col("start") + F.col("at")).alias("rank"), (F.col("wstart") + F.col("wat")).alias("wfirst"))
     )
+    # Runs are cut at blocks of ranks, so a hot size is joined block by block, and a document meets only the runs of its own block.
+    run = run.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / RANKS), F.floor((F.col("hi") - 1) / RANKS))))
     items = (
-        ranked.filter("rest > 0").join(run, ["capacity_id", "rest"]).filter("rank >= lo and rank < hi")
+        ranked.filter("rest > 0").withColumn("block", F.floor(F.col("rank") / RANKS)).join(run, ["capacity_id", "rest", "block"]).filter("rank >= lo and rank < hi")
         .select("capacity_id", "doc_id", F.col("whole").alias("part"), (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).cast("long").alias("container_id"), F.col("rest").alias("tokens"))
     )
     split = ranked.filter("whole > 0").select("capacity_id", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("part"), "wfirst", "capacity").select("capacity_id", "doc_id", "part", (F.col("wfirst") + F.col("part")).alias("container_id"), F.col("capacity").alias("tokens"))

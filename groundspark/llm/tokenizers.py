@@ -84,21 +84,19 @@ class ByteEncoder:
         self.known: dict[str, list[int]] = {}
         self.sizes: dict[str, int] = {}
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        self.known.update(zip(new, self.model.encode([mapped(p) for p in new], num_threads=1), strict=True))
-
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []
         found, known, out = pieces(text), self.known, []
-        if new := [p for p in dict.fromkeys(found) if p not in known]:
-            self._learn(new)
-            if any(p not in known for p in found):
-                self._learn(list(dict.fromkeys(found)))
+        new = [p for p in dict.fromkeys(found) if p not in known]
+        told = dict(zip(new, self.model.encode([mapped(p) for p in new], num_threads=1), strict=True)) if new else {}
         for p in found:
-            out += known[p]
+            out += told[p] if p in told else known[p]
+        if new:
+            if len(known) > KNOWN:
+                known.clear()
+            # Long pieces, such as whole Chinese clauses, hardly come again.
+            known.update((p, i) for p, i in told.items() if len(p) <= LONG)
         return out
 
     def text(self, ids: list[int]) -> str:
