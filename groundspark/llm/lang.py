@@ -20,7 +20,7 @@ FUNCTION_WORDS = {
 }
 _WORDS = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿]")
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_SPEAKS = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v.split()) for v in FUNCTION_WORDS.values() for w in v.split()}
 _GERMAN, _SPANISH = re.compile("[äöüßÄÖÜ]"), re.compile("[ñáíóú¿¡Ñ]")
 _BRACKETS = re.compile(r"[(（\[【][^()（）\[\]【】]*[)）\]】]")
 
@@ -35,9 +35,10 @@ def even(lang: Column) -> Column:
 def scores(text: str) -> dict[str, float]:
     """Weight of each language in a text: Chinese characters, function words, and letters that only one language has."""
     han = len(_HAN.findall(text))
-    words = _WORDS.findall(text.lower())
-    latin = [w for w in words if not _HAN.match(w)]
-    out = {k: float(sum(w in s for w in latin)) for k, s in _SETS.items()}
+    out = dict.fromkeys(FUNCTION_WORDS, 0.0)
+    for w in filter(_SPEAKS.__contains__, _WORDS.findall(text.lower())):
+        for k in _SPEAKS[w]:
+            out[k] += 1
     if not text.isascii():
         out["de"] += 1.5 * len(_GERMAN.findall(text))
         out["es"] += 1.5 * len(_SPANISH.findall(text))
