@@ -168,7 +168,7 @@ def test_pipeline(spark):
     a = {r.query_id: r for r in p.answer(asked, 1).collect()}
     assert len(a[1].findings) == 1 and a[2].abstain_reason == "no_evidence"
     with pytest.raises(NotImplementedError):
-        serve.Pipeline(AppConfig({"flags": {"detect": "lochead"}})).detect(images)
+        serve.Pipeline(AppConfig({"flags": {"detect": "heat"}})).detect(images)
     own = serve.Pipeline(AppConfig({"flags": {"detect": "mine"}}), implementations={"detect": {"mine": lambda i: i.select("image_id", F.array().cast("array<struct<area_band:string>>").alias("rois"), F.lit(True).alias("abstained"))}})
     assert own.generate_report(images).first().abstain_reason == "no_evidence"
     assert {r.status for r in serve.tool_results(p, "retrieve_evidence", asked).collect()} == {"ok", "abstained"}
