@@ -269,3 +269,20 @@ def test_reading(spark):
     got = {r.doc_id: r.reading_level for r in reading.graded(docs, labels).collect()}
     assert set(got) == set(range(160)) and sum(got[i] == i % 4 + 1 for i in range(80, 160)) >= 72
     assert reading.graded(docs, labels.filter("false")).count() == 0 and reading.graded(docs.filter("false"), labels).count() == 0
+
+
+def test_every_graded_document_is_learned_from(spark):
+    from pyspark.sql import functions as F
+
+    styles = {1: "you can take this pill and rest at home with the soup", 2: "patients who drink alcohol should not stop the evening tablet", 4: "autonomic decompensation was independently associated with the progressive fibrosis of cohort"}
+    q = random.Random(1)
+    doc = lambda k: ". ".join(" ".join(q.sample(styles[k].split(), 8)) for _ in range(3))
+    # The highest level is given to those documents only that a sample of 3,000 in the order of a hash would leave out.
+    order = [r.id for r in spark.range(3200).orderBy(F.xxhash64("id"), "id").collect()]
+    level = {i: 4 if k >= 3000 else 1 + k % 2 for k, i in enumerate(order)}
+    docs = spark.createDataFrame([(i, doc(level[i])) for i in range(3200)] + [(9000 + k, doc(4)) for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "a", level[i]) for i in range(3200)], "doc_id long, annotator string, reading_level int")
+    got = {r.doc_id: r.reading_level for r in reading.graded(docs, labels).filter("doc_id >= 9000").collect()}
+    assert len(got) == 20 and all(v == 4 for v in got.values())
+    one, other = reading.trained(docs.repartition(7), labels), reading.trained(docs.coalesce(1), labels)
+    assert np.array_equal(one.weights["en"], other.weights["en"]) and all(np.array_equal(a, b) for a, b in zip(one.curve["en"], other.curve["en"], strict=True))
