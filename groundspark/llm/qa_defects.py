@@ -1,7 +1,8 @@
 """Problem 1: broken question-answer pairs with the type of their defect.
 
 Refusals are found by clustering response openings: distinct openings become sets of five-word shingles, MinHash bands propose
-neighbours, the Jaccard similarity (0.8) is verified, and connected openings are a cluster. A cluster that recurs across unrelated
+neighbours, the Jaccard similarity (0.8) is verified, and connected openings are a cluster; similar openings that no link connects
+yet are then searched by their rarest shingles, which is exact. A cluster that recurs across unrelated
 prompts is a template; it declines if most of its answers do. An answer that opens with such a template and otherwise says only
 what also recurs across prompts is a refusal, whatever its length. Checks for stand-ins, copies of the question, language and
 termination label the remaining defects. Whether an answer breaks off is judged by where sentences of the whole table end.
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.dedup import components
+from ..operators.dedup import _prefixes, components
 from ..session import stage
 from .canon import Canonical, fit
 from .lang import detect, scores
@@ -177,42 +178,93 @@ def forms(qa: DataFrame) -> DataFrame:
     return stage(qa.mapInPandas(part, "ord long, q string, a string, label string, opening string, declines boolean, rest array<long>"), "answers")
 
 
+def _similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (ord_a, ord_b) those whose sets (ord, s) are alike."""
+    both = F.size(F.array_intersect("sa", "sb"))
+    of = lambda x: sets.select(F.col("ord").alias(f"ord_{x}"), F.col("s").alias(f"s{x}"))
+    return pairs.join(of("a"), "ord_a").join(of("b"), "ord_b").filter(both >= SIMILARITY * (F.size("sa") + F.size("sb") - both)).select("ord_a", "ord_b")
+
+
 def _links(open_: DataFrame) -> DataFrame:
-    """ord_a, ord_b: ids of openings of which MinHash proposes and shingles confirm that they are alike. In a bucket every member is
-    compared with the most frequent one and with the one before it, so a hot bucket costs two comparisons a member."""
+    """ord_a, ord_b: ids of openings that are alike; any two alike openings are connected.
+
+    First MinHash proposes: in a bucket every member meets the most frequent one and the one before it, so a hot bucket costs two
+    comparisons a member. What is alike and still apart shares one of its rarest shingles (prefix filtering): only shingles that
+    stand in several components are joined, so openings that are connected already never meet again.
+    """
 
     def bands(batches):
         for b in batches:
             out = [(i, o, n, k) for i, o, n in zip(b["id"], b["opening"], b["n_rows"], strict=True) for k in _bands(o)]
             yield pd.DataFrame(out, columns=["id", "opening", "n_rows", "band"])
 
-    def alike(batches):
+    def hashed(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b["a"], b["b"], strict=True):
-                s, t = set(shingles(x)), set(shingles(y))
-                keep.append(len(s & t) >= SIMILARITY * len(s | t))
-            yield b.loc[keep, ["ord_a", "ord_b"]]
+            s = [sorted({xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingles(o)}) for o in b["opening"]]
+            yield pd.DataFrame({"ord": b["id"], "s": s})
 
+    sets = stage(open_.select("id", "opening").mapInPandas(hashed, "ord long, s array<long>"), "sets")
     banded = stage(open_.select("id", "opening", "n_rows").mapInPandas(bands, "id long, opening string, n_rows long, band long"), "bands")
-    hot = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("id", "opening"), F.struct("n_rows", "id")).alias("h")).filter("n > 1").select("band", "h")
+    hot = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", F.struct("n_rows", "id")).alias("h")).filter("n > 1").select("band", "h")
     some = banded.join(hot, "band")
-    heads = some.select(F.col("id").alias("ord_a"), F.col("opening").alias("a"), F.col("h.id").alias("ord_b"), F.col("h.opening").alias("b"))
+    heads = some.select(F.col("id").alias("ord_a"), F.col("h").alias("ord_b"))
     # Neighbours in the order of the text, within parts of the bucket of which none is large.
     near = Window.partitionBy("band", F.substring("opening", 1, 8)).orderBy("opening", "id")
-    follow = some.select(F.col("id").alias("ord_a"), F.col("opening").alias("a"), F.lag("id").over(near).alias("ord_b"), F.lag("opening").over(near).alias("b")).filter("ord_b is not null")
-    return heads.unionByName(follow).filter("ord_a <> ord_b").distinct().mapInPandas(alike, "ord_a long, ord_b long")
+    follow = some.select(F.col("id").alias("ord_a"), F.lag("id").over(near).alias("ord_b")).filter("ord_b is not null")
+    links = stage(_similar(sets, heads.unionByName(follow).filter("ord_a <> ord_b").distinct()), "links")
+    prefix = _prefixes(sets, SIMILARITY).join(components(links), "ord", "left").withColumn("root", F.coalesce("root", "ord"))
+    prefix = stage(prefix, "prefixes")
+    apart = prefix.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g")
+    prefix = stage(prefix.join(apart, "g", "left_semi"), "apart")
+    a, b = (prefix.select("g", F.col("ord").alias(f"ord_{x}"), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
+    left = a.join(b, "g").filter("root_a < root_b").filter(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9).select("ord_a", "ord_b").distinct()
+    return links.unionByName(_similar(sets, left))
+
+
+def _words(q):
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(q), F.lit(r"[\x{3400}-\x{9fff}]|[^\W\x{3400}-\x{9fff}]+"), F.lit(0)), lambda w: w != ""))
+
+
+def _share(x, y):
+    return F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
+
+
+def _spread(asked: DataFrame, four: DataFrame) -> DataFrame:
+    """root of the clusters two of whose prompts are unrelated; exact. asked: root, q; four: root, p (up to four of its prompts, more
+    than one).
+
+    The four settle almost every cluster that is spread. Of any other all prompts meet the four; then pairs are compared, but not
+    those that cannot be unrelated: by the triangle inequality (one less the share of words is a metric) from each of the four,
+    or as they have all words in common that the whole cluster has in common.
+    """
+    sets = four.select("root", F.transform("p", _words).alias("p"))
+    told = stage(sets.withColumn("spread", F.exists("p", lambda x: F.exists("p", lambda y: _share(x, y) < UNRELATED))), "spread")
+    rest = asked.join(told.filter("not spread").select("root", "p"), "root").select("root", "p", _words(F.col("q")).alias("w")).distinct()
+    rest = stage(rest.select("root", "w", F.size("w").alias("n"), F.xxhash64("w").alias("id"), F.transform("p", lambda x: 1 - _share(x, F.col("w"))).alias("d")), "prompts")
+    far = stage(rest.filter((F.col("n") == 0) | (F.array_max("d") > 1 - UNRELATED)).select("root").distinct(), "far")
+    rest = rest.join(far, "root", "left_anti")
+    sizes = rest.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.max("n").alias("longest"))
+    every = rest.select("root", F.explode("w").alias("word")).groupBy("root", "word").agg(F.count(F.lit(1)).alias("sets")).join(sizes.select("root", "sets"), ["root", "sets"])
+    core = sizes.join(every.groupBy("root").agg(F.count(F.lit(1)).alias("core")), "root", "left").select("root", "longest", F.coalesce("core", F.lit(0)).alias("core"))
+    # At most n_a + n_b - core words are in either, at least core in both.
+    apart = lambda n, c: F.col("core") < UNRELATED * (n - c)
+    rest = stage(rest.join(core, "root").filter(apart(F.col("n") + F.col("longest"), F.col("core"))), "undecided")
+    a, b = (rest.select("root", F.col("w").alias(f"w{x}"), F.col("n").alias(f"n{x}"), F.col("id").alias(f"id{x}"), F.col("d").alias(f"d{x}"), *(["core"] if x == "a" else [])) for x in "ab")
+    reach = F.forall(F.zip_with("da", "db", lambda x, y: x + y), lambda d: d > 1 - UNRELATED - 1e-9)
+    pairs = a.join(b, "root").filter((F.col("ida") < F.col("idb")) & apart(F.col("na") + F.col("nb"), F.col("core")) & reach & (_share(F.col("wa"), F.col("wb")) < UNRELATED))
+    return told.filter("spread").select("root").unionByName(far).unionByName(pairs.select("root").distinct())
 
 
 def templates(rows: DataFrame) -> DataFrame:
     """opening, n_rows, declines (the share of the cluster's answers that do): the openings whose cluster recurs across unrelated prompts.
 
-    rows: q, opening, declines. Distinct openings are compared, never rows. Of the prompts of a cluster four are kept, the first
-    and last by two hashes; if any two of them are unrelated, the cluster is spread.
+    rows: q, opening, declines. Distinct openings are compared, never rows. Of the prompts of a cluster four, the first and last by
+    two hashes, are looked at first; if any two prompts are unrelated, the cluster is spread.
     """
     ends = lambda c, h: [F.min_by(c, h), F.max_by(c, h)]
     h = [F.xxhash64("q"), F.xxhash64(F.lit(1), "q")]
-    open_ = rows.filter("opening is not null and opening <> ''").groupBy("opening").agg(
+    rows = rows.filter("opening is not null and opening <> ''")
+    open_ = rows.groupBy("opening").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("declines"), 1)).alias("n_declines"), F.array_distinct(F.array(*ends("q", h[0]), *ends("q", h[1]))).alias("prompts")
     )
     open_ = stage(open_.withColumn("id", F.xxhash64("opening")), "openings")
@@ -220,10 +272,7 @@ def templates(rows: DataFrame) -> DataFrame:
     placed = stage(open_.join(root, "id", "left").withColumn("root", F.coalesce("root", "id")), "clusters")
     q = placed.select("root", F.explode("prompts").alias("q")).distinct()
     four = q.groupBy("root").agg(F.array_distinct(F.array(*ends("q", h[0]), *ends("q", h[1]))).alias("p")).filter(F.size("p") > 1)
-    word = lambda x: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[\x{3400}-\x{9fff}]|[^\W\x{3400}-\x{9fff}]+"), F.lit(0)), lambda w: w != ""))
-    share = lambda x, y: F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
-    sets = four.select("root", F.transform("p", word).alias("w"))
-    spread = sets.filter(F.exists("w", lambda x: F.exists("w", lambda y: share(x, y) < UNRELATED))).select("root")
+    spread = _spread(rows.select("q", "opening").join(placed.select("opening", "root"), "opening").select("root", "q"), four)
     sums = placed.join(spread, "root", "left_semi").groupBy("root").agg(F.sum("n_rows").alias("rows"), (F.sum("n_declines") / F.sum("n_rows")).alias("declines"))
     return placed.join(sums, "root").select("opening", F.col("rows").alias("n_rows"), "declines")
 

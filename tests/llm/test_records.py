@@ -58,6 +58,44 @@ def test_clusters_keep_nearly_all_similar_openings(spark):
     assert len(alike) > 100 and sum(root.get(x) is not None and root.get(x) == root.get(y) for x, y in alike) >= 0.95 * len(alike)
 
 
+def test_no_similar_openings_stay_apart(spark):
+    # Openings that are alike only by way of others: neither the most frequent one of a bucket nor the neighbour in order is alike.
+    r = random.Random(6)
+    openings = set()
+    for k in range(12):
+        base = [f"b{k}w{i}" for i in range(34)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(r.choice([1, 2])):
+                w[r.choice([0, 1, 2, 31, 32, 33])] = f"x{r.randrange(9)}"
+            openings.add(" ".join(w[r.randrange(3) :]))
+    openings = sorted(openings)
+    sets = {o: set(qa_defects.shingles(o)) for o in openings}
+    alike = [(x, y) for i, x in enumerate(openings) for y in openings[:i] if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    df = spark.createDataFrame([(o, 1, i) for i, o in enumerate(openings)], "opening string, n_rows long, id long")
+    root = {openings[x.ord]: x.root for x in qa_defects.components(qa_defects._links(df)).collect()}
+    assert len(alike) > 1000 and all(root.get(x) is not None and root[x] == root[y] for x, y in alike)
+
+
+def test_any_two_unrelated_prompts_spread_a_cluster(spark):
+    from pyspark.sql import functions as F
+
+    def middle(prompts, others):
+        """The first of the prompts that neither hash puts first or last among the others."""
+        h = {q: (x, y) for q, x, y in spark.createDataFrame([(q,) for q in [*prompts, *others]], "q string").select("q", F.xxhash64("q"), F.xxhash64(F.lit(1), "q")).collect()}
+        return next(q for q in prompts if all(min(h[o][i] for o in others) < h[q][i] < max(h[o][i] for o in others) for i in (0, 1)))
+
+    related = [f"how is the red Zubex tablet stored safely {i}" for i in range(40)]
+    alone = middle([f"can my son number {i} swim with asthma" for i in range(40)], related)
+    # Both share six words of eight with the others, but four with each other.
+    x = middle([f"how is the red Zubex tablet cooled x{i}" for i in range(40)], related)
+    x2 = middle([f"y{i} z{i} the red Zubex tablet stored safely" for i in range(40)], related)
+    asked = {"one odd prompt": [*related, alone], "none": related, "two ends": [*related, x, x2]}
+    rows = [(q, f"{k} opens an answer in just this way every time", False) for k, qs in asked.items() for q in qs]
+    got = {r.opening.split(" opens")[0]: r.n_rows for r in qa_defects.templates(spark.createDataFrame(rows, "q string, opening string, declines boolean")).collect()}
+    assert got == {"one odd prompt": 41, "two ends": 42}
+
+
 def test_only_whole_contact_details_end_an_answer(spark):
     cut = ["Family members caring for the patient are asked to", "Patients below 139 kilograms should", "Ring the phone of the ward and", "Keep the next of kin informed of", "Staff contact the patient, who slowly reduces headaches and", "慢性阻塞性气道疾病患者每隔212日常伴有电解质紊乱与"]
     whole = ["Tel: 07700 900471", "Reach us at x.y@mail.example.org", "petra (at) inbox (dot) example (dot) com", "Regards, Petra Thornshaw", "Next of kin: Petra Thornshaw", "Address: 46 Millrace Lane, Hexley 58098", "SSN Z34422954", "患者姓名：尉迟思齐", "住址：青石巷3号4单元316室", "Their reach is [PHONE]"]
