@@ -1,7 +1,7 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy: training with Adam, emissions, and Viterbi decoding.
 
-Both directions and all four gates of a step are one contiguous array of gates x directions x windows x units, so that a step is
-one gather, one batched product and a few passes over memory.
+Both directions and all four gates of a step are one contiguous array, so that a step is one gather, one batched product and a few
+passes over memory.
 """
 
 from __future__ import annotations
@@ -91,15 +91,14 @@ class Tagger:
         table[3, :, PAD] = 0
         return np.ascontiguousarray(table.reshape(8 * n, self.hidden)), p["wh"] * half
 
-    def _run(self, x: np.ndarray, keep: bool):
+    def _run(self, x: np.ndarray):
         """Outputs, directions x steps x windows x units; and what the gradients need."""
         (steps, n), size, units = x.shape, len(self.p["emb"]), self.hidden
         table, wh = self._table()
-        wh = wh if keep else 0.5 * wh
         offset = (np.arange(8) * size).reshape(4, 2, 1)
         at = np.empty((4, 2, n), np.int64)
         g, m = np.empty((4, 2, n, units), np.float32), np.empty((4, 2, n, units), np.float32)
-        h, c, tc = (np.zeros((2, n, units), np.float32) for _ in range(3))
+        h, c = (np.zeros((2, n, units), np.float32) for _ in range(2))
         out, memory = np.empty((2, steps, n, units), np.float32), []
         for t in range(steps):
             at[:] = offset
@@ -109,38 +108,57 @@ class Tagger:
             np.matmul(h, wh, out=m)
             g += m
             np.tanh(g, out=g)
-            if keep:
-                g[:3] += 1
-                g[:3] *= 0.5
-                before, last = c, h
-                c = g[1] * c + g[0] * g[3]
-                tc = np.tanh(c)
-                h = g[2] * tc
-                memory.append((g.copy(), before, tc, last))
-            else:
-                # h is kept doubled here, which the weights it meets make up for.
-                i, f, o, z = g
-                f += 1
-                f *= c
-                i += 1
-                i *= z
-                f += i
-                np.multiply(f, 0.5, out=c)
-                np.tanh(c, out=tc)
-                o += 1
-                np.multiply(o, tc, out=h)
+            g[:3] += 1
+            g[:3] *= 0.5
+            before, last = c, h
+            c = g[1] * c + g[0] * g[3]
+            tc = np.tanh(c)
+            h = g[2] * tc
+            memory.append((g.copy(), before, tc, last))
             out[0, t] = h[0]
             out[1, steps - 1 - t] = h[1]
         return out, memory
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """tags x steps x windows. x: steps x windows."""
-        h, _ = self._run(x, False)
-        flat, out = h.reshape(2, -1, self.hidden), 0.5 * self.p["out"]
-        e = out[0].T @ flat[0].T
-        e += out[1].T @ flat[1].T
-        e += self.p["bias"][:, None]
-        return e.reshape(TAGS, *x.shape)
+        """tags x steps x windows. x: steps x windows.
+
+        As _run(), with windows last: one product takes the last outputs and the values of the characters; what a step says of the tags is added at once, so that no outputs are kept."""
+        p, (steps, n), units = self.p, x.shape, self.hidden
+        half = np.array([0.5, 0.5, 0.5, 1], np.float32).reshape(4, 1, 1, 1)
+        # The parts of the sums: outputs (doubled, which the weights make up for), values of the character, one, and one for a blank,
+        # which closes all gates.
+        blank = np.zeros((4, 2, 1, units), np.float32)
+        blank[:3] = -20
+        w = np.concatenate([0.5 * p["wh"] * half, p["wx"] * half, p["b"] * half, blank], axis=2)
+        w = np.ascontiguousarray(w.transpose(1, 0, 3, 2)).reshape(2, 4 * units, -1)
+        values = np.vstack([p["emb"].T, np.ones(len(p["emb"]), np.float32), np.zeros(len(p["emb"]), np.float32)])
+        values[:, PAD] = 0
+        values[-1, PAD] = 1
+        out = 0.5 * np.ascontiguousarray(p["out"].transpose(0, 2, 1))
+        own, said = np.zeros((2, w.shape[2], n), np.float32), np.empty((2, TAGS, n), np.float32)
+        g, c, tc = np.empty((2, 4 * units, n), np.float32), *(np.zeros((2, units, n), np.float32) for _ in range(2))
+        h, char = own[:, :units], own[:, units:]
+        i, f, o, z = (g[:, k * units : (k + 1) * units] for k in range(4))
+        e = np.empty((TAGS, steps, n), np.float32)
+        e[:] = p["bias"][:, None, None]
+        for t in range(steps):
+            np.take(values, x[t], axis=1, out=char[0], mode="clip")
+            np.take(values, x[steps - 1 - t], axis=1, out=char[1], mode="clip")
+            np.matmul(w, own, out=g)
+            np.tanh(g, out=g)
+            f += 1
+            f *= c
+            i += 1
+            i *= z
+            f += i
+            np.multiply(f, 0.5, out=c)
+            np.tanh(c, out=tc)
+            o += 1
+            np.multiply(o, tc, out=h)
+            np.matmul(out, h, out=said)
+            e[:, t] += said[0]
+            e[:, steps - 1 - t] += said[1]
+        return e
 
     def _loss(self, e: np.ndarray, y: np.ndarray, mask: np.ndarray):
         """CRF loss and its gradients, by forward and backward sums that are scaled at every step.
@@ -172,7 +190,7 @@ class Tagger:
     def _gradients(self, x: np.ndarray, y: np.ndarray):
         """x, y: windows x steps."""
         p, mask, units = self.p, x != PAD, self.hidden
-        h, memory = self._run(x.T, True)
+        h, memory = self._run(x.T)
         n, steps = x.shape
         loss, ge, gt = self._loss(h[0] @ p["out"][0] + h[1] @ p["out"][1] + p["bias"], y, mask)
         flat = ge.reshape(-1, TAGS)

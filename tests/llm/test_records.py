@@ -264,6 +264,18 @@ def test_the_filter_of_usual_words_is_that_of_the_cluster(spark):
     assert grams["^l"] == 3 and pii.survey(df.filter("false"), "text")[0] == {}
 
 
+def test_emissions_are_those_of_training():
+    r = np.random.default_rng(2)
+    t = Tagger({chr(97 + i): i + 3 for i in range(20)}, 1)
+    for k in ("b", "bias"):
+        t.p[k] += r.standard_normal(t.p[k].shape).astype(np.float32)
+    x = r.integers(1, 23, (30, 40))
+    x[20:, :15] = 0
+    h, _ = t._run(x)
+    want = h[0] @ t.p["out"][0] + h[1] @ t.p["out"][1] + t.p["bias"]
+    assert np.abs(t.emissions(x) - want.transpose(2, 0, 1)).max() < 1e-5
+
+
 def test_windows_and_bounds_lose_no_path():
     r, q = np.random.default_rng(3), random.Random(3)
     t = Tagger(Tagger.letters(["abcdefgh 123"]), hidden=8, fold={0x200B: ""})
