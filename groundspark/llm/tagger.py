@@ -122,43 +122,58 @@ class Tagger:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """tags x steps x windows. x: steps x windows.
 
-        As _run(), with windows last: one product takes the last outputs and the values of the characters; what a step says of the tags is added at once, so that no outputs are kept."""
+        As _run(), with windows last, and both directions within a row: one product takes the last outputs and the values of the
+        characters and says of the tags what the last step told, so that no outputs are kept, and gates lie side by side."""
         p, (steps, n), units = self.p, x.shape, self.hidden
         half = np.array([0.5, 0.5, 0.5, 1], np.float32).reshape(4, 1, 1, 1)
         # The parts of the sums: outputs (doubled, which the weights make up for), values of the character, one, and one for a blank,
         # which closes all gates.
         blank = np.zeros((4, 2, 1, units), np.float32)
         blank[:3] = -20
-        w = np.concatenate([0.5 * p["wh"] * half, p["wx"] * half, p["b"] * half, blank], axis=2)
-        w = np.ascontiguousarray(w.transpose(1, 0, 3, 2)).reshape(2, 4 * units, -1)
+        w = np.concatenate([0.5 * p["wh"] * half, p["wx"] * half, p["b"] * half, blank], axis=2)[[2, 0, 1, 3]]
+        w = w.transpose(1, 0, 3, 2).reshape(2, 4 * units, -1)
+        say = np.zeros((2, TAGS, w.shape[2]), np.float32)
+        say[:, :, :units] = 0.5 * p["out"].transpose(0, 2, 1)
+        w = np.ascontiguousarray(np.concatenate([say, w], axis=1))
         values = np.vstack([p["emb"].T, np.ones(len(p["emb"]), np.float32), np.zeros(len(p["emb"]), np.float32)])
         values[:, PAD] = 0
         values[-1, PAD] = 1
-        out = 0.5 * np.ascontiguousarray(p["out"].transpose(0, 2, 1))
-        own, said = np.zeros((2, w.shape[2], n), np.float32), np.empty((2, TAGS, n), np.float32)
-        g, c, tc = np.empty((2, 4 * units, n), np.float32), *(np.zeros((2, units, n), np.float32) for _ in range(2))
-        h, char = own[:, :units], own[:, units:]
-        i, f, o, z = (g[:, k * units : (k + 1) * units] for k in range(4))
-        e = np.empty((TAGS, steps, n), np.float32)
-        e[:] = p["bias"][:, None, None]
+        # Both directions in one row; spare columns, as rows whose starts lie a page apart would share few lines of the cache.
+        wide = 2 * n + 16
+        own, tc = np.zeros((w.shape[2], wide), np.float32), np.empty((units, wide), np.float32)
+        sides = lambda v: v[:, : 2 * n].reshape(len(v), 2, n).transpose(1, 0, 2)
+        h, char, last = own[:units], own[units:], sides(own)
+        # Rows: tags, output gate, input gate, forget gate, cell, memory.
+        g = np.zeros((TAGS + 5 * units, wide), np.float32)
+        o, i, f, c = (g[TAGS + k * units : TAGS + (k + 1) * units] for k in (0, 1, 2, 4))
+        gates, opened, let, what = g[TAGS:-units], g[TAGS : TAGS + 3 * units], g[TAGS + units : TAGS + 3 * units], g[TAGS + 3 * units :]
+        sums, said = sides(g[:-units]), sides(g[:TAGS])
+        one, half = np.ones((), np.float32), np.full((), 0.5, np.float32)
+        at = np.zeros(wide, np.intp)
+        bias, e = p["bias"][:, None], np.empty((steps, TAGS, n), np.float32)
+
+        def tell(t: int) -> None:
+            """Adds what the outputs of step t say: of place t, and of the place as far from the end. The first at a place adds the bias."""
+            back = steps - 1 - t
+            np.add(e[t] if back < t else bias, said[0], out=e[t])
+            np.add(e[back] if back <= t else bias, said[1], out=e[back])
+
         for t in range(steps):
-            np.take(values, x[t], axis=1, out=char[0], mode="clip")
-            np.take(values, x[steps - 1 - t], axis=1, out=char[1], mode="clip")
-            np.matmul(w, own, out=g)
-            np.tanh(g, out=g)
-            f += 1
-            f *= c
-            i += 1
-            i *= z
-            f += i
-            np.multiply(f, 0.5, out=c)
+            at[:n], at[n : 2 * n] = x[t], x[steps - 1 - t]
+            np.take(values, at, axis=1, out=char, mode="wrap")
+            np.matmul(w, last, out=sums)
+            if t:
+                tell(t - 1)
+            np.tanh(gates, out=gates)
+            np.add(opened, one, out=opened)
+            np.multiply(let, what, out=let)
+            np.add(i, f, out=c)
+            np.multiply(c, half, out=c)
             np.tanh(c, out=tc)
-            o += 1
             np.multiply(o, tc, out=h)
-            np.matmul(out, h, out=said)
-            e[:, t] += said[0]
-            e[:, steps - 1 - t] += said[1]
-        return e
+        np.matmul(w[:, :TAGS], last, out=said)
+        tell(steps - 1)
+        return e.transpose(1, 0, 2)
 
     def _loss(self, e: np.ndarray, y: np.ndarray, mask: np.ndarray):
         """CRF loss and its gradients, by forward and backward sums that are scaled at every step.

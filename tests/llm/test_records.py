@@ -276,6 +276,22 @@ def test_emissions_are_those_of_training():
     assert np.abs(t.emissions(x) - want.transpose(2, 0, 1)).max() < 1e-5
 
 
+def test_emissions_of_odd_and_even_windows():
+    """The two directions meet at one place, between two, or at once."""
+    from groundspark.llm.tagger import PAD
+
+    t, r = Tagger({chr(97 + i): i + 3 for i in range(20)}, 1), np.random.default_rng(4)
+    t.p["bias"] += r.standard_normal(t.p["bias"].shape).astype(np.float32)
+    for steps in (1, 2, 3, 8, 9):
+        x = r.integers(1, 23, (steps, 5))
+        x[steps // 2 + 1 :, 3] = PAD
+        h, _ = t._run(x)
+        want = h[0] @ t.p["out"][0] + h[1] @ t.p["out"][1] + t.p["bias"]
+        got = t.emissions(x)
+        assert got.shape == (len(KINDS) + 1, steps, 5)
+        assert np.abs(got - want.transpose(2, 0, 1)).max() < 1e-5
+
+
 def test_windows_and_bounds_lose_no_path():
     r, q = np.random.default_rng(3), random.Random(3)
     t = Tagger(Tagger.letters(["abcdefgh 123"]), hidden=8, fold={0x200B: ""})
