@@ -24,7 +24,8 @@ HAN = "㐀-䶿一-鿿豈-﫿𠀀-𲎯"
 _WORD = re.compile(rf"[{HAN}]|[^\W_{HAN}]+")
 _IS_HAN = re.compile(rf"[{HAN}]")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-BITS = 1024
+#: Bits of a fingerprint, and of an element those that tell its bit.
+BITS, CELLS = 1024, 18
 
 
 def words(form: str) -> list[str]:
@@ -85,13 +86,36 @@ def script(n, han):
     return np.where(4 * han <= n, 0, np.where(4 * han >= 3 * n, 2, 1)).astype(np.int8)
 
 
-def fingerprints(e: np.ndarray, n: np.ndarray) -> np.ndarray:
+def fingerprints(e: np.ndarray, n: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
     """Parity bits of bags, a row of bytes each: every element flips one bit, so the Hamming distance of two fingerprints is at
-    most the size of the symmetric difference of the bags."""
-    at = np.repeat(np.arange(len(n), dtype=np.int64) * BITS, n) + (e & np.uint32(BITS - 1))
+    most the size of the symmetric difference of the bags, whatever bit an element has. places: see own_bits()."""
+    bit = e & np.uint32(BITS - 1) if places is None else places[e >> np.uint32(32 - CELLS)]
+    at = np.repeat(np.arange(len(n), dtype=np.int64) * BITS, n) + bit
     return np.packbits((np.bincount(at, minlength=len(n) * BITS) & 1).astype(np.uint8).reshape(len(n), BITS), axis=1)
 
 
+def own_bits(groups: list[list[np.ndarray]]) -> np.ndarray:
+    """The bit of every cell of elements (their first CELLS bits). The most frequent elements of the sampled bags have bits of
+    their own, which keeps unrelated fingerprints further apart; those of one group (a script) share none. As many are given out
+    as leave four bits for each other element of a mean bag, or the most bits for each."""
+    ranked, own = [], BITS
+    for bags in groups:
+        if not bags:
+            continue
+        cell, times = np.unique(np.concatenate(bags) >> np.uint32(32 - CELLS), return_counts=True)
+        order = np.lexsort((cell, -times))
+        ranked.append(cell[order])
+        k = np.arange(BITS - 63)
+        other = (times.sum() - np.r_[0, np.cumsum(times[order]), np.full(BITS, times.sum())][: len(k)]) / len(bags)
+        room = (BITS - k) / np.maximum(other, 1e-9)
+        own = min(own, int(k[room >= 4].max() if (room >= 4).any() else room.argmax()))
+    own = own if ranked else 0
+    out = (own + (np.arange(1 << CELLS, dtype=np.uint64) * _GOLD >> np.uint64(40)) % np.uint64(BITS - own)).astype(np.uint16)
+    for cells in ranked:
+        out[cells[:own]] = np.arange(len(cells[:own]))
+    return out
+
+
 def bag_id(e: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(e.tobytes())
 

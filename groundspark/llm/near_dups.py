@@ -7,7 +7,8 @@ their Hamming distance: the search radius is exact, so no near pair can be lost.
 The tree: the first vantage point is the empty text, from which the distance is the length (bands of ratio 1.25, so partners
 lie in the same or the next band); below it, vantage points from a bounded sample of fingerprints split at the median
 distance. A class has one home leaf and queries every leaf that the triangle bounds cannot rule out. Leaves are held in blocks
-and queries come in parts, so that every task compares at most BLOCK homes with about as many queries, whatever the size of a band.
+and queries come in parts, so that every task compares at most BLOCK homes with about as many queries, whatever the size of a band. Within a block a product
+of projected fingerprints rules out most pairs: a projection never lengthens a distance, so it loses none either.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ..operators.dedup import components
 from ..session import stage
 from .canon import Canonical, fit
-from .near import BITS, SHARE, Bags, bag_id, expanded, fingerprints, long_enough, script, verified
+from .near import BITS, SHARE, Bags, bag_id, expanded, fingerprints, long_enough, own_bits, script, verified
 from .sample import bounded
 
 #: Fingerprints from which vantage points are chosen (a bound, whatever the corpus), classes wanted in a leaf, classes that a
@@ -31,22 +32,36 @@ SAMPLE, LEAF, BLOCK = 3000, 30000, 30000
 #: Bits of the bitmap that tells which rows take the exact test (a fixed size; bits set in vain only cost a comparison).
 FILTER_BITS = 1 << 23
 WORDS = BITS // 64
+#: Homes from which a task rules pairs out by axes, axes at most, queries and homes that are multiplied at once, pairs tested at once.
+MANY, AXES, ROWS, COLUMNS, TESTED = 2000, 128, 512, 1024, 4096
 
 
 def _place() -> Column:
     return F.pmod(F.xxhash64("tbl", "ord"), F.lit(FILTER_BITS))
 
 
-def bagged(df: DataFrame, model: Canonical, wanted: np.ndarray | None = None) -> DataFrame:
+def placed(df: DataFrame, model: Canonical) -> np.ndarray:
+    """The bits of elements from a bounded sample of texts."""
+    bags, groups = Bags(model), [[], []]
+    texts = [r.text for r in bounded(df.filter("length(text) >= 50"), SAMPLE, "text", keys=("tbl", "ord"))]
+    h, n, han = bags.hashed(texts)
+    e, ends = bags.elements(h, n), np.cumsum(n).tolist()
+    for x, y, own in zip([0, *ends], ends, (2 * han > n).tolist(), strict=False):
+        groups[own].append(e[x:y])
+    return own_bits(groups)
+
+
+def bagged(df: DataFrame, model: Canonical, wanted: np.ndarray | None = None, places: np.ndarray | None = None) -> DataFrame:
     """tbl, ord, text -> tbl, ord, cid, n, script, fp, els for the rows long enough to be near another. els is the bag.
 
     wanted: a bitmap of FILTER_BITS bits; only rows whose place is set are treated, and only they have els.
+    places: the bits of elements, as of placed().
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((model.counts, wanted))
+    shared = spark.sparkContext.broadcast((model.counts, wanted, places))
 
     def part(batches):
-        counts, bitmap = shared.value
+        counts, bitmap, bits = shared.value
         bags = Bags(Canonical(counts))
         for whole in batches:
             if bitmap is not None:
@@ -64,7 +79,7 @@ def bagged(df: DataFrame, model: Canonical, wanted: np.ndarray | None = None) ->
                 els = [e[x:y] for x, y in zip([0, *ends], ends, strict=False)]
                 out = {"tbl": some["tbl"].to_numpy()[keep], "ord": some["ord"].to_numpy()[keep]}
                 if bitmap is None:
-                    yield pd.DataFrame(out | {"cid": [bag_id(x) for x in els], "n": n.astype(np.int32), "script": script(n, han), "fp": [x.tobytes() for x in fingerprints(e, n)]})
+                    yield pd.DataFrame(out | {"cid": [bag_id(x) for x in els], "n": n.astype(np.int32), "script": script(n, han), "fp": [x.tobytes() for x in fingerprints(e, n, bits)]})
                 else:
                     yield pd.DataFrame(out | {"els": [x.tobytes() for x in els]})
 
@@ -201,35 +216,126 @@ def within(h: np.ndarray, folds: dict[int, np.ndarray], lo: int, hi: int, q: np.
     return some + lo
 
 
+def unpacked(fps: np.ndarray) -> np.ndarray:
+    return np.unpackbits(fps.view(np.uint8), axis=1).astype(np.float32)
+
+
+def axes(fps: np.ndarray, n: np.ndarray) -> np.ndarray | None:
+    """Orthonormal axes (bits x axes) along which sampled fingerprints (a row each, ordered by n) differ most: along them no two are
+    further apart than their distance. As many as cost least by the pairs that they leave in the other half of the sample; None if comparing words of bits does."""
+    at = np.linspace(0, len(fps) - 1, min(len(fps), 2 * MANY)).astype(np.int64)
+    x = unpacked(fps[at])
+    x -= x.mean(axis=0)
+    x, at, judged = x[::2], at[1::2], x[1::2]
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((BITS, AXES), dtype=np.float32)
+    for _ in range(4):
+        v = np.linalg.qr(x.T @ (x @ v))[0]
+    v = v @ np.linalg.eigh(v.T @ (x.T @ (x @ v)))[1][:, ::-1]
+    v = np.ascontiguousarray(np.linalg.qr(v)[0])
+    # Pairs of like length: places in the order of n that are not far apart.
+    i = rng.integers(0, len(at), 4000)
+    j = np.minimum(i + rng.integers(1, max(2, len(at) // 4), len(i)), len(at) - 1)
+    i, j = i[i < j], j[i < j]
+    z = judged @ v
+    d = np.cumsum((z[i] - z[j]) ** 2, axis=1)
+    left = (d <= (n[at[i]] - (2 * SHARE - 1) * n[at[j]])[:, None]).mean(axis=0)
+    # In ns a pair, as measured: what a product has besides, an axis, a test of all bits; a comparison of words.
+    cost = 1 + 0.03 * np.arange(1, AXES + 1) + 120 * left
+    k = int(cost.argmin())
+    return np.ascontiguousarray(v[:, : k + 1]) if cost[k] < 12 else None
+
+
+def where(b: np.ndarray) -> np.ndarray:
+    """The places of the few that are true, eight looked at together."""
+    b = b.reshape(-1)
+    if len(b) % 8:
+        return np.flatnonzero(b)
+    at = np.flatnonzero(np.packbits(b))
+    k = np.flatnonzero(b.reshape(-1, 8)[at])
+    return at[k >> 3] * 8 + (k & 7)
+
+
+class Homes:
+    """The homes of a block, ordered by n, and the pairs of queries and homes whose fingerprints are as close as those of near texts."""
+
+    def __init__(self, rows: list[tuple]):
+        rows.sort(key=lambda x: x[:2])
+        self.n = np.array([x[0] for x in rows], dtype=np.int64)
+        self.most = np.floor((2 * SHARE - 1) * self.n - 1e-9).astype(np.int64)
+        self.id = np.array([x[1] for x in rows], dtype=np.int64)
+        self.fp = np.frombuffer(b"".join(x[2] for x in rows), dtype=np.uint64).reshape(-1, WORDS)
+        self.columns, self.folds = None, {}
+        self.axes = axes(self.fp, self.n) if len(rows) >= MANY else None
+        if self.axes is not None:
+            # -2 xy + (xx - n) + (yy + most) <= 0 is one product; the middle of the axes is put to 0, so that values are small.
+            self.middle = unpacked(self.fp[:: max(1, len(rows) // MANY)]).mean(axis=0) @ self.axes
+            self.right = np.empty((self.axes.shape[1] + 2, len(rows)), dtype=np.float32)
+            for i in range(0, len(rows), COLUMNS):
+                y = self.along(self.fp[i : i + COLUMNS])
+                self.right[:-2, i : i + COLUMNS] = y.T
+                self.right[-1, i : i + COLUMNS] = (y * y).sum(axis=1) + self.most[i : i + COLUMNS]
+            self.right[-2] = 1
+
+    def along(self, fps: np.ndarray) -> np.ndarray:
+        return unpacked(fps) @ self.axes - self.middle
+
+    def close(self, n: np.ndarray, fps: np.ndarray):
+        """Per few queries (n, and fingerprints, a row each): places among the queries and among the homes. Each pair is found from
+        the shorter text."""
+        lo, hi = np.searchsorted(self.n, n), np.searchsorted(self.n, (n / SHARE + 1e-9).astype(np.int64), side="right")
+        if self.axes is None:
+            if self.columns is None:
+                self.columns = np.ascontiguousarray(self.fp.T)
+            for i in np.nonzero(lo < hi)[0].tolist():
+                k = within(self.columns, self.folds, int(lo[i]), int(hi[i]), fps[i], int(n[i]), self.most)
+                yield np.full(len(k), i), k
+            return
+        order = np.argsort(n, kind="stable")
+        for at in range(0, len(order), ROWS):
+            q = order[at : at + ROWS]
+            x = self.along(fps[q])
+            left = np.column_stack([-2 * x, (x * x).sum(axis=1) - n[q], np.ones(len(q), dtype=np.float32)]).astype(np.float32)
+            # Rounding: of sums of at most AXES + 2 values of 32 bits.
+            slack = np.float32(0.1 + 4e-5 * (BITS + n[q[-1]] / SHARE))
+            for c in range(int(lo[q].min()), int(hi[q].max()), COLUMNS):
+                end = min(c + COLUMNS, int(hi[q].max()))
+                i, j = np.divmod(where(left @ self.right[:, c:end] <= slack), end - c)
+                i, j = q[i], j + c
+                fit = (j >= lo[i]) & (j < hi[i])
+                i, j = i[fit], j[fit]
+                for s in range(0, len(i), TESTED):
+                    a, b = i[s : s + TESTED], j[s : s + TESTED]
+                    d = self.fp.take(b, axis=0)
+                    d ^= fps.take(a, axis=0)
+                    near = np.bitwise_count(d).sum(axis=1, dtype=np.int64) <= n[a] - self.most[b]
+                    yield a[near], b[near]
+
+
 def _searching(tables: list[str]):
     def search(batches):
         """Rows sorted by shard, block, part, kind: the homes of a block are held, the queries stream past them."""
-        at, homes, h_n, h_fp, h_id, h_most, folds = None, [], None, None, None, None, {}
-        for b in batches:
-            out = []
-            keys = list(zip(b["shard"].tolist(), b["block"].tolist(), b["part"].tolist(), strict=True))
-            for key, kind, n, cid, raw in zip(keys, b["kind"].tolist(), b["n"].tolist(), b["cid"], b["fp"], strict=True):
+        at, rows, homes = None, [], None
+        for batch in batches:
+            keys = batch[["shard", "block", "part", "kind"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else []
+            for x, y in zip(starts, [*starts[1:], len(keys)], strict=True):
+                *key, kind = keys[x].tolist()
+                n, cid, raw = (batch[c].iloc[x:y] for c in ("n", "cid", "fp"))
                 if key != at:
-                    at, homes, h_fp, folds = key, [], None, {}
+                    at, rows, homes = key, [], None
                 if kind == 0:
-                    homes.append((n, cid, raw))
+                    rows += zip(n.tolist(), cid.tolist(), raw, strict=True)
                     continue
-                if h_fp is None:
-                    homes.sort(key=lambda x: x[:2])
-                    h_n = np.array([x[0] for x in homes], dtype=np.int64)
-                    h_most = np.floor((2 * SHARE - 1) * h_n - 1e-9).astype(np.int64)
-                    h_id = [x[1] for x in homes]
-                    h_fp = np.ascontiguousarray(np.frombuffer(b"".join(x[2] for x in homes), dtype=np.uint64).reshape(-1, WORDS).T)
-                # Each pair is searched once, from the shorter text (then the smaller id).
-                lo, hi = int(np.searchsorted(h_n, n)), int(np.searchsorted(h_n, int(n / SHARE + 1e-9), side="right"))
-                if lo >= hi:
+                if not rows:
                     continue
-                for k in within(h_fp, folds, lo, hi, np.frombuffer(raw, dtype=np.uint64), n, h_most).tolist():
-                    other = h_id[k]
-                    if h_n[k] > n or other > cid:
-                        out.append((tables[key[0]], cid, other))
-            if out:
-                yield pd.DataFrame(out, columns=["tbl", "cid_a", "cid_b"])
+                homes = homes or Homes(rows)
+                n, cid = n.to_numpy(np.int64), cid.to_numpy(np.int64)
+                for i, k in homes.close(n, np.frombuffer(b"".join(raw), dtype=np.uint64).reshape(-1, WORDS)):
+                    # Of texts of one length the pair is found from the smaller id.
+                    keep = (homes.n[k] > n[i]) | (homes.id[k] > cid[i])
+                    if keep.any():
+                        yield pd.DataFrame({"tbl": tables[key[0]], "cid_a": cid[i[keep]], "cid_b": homes.id[k[keep]]})
 
     return search
 
@@ -258,7 +364,7 @@ def near_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     share a class, whatever their number.
     """
     model = Canonical(fit(df, "text"))
-    rows = stage(bagged(df, model), "bags")
+    rows = stage(bagged(df, model, places=placed(df, model)), "bags")
     heads = rows.groupBy("tbl", "cid").agg(F.min("ord").alias("head"))
     members = rows.select("tbl", "ord", "cid").join(heads, ["tbl", "cid"]).select("tbl", "ord", F.col("head").alias("cid"))
     reps = stage(rows.join(heads.select("tbl", "cid", F.col("head").alias("ord")), ["tbl", "cid", "ord"], "left_semi").select("tbl", F.col("ord").alias("cid"), "n", "script", "fp"), "classes")

@@ -96,3 +96,65 @@ def test_near_texts_of_mixed_scripts_and_groups(spark):
     raw, nodes = df.drop("tbl"), df.drop("tbl").filter("ord > 2")
     got = {(r.tbl, r.ord): (r.class_ord, r.n_copies, r.n_links, r.group_ord) for r in near_dups.groups(raw, nodes).collect()}
     assert got == {("raw_records", 0): (0, 1, 2, 0), ("raw_records", 1): (1, 1, 2, 0), ("raw_records", 2): (2, 1, 2, 0), ("raw_records", 3): (3, 2, 0, 3), ("raw_records", 4): (3, 2, 0, 3), ("knowledge_nodes", 3): (3, 2, 0, 3), ("knowledge_nodes", 4): (3, 2, 0, 3)}
+
+
+def _phrased(count: int, seed: int):
+    """Bags of texts made of phrases, each with a near one; the frequent and the rare words are those of all texts."""
+    import numpy as np
+
+    from groundspark.llm.near import Bags
+
+    r = np.random.default_rng(seed)
+    phrases = r.integers(1, 1 << 47, (120, 6)).astype(np.uint64) << np.uint64(1)
+    flat, sizes = [], []
+    for _ in range(count):
+        w = phrases[r.choice(120, int(r.integers(22, 28)), replace=False)].ravel()
+        other = w.copy()
+        cut = int(r.integers(1, int(0.2 * len(w))))
+        other[r.choice(len(w), cut, replace=False)] = r.integers(1, 1 << 47, cut).astype(np.uint64) << np.uint64(1)
+        flat += [w, other]
+        sizes += [len(w), len(w)]
+    n = np.array(sizes)
+    return Bags.elements(np.concatenate(flat), n), n
+
+
+def test_axes_leave_few_pairs_and_lose_none(monkeypatch):
+    import numpy as np
+
+    from groundspark.llm.near import fingerprints, own_bits, shared
+
+    e, n = _phrased(1200, 5)
+    bags = np.split(e, np.cumsum(n)[:-1])
+    fps = fingerprints(e, n, own_bits([bags[:1000], []])).view(np.uint64)
+    for a, b in np.random.default_rng(1).integers(0, len(n), (300, 2)):
+        assert near_dups.distances(fps[a], fps[b]) <= n[a] + n[b] - 2 * shared(bags[a], bags[b])
+    apart = lambda x: np.median([near_dups.distances(x[::2], y) for y in x[:200:2]])
+    assert apart(fps) > 1.1 * apart(fingerprints(e, n).view(np.uint64))
+
+    tested = []
+    count = np.bitwise_count
+    homes = near_dups.Homes([(int(k), i, f.tobytes()) for i, (k, f) in enumerate(zip(n, fps, strict=True))])
+    assert homes.axes is not None
+    monkeypatch.setattr(np, "bitwise_count", lambda x: tested.append(len(x)) or count(x))
+    got = {(int(i), int(homes.id[k])) for x, y in homes.close(n, fps) for i, k in zip(x, y, strict=True)}
+    monkeypatch.undo()
+    d = np.array([near_dups.distances(fps, x) for x in fps])
+    longer = (n[None] >= n[:, None]) & (n[None] <= (n / 0.8 + 1e-9).astype(int)[:, None])
+    want = longer & (d <= n[:, None] - np.floor(0.6 * n - 1e-9)[None])
+    assert got == {(int(i), int(k)) for i, k in zip(*np.nonzero(want), strict=True)} and all((2 * i, 2 * i + 1) in got for i in range(1200))
+    assert sum(tested) < 0.1 * longer.sum()
+
+
+def test_pairs_of_a_large_band_are_those_without_axes(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    phrases = [" ".join(f"p{i}w{k}" for k in range(6)) for i in range(200)]
+    texts = [" ".join(phrases[k] for k in r.choice(200, 12, replace=False)) for _ in range(1250)]
+    texts += [f"{t} own{i}" for i, t in enumerate(texts)]
+    df = rows(spark, texts)
+    sides = [F.col("cid_a"), F.col("cid_b")]
+    got = {tuple(x) for x in near_dups.near_classes(df)[1].select(*sides).collect()}
+    monkeypatch.setattr(near_dups, "MANY", 1 << 40)
+    assert got == {tuple(x) for x in near_dups.near_classes(df)[1].select(*sides).collect()} and {(i, 1250 + i) for i in range(1250)} <= got
