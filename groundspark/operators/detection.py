@@ -93,10 +93,11 @@ def sensitivity_at(curve: DataFrame, points: tuple[float, ...] = FP_POINTS) -> D
 def average_precision(flags: DataFrame, n_gt: int) -> DataFrame:
     """One row: ap, the area under the precision envelope. Without boxes or predictions 0."""
     r = _running(flags).select("k", "is_tp", "_block", (F.col("tp") / F.col("k")).alias("precision"))
-    # The envelope is the highest precision from here on: within the block, or in a later one.
+    # The envelope is the highest precision from here on: within the block, or in a later one. The order is turned round, as a
+    # frame that begins at the row and ends with the block would be gone through again for every row.
     tops = r.groupBy("_block").agg(F.max("precision").alias("m"))
-    later = tops.select("_block", F.max("m").over(Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)).alias("later"))  # a row a block
-    own = F.max("precision").over(Window.partitionBy("_block").orderBy("k").rowsBetween(0, Window.unboundedFollowing))
+    later = tops.select("_block", F.max("m").over(Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))  # a row a block
+    own = F.max("precision").over(Window.partitionBy("_block").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
     e = r.withColumn("own", own).join(later, "_block")
     return e.agg(F.coalesce(F.sum(F.when(F.col("is_tp"), F.greatest("own", "later"))) / (n_gt or 1), F.lit(0.0)).alias("ap"))
 

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from groundspark.operators import coreset, detection, heldout, report, stats, vision
 
@@ -151,6 +152,20 @@ def test_curves_in_blocks_with_equal_confidences(spark, monkeypatch):
     assert sorted((r.image_id, r.n) for r in n) == [(i, 60 - i) for i in range(60)]
 
 
+def test_envelope_of_a_large_block_takes_no_square_of_it(spark):
+    from time import monotonic
+
+    n = 60_000
+    flags = spark.range(n).select(F.col("id").alias("image_id"), F.lit(0).cast("long").alias("ord"), (-F.col("id") / n).alias("confidence"), (F.col("id") % 3 == 0).alias("is_tp"), F.lit(None).cast("string").alias("gt_band"))
+    detection.average_precision(flags.limit(10), 1).first()
+    began = monotonic()
+    ap = detection.average_precision(flags, n // 3).first().ap
+    assert monotonic() - began < 15
+    i = np.arange(n)
+    env = np.maximum.accumulate((np.cumsum(i % 3 == 0) / (i + 1))[::-1])[::-1]
+    assert ap == pytest.approx(env[i % 3 == 0].sum() / (n // 3))
+
+
 def test_detection_metrics(curve):
     preds, gts = curve
     r = detection.detection_metrics(preds, gts, 2).first()
