@@ -73,12 +73,12 @@ def _running(flags: DataFrame) -> DataFrame:
     return run.select("image_id", "ord", "confidence", "is_tp", "_block", *[(F.col(f"s_{k}") + F.sum(v).over(w)).alias("k" if k == "n" else k) for k, v in one.items()])
 
 
-def froc(flags: DataFrame, gts: DataFrame, n_images: int) -> DataFrame:
-    """k, fp_per_image, sensitivity and that of each band, after the k most confident predictions; k = 0 is the origin."""
+def froc(flags: DataFrame, gts: DataFrame, n_images: int, run: DataFrame | None = None) -> DataFrame:
+    """k, fp_per_image, sensitivity and that of each band, after the k most confident predictions; k = 0 is the origin. run: _running(flags), where it is there already."""
     counts = {r.b: r.n for r in gts.groupBy(band(F.col("area_fraction")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     share = lambda c, n: (F.col(c) / n if n else F.lit(0.0)).cast("double")
-    r = _running(flags)
+    r = _running(flags) if run is None else run
     rows = r.select("k", ((F.col("k") - F.col("tp")) / max(n_images, 1)).alias("fp_per_image"), share("tp", total).alias("sensitivity"), *[share(x, counts.get(x, 0)).alias(f"sens_{x}") for x in BANDS])
     origin = flags.sparkSession.range(1).select(F.lit(0).cast("long").alias("k"), *[F.lit(0.0).alias(c) for c in ("fp_per_image", "sensitivity", *(f"sens_{x}" for x in BANDS))])
     return origin.unionByName(rows)
@@ -90,9 +90,9 @@ def sensitivity_at(curve: DataFrame, points: tuple[float, ...] = FP_POINTS) -> D
     return curve.select(at.alias("fp_point"), "*").groupBy("fp_point").agg(*[F.coalesce(F.max(F.when(F.col("fp_per_image") <= F.col("fp_point") + 1e-9, F.col(c))), F.lit(0.0)).alias(c) for c in ("sensitivity", *(f"sens_{x}" for x in BANDS))])
 
 
-def average_precision(flags: DataFrame, n_gt: int) -> DataFrame:
+def average_precision(flags: DataFrame, n_gt: int, run: DataFrame | None = None) -> DataFrame:
     """One row: ap, the area under the precision envelope. Without boxes or predictions 0."""
-    r = _running(flags).select("k", "is_tp", "_block", (F.col("tp") / F.col("k")).alias("precision"))
+    r = (_running(flags) if run is None else run).select("k", "is_tp", "_block", (F.col("tp") / F.col("k")).alias("precision"))
     # The envelope is the highest precision from here on: within the block, or in a later one. The order is turned round, as a
     # frame that begins at the row and ends with the block would be gone through again for every row.
     tops = r.groupBy("_block").agg(F.max("precision").alias("m"))
@@ -106,8 +106,9 @@ def detection_metrics(preds: DataFrame, gts: DataFrame, n_images: int, iou: floa
     """One row: metrics (sens@<point>fp and mAP), stratified (band to sens@<point>fp), n_images, total_gt; as a record takes them."""
     flags = stage(match(preds, gts, iou), "flags")
     n = gts.count()
-    at = sensitivity_at(froc(flags, gts, n_images), points)
+    run = _running(flags)  # put in order once for both
+    at = sensitivity_at(froc(flags, gts, n_images, run), points)
     name = F.concat(F.lit("sens@"), F.col("fp_point").cast("string"), F.lit("fp"))
     entries = lambda c: F.map_from_entries(F.collect_list(F.struct(name, F.col(c))))
     rows = at.agg(entries("sensitivity").alias("m"), F.create_map(*[x for b in BANDS for x in (F.lit(b), entries(f"sens_{b}"))]).alias("stratified"))
-    return rows.crossJoin(average_precision(flags, n)).select(F.map_concat("m", F.create_map(F.lit("mAP"), F.col("ap"))).alias("metrics"), "stratified", F.lit(n_images).cast("long").alias("n_images"), F.lit(n).cast("long").alias("total_gt"))  # rows of one
+    return rows.crossJoin(average_precision(flags, n, run)).select(F.map_concat("m", F.create_map(F.lit("mAP"), F.col("ap"))).alias("metrics"), "stratified", F.lit(n_images).cast("long").alias("n_images"), F.lit(n).cast("long").alias("total_gt"))  # rows of one

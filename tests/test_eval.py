@@ -172,6 +172,12 @@ def test_detection_metrics(curve):
     assert r.metrics["mAP"] == pytest.approx(5 / 6) and r.metrics["sens@0.5fp"] == 1.0 and r.stratified["small"]["sens@1.0fp"] == 1.0 and (r.n_images, r.total_gt) == (2, 2)
 
 
+def test_detection_metrics_put_predictions_in_order_once(curve, monkeypatch):
+    calls, real = [], detection.in_blocks
+    monkeypatch.setattr(detection, "in_blocks", lambda *a: calls.append(a) or real(*a))
+    assert detection.detection_metrics(*curve, 2).first().metrics["mAP"] == pytest.approx(5 / 6) and len(calls) == 1
+
+
 def test_runs_and_gates(spark):
     from groundspark.config import AppConfig
 
