@@ -6,7 +6,8 @@ Tables carry ``ord``: of a group of duplicates the smallest survives. Survivors
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,59 +74,186 @@ def structured_dedup(nodes: DataFrame, fields: list[str]) -> DataFrame:
     return dedup_by_key(nodes, structured_key(fields))
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 3, char: bool = False, column: str = "text") -> DataFrame:
+#: The constants by which hashes are mixed.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX[k]
+    return h ^ (h >> np.uint64(29))
+
+
+class _WordHashes(dict):
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        v = self[w] = xxhash.xxh64_intdigest(w)
+        return v
+
+
+def _grams(texts: list[str], n: int, known: _WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of words, as functions.text.shingles() has them but with repeats, and the row of each."""
+    split = [t.split() for t in texts]  # Python's white space is that of functions.text.WS
+    size = np.array([len(u) for u in split], dtype=np.int64)
+    flat = np.array([known[w] for u in split for w in u], dtype=np.uint64)
+    row = np.repeat(np.arange(len(split)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # words from here on to the end of the row
+    short = np.repeat(size, size) < n  # these give one shingle of all words
+    first = np.ones(len(flat), dtype=bool)
+    first[1:] = row[1:] != row[:-1]
+    at = np.flatnonzero(np.where(short, first, left >= n))
+    h, many = flat[at], np.minimum(left[at], n)
+    for j in range(1, n):
+        more = many > j
+        h[more] = _mixed(h[more], 0) + flat[at[more] + j]
+    return _mixed(h ^ _mixed(many.astype(np.uint64), 1), 2), row[at]
+
+
+#: Words of 64 bits in the parity sketches of a set: those that go with every shingle of a prefix, and those of candidates.
+SKETCH, LONG_SKETCH = 2, 16
+
+
+def _parities(u: np.ndarray, start: np.ndarray, words: int) -> list[np.ndarray]:
+    """By word, for the elements from each start to the next one."""
+    bit, word = np.uint64(1) << (u & np.uint64(63)), (u >> np.uint64(6)) % np.uint64(words)
+    return [np.bitwise_xor.reduceat(np.where(word == np.uint64(i), bit, np.uint64(0)), start) if len(start) else np.zeros(0, dtype=np.uint64) for i in range(words)]
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """ord, size, x: long sketches of sets (ord, size, s), none of them empty."""
+
+    def part(batches):
+        for b in batches:
+            s = b.column("s")
+            size = s.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            x = np.stack(_parities(s.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(size) - size, LONG_SKETCH), axis=1).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("ord"), b.column("size"), pa.ListArray.from_arrays(np.arange(0, len(x) + 1, LONG_SKETCH, dtype=np.int32), pa.array(x))], ["ord", "size", "x"])
+
+    return sets.filter("size > 0").mapInArrow(part, f"ord {sets.schema['ord'].dataType.simpleString()}, size int, x array<long>")
+
+
+def _sets(docs: DataFrame, n: int, char: bool, column: str) -> DataFrame:
+    """ord, size, h1, h2, x0, x1, s: the set of a row's shingles as sorted hashes, two hashes of the set, and its sketch: bit b of it
+    is the parity of the elements with that place, so two sketches differ in no more bits than the sets in elements."""
+    c = F.coalesce(F.col(column), F.lit(""))
+    of = docs.select("ord", F.transform(shingles(c, n, True), lambda s: F.xxhash64(s)).alias("t") if char else c.alias("t"))
+    kind = of.schema["ord"].dataType.simpleString()
+
+    def part(batches):
+        known = _WordHashes()
+        for b in batches:
+            t = b.column("t")
+            if char:
+                h, row = t.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(t)), t.value_lengths().to_numpy(zero_copy_only=False))
+            else:
+                h, row = _grams(t.to_pylist(), n, known)
+            h = h.view(np.int64)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            h, row = h[new], row[new]
+            size = np.bincount(row, minlength=len(t))
+            some, u = size > 0, h.view(np.uint64)
+            start = (np.cumsum(size) - size)[some]
+            own = [np.add.reduceat(_mixed(u, k), start) if len(start) else np.zeros(0, dtype=np.uint64) for k in (0, 1)] + _parities(u, start, SKETCH)
+            cols = [b.column("ord"), pa.array(size.astype(np.int32))]
+            for v in own:
+                out = np.zeros(len(t), dtype=np.uint64)
+                out[some] = v
+                cols.append(pa.array(out.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), pa.array(h))], ["ord", "size", "h1", "h2", "x0", "x1", "s"])
+
+    return of.mapInArrow(part, f"ord {kind}, size int, h1 long, h2 long, x0 long, x1 long, s array<long>")
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 3, char: bool = False, column: str = "text", blanks: bool = True) -> DataFrame:
     """ord_a < ord_b, jaccard: all pairs of rows whose shingle sets have at least this similarity; exact.
 
     Prefix filtering: with shingles in one order, similar sets share one among their first size - ceil(t * size) + 1; the order is
     from rare to frequent, by counts in a table of fixed size (any order is exact, this one keeps the join small).
     So frequent shingles never meet in the join. Rows with equal sets are joined once, through their first row. Rows without any
-    shingle are similar to each other (1.0); they are linked to the first of them.
+    shingle are similar to each other (1.0); they are linked to the first of them (with blanks=False to none).
+
+    The sets are written once and never shuffled as a whole: what moves are prefixes. Whether a pair can be similar is told in the
+    join, by where in the order it meets and by the sketches; the sets of what is left alone are fetched and compared.
     """
-    sets = stage(docs.select("ord", F.array_sort(F.transform(shingles(F.coalesce(F.col(column), F.lit("")), n, char), lambda s: F.xxhash64(s))).alias("s")), "shingles")
-    ids = sets.select("ord", F.size("s").alias("size"), F.xxhash64(F.col("s")).alias("h1"), F.hash(F.col("s")).alias("h2"))
-    heads = ids.groupBy("size", "h1", "h2").agg(F.min("ord").alias("head"))
-    member = stage(ids.join(heads, ["size", "h1", "h2"]).select("ord", "head", "size"), "members")
-    reps = stage(sets.join(member.filter("ord = head and size > 0").select("ord"), "ord", "left_semi"), "sets")
-    prefix = stage(_prefixes(reps, threshold), "prefixes")
-    a, b = prefix.select(F.col("ord").alias("ord_a"), F.col("size").alias("na"), "g"), prefix.select(F.col("ord").alias("ord_b"), F.col("size").alias("nb"), "g")
-    cand = a.join(b, "g").filter((F.col("ord_a") < F.col("ord_b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("ord_a", "ord_b").distinct()
+    sets = stage(_sets(docs, n, char, column), "shingles")
+    ids = sets.select("ord", "size", "h1", "h2")
+    heads = ids.groupBy("size", "h1", "h2").agg(F.min("ord").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    equal = stage(ids.join(heads, ["size", "h1", "h2"]).filter("ord <> head").select("head", "ord", "size"), "equal")
+    prefix = _prefixes(sets, threshold, ["x0", "x1"]).join(equal.select("ord"), "ord", "left_anti")
+    prefix = stage(prefix, "prefixes")
+    a, b = (prefix.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("ord", "size", "at", "x0", "x1")]) for x in "ab")
+    both, shared = F.col("size_a") + F.col("size_b"), threshold / (1 + threshold)
+    # The first shingle that two sets share in the order has all others behind it in both.
+    first = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= shared * both - 1e-9
+    bits = F.bit_count(F.col("x0_a").bitwiseXOR(F.col("x0_b"))) + F.bit_count(F.col("x1_a").bitwiseXOR(F.col("x1_b")))
+    length = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9
+    cand = stage(a.join(b, "g").filter((F.col("ord_a") < F.col("ord_b")) & length & first & (bits <= (1 - 2 * shared) * both + 1e-9)).select("ord_a", "ord_b").distinct(), "candidates")
+    # Sets of a few hundred shingles fill the short sketches; what is left is told by long ones.
+    long_ = _sketches(_among(sets.select("ord", "size", "s"), cand.select(F.explode(F.array("ord_a", "ord_b")).alias("ord"))))
+    of = lambda x: long_.select(*[F.col(c).alias(f"{c}_{x}") for c in ("ord", "size", "x")])
+    differ = F.aggregate(F.zip_with("x_a", "x_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    cand = stage(cand.join(of("a"), "ord_a").join(of("b"), "ord_b").filter(differ <= (1 - 2 * shared) * both + 1e-9).select("ord_a", "ord_b"), "candidates")
     inter = F.size(F.array_intersect("sa", "sb"))
+    some = _among(sets.select("ord", "s"), cand.select(F.explode(F.array("ord_a", "ord_b")).alias("ord")))
     near = (
-        cand.join(reps.select(F.col("ord").alias("ord_a"), F.col("s").alias("sa")), "ord_a").join(reps.select(F.col("ord").alias("ord_b"), F.col("s").alias("sb")), "ord_b")
+        cand.join(some.select(F.col("ord").alias("ord_a"), F.col("s").alias("sa")), "ord_a").join(some.select(F.col("ord").alias("ord_b"), F.col("s").alias("sb")), "ord_b")
         .select("ord_a", "ord_b", (inter / (F.size("sa") + F.size("sb") - inter)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
     )
-    equal = member.filter("ord <> head").select(F.col("head").alias("ord_a"), F.col("ord").alias("ord_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(equal)
+    same = equal.filter("true" if blanks else "size > 0").select(F.col("head").alias("ord_a"), F.col("ord").alias("ord_b"), F.lit(1.0).alias("jaccard"))
+    return near.unionByName(same)
 
 
 #: Counters (as a power of two) by which shingles are ordered.
 COUNTERS_LOG2 = 20
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """ord, size, g: of each set (ord, s) the shingles among which a similar set must share one. Those seen once match nothing."""
+def _among(rows: DataFrame, ords: DataFrame) -> DataFrame:
+    """Rows whose ord is in ords, and a few others that share a place with one in a table of fixed size: for a join that would else
+    shuffle all of them."""
+    slot = F.pmod(F.hash("ord"), F.lit(1 << COUNTERS_LOG2))
+    table = np.zeros(1 << COUNTERS_LOG2, dtype=bool)
+    table[ords.select(slot.alias("slot")).distinct().toPandas()["slot"]] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+    def part(batches):
+        seen = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(seen[b.column("_slot").to_numpy()])).drop_columns("_slot")
+
+    return rows.withColumn("_slot", slot).mapInArrow(part, rows.schema)
+
+
+def _prefixes(sets: DataFrame, threshold: float, also: list[str] | None = None) -> DataFrame:
+    """ord, size, g, at: of each set (ord, s) the shingles among which a similar set must share one, and their place in the order.
+    Those seen once match nothing. also: columns of longs that are taken along."""
     slot = F.pmod(F.col("g"), F.lit(1 << COUNTERS_LOG2)).cast("int")
     counts = sets.select(F.explode("s").alias("g")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # a table of fixed size
     table = np.zeros(1 << COUNTERS_LOG2, dtype=np.int64)
     table[counts["slot"]] = counts["n"]
     shared = sets.sparkSession.sparkContext.broadcast(np.minimum(table, np.iinfo(np.int32).max).astype(np.int32))
+    also = also or []
 
     def part(batches):
         seen = shared.value
         for b in batches:
-            size = b["s"].map(len).to_numpy(np.int64)
-            flat = np.concatenate([*b["s"], np.zeros(0, dtype=np.int64)]).astype(np.int64)
-            row = np.repeat(np.arange(len(b)), size)
+            s = b.column("s")
+            size, flat = s.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), s.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(s)), size)
             n = seen[flat & ((1 << COUNTERS_LOG2) - 1)]
             order = np.lexsort((flat, n, row))
-            first = np.cumsum(size) - size
-            keep = np.arange(len(flat)) - np.repeat(first, size) < np.repeat(size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, size)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            keep = place < np.repeat(size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, size)
             keep &= n[order] > 1
             at = order[keep]
-            yield pd.DataFrame({"ord": b["ord"].to_numpy()[row[at]], "size": size[row[at]].astype(np.int32), "g": flat[at]})
+            of = pa.array(row[at])
+            cols = [b.column("ord").take(of), pa.array(size[row[at]].astype(np.int32)), pa.array(flat[at]), pa.array(place[keep].astype(np.int32)), *[b.column(c).take(of) for c in also]]
+            yield pa.RecordBatch.from_arrays(cols, ["ord", "size", "g", "at", *also])
 
     kind = sets.schema["ord"].dataType.simpleString()
-    return sets.select("ord", "s").mapInPandas(part, f"ord {kind}, size int, g long")
+    return sets.select("ord", "s", *also).mapInArrow(part, f"ord {kind}, size int, g long, at int" + "".join(f", {c} long" for c in also))
 
 
 def all_pairs(docs: DataFrame, links: DataFrame) -> DataFrame:

@@ -197,8 +197,8 @@ _CLOSED = "with recursive " + _PAIRS[5:] + ", " + _EMPTY + ", reach(a, b) as (se
 
 @query(_PAIRS + " select x as ord_a, y as ord_b, round(j, 9) as jaccard from p")
 def near_dup_pairs(spark, d):
-    p = plain_docs(spark, d).filter("trim(text) <> ''")
-    return dedup.all_pairs(p, dedup.near_pairs(p)).select("ord_a", "ord_b", F.round("jaccard", 9).alias("jaccard"))
+    every = table(spark, d, "documents").select(F.col("doc_id").alias("ord"))
+    return dedup.all_pairs(every, dedup.near_pairs(plain_docs(spark, d), blanks=False)).select("ord_a", "ord_b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query(_CLOSED + " select ord, root from roots")

@@ -50,6 +50,35 @@ def test_near_pairs_are_those_of_brute_force(spark):
         assert got == want
 
 
+def test_near_pairs_keep_every_pair_and_move_few_sets(spark, monkeypatch):
+    # Records of a form: of 300 words 120 are common to all, so prefixes meet often, and pairs are near in blocks of three.
+    random.seed(2)
+    form = [f"f{i}" for i in range(120)]
+    texts = []
+    for k in range(40):
+        own = [f"w{random.randrange(400)}" for _ in range(180)]
+        for m in range(3):
+            t = form + own
+            for _ in range(m * 4):
+                t[random.randrange(len(t))] = f"x{random.randrange(50)}"
+            texts.append("\u3000".join(t) + "\x1f" * (k % 2))
+    texts += [texts[0], "", "\xa0", "a b", "a  b", "a b c", "ab", "c"]
+    sets = [{" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set() for w in (t.split() for t in texts)]
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] and sets[j]}
+    want = {k: v for k, v in want.items() if v >= 0.85}
+    docs = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    staged, real = {}, dedup.stage
+    monkeypatch.setattr(dedup, "stage", lambda df, name: staged.setdefault(name, []).append(x := real(df, name)) or x)
+    links = dedup.near_pairs(docs, blanks=False)
+    got = {(r.ord_a, r.ord_b): r.jaccard for r in dedup.all_pairs(docs, links).collect()}
+    assert got == pytest.approx(want) and len(want) > 50
+    assert links.filter("ord_a in (121, 122)").count() == 0 and dedup.near_pairs(docs).filter("ord_a = 121 and ord_b = 122").count() == 1
+    assert staged["candidates"][-1].count() <= 2 * len(want)  # the sets of these alone are fetched
+    char = {(r.ord_a, r.ord_b) for r in dedup.near_pairs(spark.createDataFrame([(0, "abcdefgh"), (1, "abcdefgh"), (2, "abcdefgx"), (3, "")], "ord long, text string"), 0.7, char=True).collect()}
+    assert char == {(0, 1), (0, 2)}
+    assert dedup.near_pairs(docs.filter("false")).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 205), (205, 99)]
     got = {r.ord: r.root for r in dedup.components(spark.createDataFrame(edges, "ord_a long, ord_b long")).collect()}
