@@ -167,22 +167,24 @@ def _sets(docs: DataFrame, n: int, char: bool, column: str) -> DataFrame:
     return of.mapInArrow(part, f"ord {kind}, size int, h1 long, h2 long, x0 long, x1 long, s array<long>")
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 3, char: bool = False, column: str = "text", blanks: bool = True) -> DataFrame:
+def near_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 3, char: bool = False, column: str = "text", blanks: bool = True, without: DataFrame | None = None) -> DataFrame:
     """ord_a < ord_b, jaccard: all pairs of rows whose shingle sets have at least this similarity; exact.
 
     Prefix filtering: with shingles in one order, similar sets share one among their first size - ceil(t * size) + 1; the order is
     from rare to frequent, by counts in a table of fixed size (any order is exact, this one keeps the join small).
     So frequent shingles never meet in the join. Rows with equal sets are joined once, through their first row. Rows without any
-    shingle are similar to each other (1.0); they are linked to the first of them (with blanks=False to none).
+    shingle are similar to each other (1.0); they are linked to the first of them (with blanks=False to none). without: ord of rows
+    that are left aside.
 
     The sets are written once and never shuffled as a whole: what moves are prefixes. Whether a pair can be similar is told in the
     join, by where in the order it meets and by the sketches; the sets of what is left alone are fetched and compared.
     """
     sets = stage(_sets(docs, n, char, column), "shingles")
-    ids = sets.select("ord", "size", "h1", "h2")
+    left = (lambda df: df) if without is None else (lambda df: df.join(without, "ord", "left_anti"))
+    ids = left(sets.select("ord", "size", "h1", "h2"))
     heads = ids.groupBy("size", "h1", "h2").agg(F.min("ord").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     equal = stage(ids.join(heads, ["size", "h1", "h2"]).filter("ord <> head").select("head", "ord", "size"), "equal")
-    prefix = _prefixes(sets, threshold, ["x0", "x1"]).join(equal.select("ord"), "ord", "left_anti")
+    prefix = left(_prefixes(sets, threshold, ["x0", "x1"]).join(equal.select("ord"), "ord", "left_anti"))
     prefix = stage(prefix, "prefixes")
     a, b = (prefix.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("ord", "size", "at", "x0", "x1")]) for x in "ab")
     both, shared = F.col("size_a") + F.col("size_b"), threshold / (1 + threshold)
@@ -291,7 +293,12 @@ def components(edges: DataFrame, a: str = "ord_a", b: str = "ord_b", max_rounds:
     return stars.unionByName(stars.select(F.col("root").alias("ord"), "root").distinct())
 
 
+def near_labels(nodes: DataFrame, threshold: float = 0.85, n: int = 3, char: bool = False, config: NormalizeConfig | None = None, without: DataFrame | None = None) -> DataFrame:
+    """ord, root of the rows of nodes that have near duplicates (transitively). without: ord of rows that are left aside."""
+    docs = nodes.select("ord", normalize_text(F.coalesce(F.col("text"), F.lit("")), config).alias("text"))
+    return components(near_pairs(docs, threshold, n, char, without=without))
+
+
 def near_dedup(nodes: DataFrame, threshold: float = 0.85, n: int = 3, char: bool = False, config: NormalizeConfig | None = None) -> DataFrame:
     """Clusters of near duplicates (transitively) keep their first row."""
-    docs = nodes.select("ord", normalize_text(F.coalesce(F.col("text"), F.lit("")), config).alias("text"))
-    return merge_labels(nodes, components(near_pairs(docs, threshold, n, char)))
+    return merge_labels(nodes, near_labels(nodes, threshold, n, char, config))

@@ -42,20 +42,29 @@ def clean(df: DataFrame, column: str, config: IngestConfig) -> DataFrame:
     c = normalize_text(c, config.text) if config.normalize else c
     if not config.deidentify:
         return df.withColumn(column, c).withColumn("phi", F.lit(0).cast("long"))
-    return df.withColumn("_d", deidentify(c)).withColumn(column, F.col("_d.text")).withColumn("phi", F.size("_d.found").cast("long")).drop("_d")
+    # Bound by a lambda, so the normalized text is worked out once and not for every pattern.
+    return df.withColumn("_d", F.transform(F.array(c), lambda t: deidentify(t))[0]).withColumn(column, F.col("_d.text")).withColumn("phi", F.size("_d.found").cast("long")).drop("_d")
 
 
 def _chain(nodes: DataFrame, config: IngestConfig, backend: Callable[[Column], Column] | None) -> IngestResult:
     spark = nodes.sparkSession
+    # Texts are written once. What follows moves ids and labels; texts are joined to them when the nodes are read.
     cleaned = stage(nodes, "cleaned")
     out = cleaned
+    gone = spark.createDataFrame([], cleaned.select("ord").schema)
+
+    def merged(labels: DataFrame) -> None:
+        nonlocal out, gone
+        labels = stage(labels.filter("ord <> root"), "labels")
+        out, gone = dedup.merge_labels(out, labels), gone.unionByName(labels.select("ord"))
+
     if config.structured_key_fields:
-        out = dedup.structured_dedup(out, list(config.structured_key_fields))
+        merged(dedup.key_labels(out, dedup.structured_key(list(config.structured_key_fields))))
     if config.exact_dedup:
-        out = dedup.exact_dedup(out, config.text)
+        merged(dedup.key_labels(out, dedup.text_key(config.text)))
     if config.near_dedup:
-        out = dedup.near_dedup(stage(out, "exact"), config.near_threshold, config=config.text)
-    survivors = stage(out, "survivors")
+        merged(dedup.near_labels(cleaned, config.near_threshold, config=config.text, without=stage(gone, "gone")))
+    survivors = out
     dropped = spark.createDataFrame([], "ord long, node_id string")
     lost = spark.createDataFrame([], "entity string")
     kept = survivors
@@ -63,7 +72,6 @@ def _chain(nodes: DataFrame, config: IngestConfig, backend: Callable[[Column], C
         # Extracted once, over all cleaned rows; survivors keep their text.
         marked = stage(entities.annotated(cleaned.select("ord", "text"), backend).select("ord", "ents"), "entities")
         kept, dropped = entities.filter_nodes(survivors.join(marked, "ord"), config=config.quality)
-        kept = stage(kept, "kept")
         lost = entities.coverage_lost(entities.collect_entities(marked), entities.collect_entities(kept))
         kept = kept.drop("ents", "n_entities", "density", "linkable_rate", "rare_rate", "score", "low_coverage")
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))

@@ -129,6 +129,27 @@ def test_ingest_chain(spark):
         entities.assert_coverage(spark.createDataFrame([("rareonly",)], "entity string"), spark.createDataFrame([], "entity string"))
 
 
+def test_ingest_writes_texts_once_and_merges_as_step_by_step(spark, monkeypatch):
+    from groundspark.plans import ingest
+
+    word = lambda i: chr(97 + i % 26) * (1 + i // 26)
+    base = " ".join(f"{word(i)} Hepatitis" for i in range(60))
+    texts = [base + " end", base + "  end", base + " other end", "unlike Aspirin text", base + " last words", "", None, "unlike Aspirin text"]
+    raw = nodes(spark, texts, {2: {"k": "1"}, 3: {"k": "1"}, 4: {"k": "2"}})
+    want = dedup.near_dedup(dedup.exact_dedup(dedup.structured_dedup(raw.filter("ord in (2, 3, 4, 5)"), ["k"])))
+    staged, real = [], ingest.stage
+    monkeypatch.setattr(ingest, "stage", lambda df, name: staged.append((name, df)) or real(df, name))
+    got = ingest_documents(raw.filter("ord in (2, 3, 4, 5)"), IngestConfig(near_dedup=True, structured_key_fields=("k",), deidentify=False, ner_filter=False)).nodes
+    columns = ("node_id", "text", "source_ids", "flags")
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+    assert [name for name, df in staged if "text" in df.columns] == ["cleaned"]
+    r = ingest_documents(raw, IngestConfig(near_dedup=True), entities.dictionary_backend("[A-Z][a-z]{6,}"))
+    s = r.stats.first()
+    assert (s.n_in, s.n_after_dedup, s.n_dropped_quality, s.n_out) == (8, 3, 1, 2)
+    merged = {x.node_id: x.source_ids for x in r.nodes.collect()}
+    assert merged == {"n0": ["s0", "s1", "n1", "s2", "n2", "s4", "n4"], "n3": ["s3", "s7", "n7"]}
+
+
 def test_questions_that_masking_makes_equal_stay_apart(spark):
     from pyspark.sql import functions as F
 
