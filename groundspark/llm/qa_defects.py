@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.dedup import _prefixes, components
+from ..operators.dedup import SKETCH, _parities, _prefixes, components
 from ..session import stage
 from .canon import Canonical, fit
 from .lang import detect, scores
@@ -201,9 +201,13 @@ def _links(open_: DataFrame) -> DataFrame:
     def hashed(batches):
         for b in batches:
             s = [sorted({xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingles(o)}) for o in b["opening"]]
-            yield pd.DataFrame({"ord": b["id"], "s": s})
+            size = np.array([len(x) for x in s], dtype=np.int64)
+            flat, start = np.array([x for y in s for x in y], dtype=np.int64).view(np.uint64), (np.cumsum(size) - size)[size > 0]
+            x = np.zeros((SKETCH, len(s)), dtype=np.uint64)
+            x[:, size > 0] = _parities(flat, start, SKETCH)
+            yield pd.DataFrame({"ord": b["id"], "x0": x[0].view(np.int64), "x1": x[1].view(np.int64), "s": s})
 
-    sets = stage(open_.select("id", "opening").mapInPandas(hashed, "ord long, s array<long>"), "sets")
+    sets = stage(open_.select("id", "opening").mapInPandas(hashed, "ord long, x0 long, x1 long, s array<long>"), "sets")
     banded = stage(open_.select("id", "opening", "n_rows").mapInPandas(bands, "id long, opening string, n_rows long, band long"), "bands")
     hot = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", F.struct("n_rows", "id")).alias("h")).filter("n > 1").select("band", "h")
     some = banded.join(hot, "band")
@@ -212,12 +216,16 @@ def _links(open_: DataFrame) -> DataFrame:
     near = Window.partitionBy("band", F.substring("opening", 1, 8)).orderBy("opening", "id")
     follow = some.select(F.col("id").alias("ord_a"), F.lag("id").over(near).alias("ord_b")).filter("ord_b is not null")
     links = stage(_similar(sets, heads.unionByName(follow).filter("ord_a <> ord_b").distinct()), "links")
-    prefix = _prefixes(sets, SIMILARITY).join(components(links), "ord", "left").withColumn("root", F.coalesce("root", "ord"))
+    prefix = _prefixes(sets, SIMILARITY, ["x0", "x1"]).join(components(links), "ord", "left").withColumn("root", F.coalesce("root", "ord"))
     prefix = stage(prefix, "prefixes")
     apart = prefix.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g")
     prefix = stage(prefix.join(apart, "g", "left_semi"), "apart")
-    a, b = (prefix.select("g", F.col("ord").alias(f"ord_{x}"), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
-    left = a.join(b, "g").filter("root_a < root_b").filter(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9).select("ord_a", "ord_b").distinct()
+    a, b = (prefix.select("g", F.col("ord").alias(f"ord_{x}"), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"n{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("at", "x0", "x1")]) for x in "ab")
+    # As in near_pairs(): the first shingle that two sets share has all others behind it; sketches differ in no more bits than the sets.
+    both, least = F.col("na") + F.col("nb"), SIMILARITY / (1 + SIMILARITY)
+    bits = F.bit_count(F.col("x0_a").bitwiseXOR(F.col("x0_b"))) + F.bit_count(F.col("x1_a").bitwiseXOR(F.col("x1_b")))
+    may = (F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b")) >= least * both - 1e-9) & (bits <= (1 - 2 * least) * both + 1e-9)
+    left = a.join(b, "g").filter("root_a < root_b").filter(may).filter(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9).select("ord_a", "ord_b").distinct()
     return links.unionByName(_similar(sets, left))
 
 
