@@ -79,6 +79,14 @@ def test_near_pairs_keep_every_pair_and_move_few_sets(spark, monkeypatch):
     assert dedup.near_pairs(docs.filter("false")).count() == 0
 
 
+def test_near_dedup_writes_no_set_twice(spark, monkeypatch):
+    staged, real = [], dedup.stage
+    monkeypatch.setattr(dedup, "stage", lambda df, name: staged.append((name, df.columns)) or real(df, name))
+    kept = dedup.near_dedup(nodes(spark, ["a b c d e f g h", "a b c d e f g x", "p q r s t u v w", "p q r s t u v w", "", ""]), 0.7)
+    assert sorted(r.node_id for r in kept.collect()) == ["n0", "n2", "n4"]
+    assert [name for name, columns in staged if "s" in columns] == ["shingles"]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 205), (205, 99)]
     got = {r.ord: r.root for r in dedup.components(spark.createDataFrame(edges, "ord_a long, ord_b long")).collect()}
