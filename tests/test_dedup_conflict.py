@@ -87,6 +87,14 @@ def test_near_dedup_writes_no_set_twice(spark, monkeypatch):
     assert [name for name, columns in staged if "s" in columns] == ["shingles"]
 
 
+def test_clusters_move_no_more_than_they_need(spark, monkeypatch):
+    staged, real = [], dedup.stage
+    monkeypatch.setattr(dedup, "stage", lambda df, name: staged.append(name) or real(df, name))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d e f g h", "a b c d e f g x", "p q r s", "p  q r s", "", ""])], "ord long, text string")
+    got = {r.ord: r.root for r in dedup.components(dedup.near_pairs(docs, 0.7)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4} and "sets" not in staged and "candidates" in staged
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 205), (205, 99)]
     got = {r.ord: r.root for r in dedup.components(spark.createDataFrame(edges, "ord_a long, ord_b long")).collect()}
